@@ -157,19 +157,16 @@ def quality_report(before: DataFrame, after: DataFrame, cap: float = PRICE_CAP)
     """One row: rows, nulls and out-of-range prices before, rows and losses after."""
     price = F.col("price")
     kept = after.agg(F.count("*")).scalar()
-    return before.agg(
+    lost = F.col("rows_before") - F.col("rows_after")
+    counted = before.agg(
         F.count("*").alias("rows_before"),
         F.count_if(F.col("timestamp").isNull()).alias("null_timestamps"),
         F.count_if(price.isNull()).alias("null_prices"),
         F.count_if(price < 0).alias("negative_prices"),
         F.count_if(price > cap).alias("extreme_prices"),
-    ).select(
-        "*",
-        kept.alias("rows_after"),
-        (F.col("rows_before") - kept).alias("rows_lost"),
-        F.try_divide((F.col("rows_before") - kept) * F.lit(100.0), F.col("rows_before")).alias(
-            "lost_pct"
-        ),
+    )
+    return counted.withColumn("rows_after", kept).withColumns(
+        {"rows_lost": lost, "lost_pct": F.try_divide(lost * 100.0, F.col("rows_before"))}
     )
 
 

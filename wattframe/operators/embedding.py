@@ -104,9 +104,11 @@ def vector_audit(
         {
             "document_count": documents_count,
             "missing_ids": missing,
-            "consistent": (F.col("wrong_length") == 0)
-            & (F.col("null_vectors") == 0)
-            & (missing == 0)
-            & (F.col("vector_count") == documents_count),
         }
+    ).withColumn(
+        "consistent",
+        (F.col("wrong_length") == 0)
+        & (F.col("null_vectors") == 0)
+        & (F.col("missing_ids") == 0)
+        & (F.col("vector_count") == F.col("document_count")),
     )

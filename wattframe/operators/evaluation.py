@@ -62,11 +62,15 @@ def eval_baselines(
     )
     # One row per key and hour bounds the window.
     before = F.lag("actual").over(Window.partitionBy(*keys).orderBy(time))
-    test = scored.withColumn("_hour", before).where(F.col(is_test))
+    test = (
+        scored.withColumn("_hour", before)
+        .where(F.col(is_test))
+        .withColumns({"_mean": mean, "_last": last})
+    )
     errors = {
         "model": F.col("predicted") - F.col("actual"),
-        "mean": mean - F.col("actual"),
-        "last": last - F.col("actual"),
+        "mean": F.col("_mean") - F.col("actual"),
+        "last": F.col("_last") - F.col("actual"),
         "hour": F.col("_hour") - F.col("actual"),
     }
     metrics = test.agg(

@@ -60,6 +60,8 @@ def train_forest(
     rows = forecast_inputs(features).select(
         *FORECAST_INPUTS, F.col("target_price").cast("double").alias("label")
     )
+    # Fitting reads the rows several times.
+    rows = rows.persist()
     pipeline = Pipeline(
         stages=[
             _scaler(rows),
@@ -77,7 +79,10 @@ def train_forest(
             ),
         ]
     )
-    return pipeline.fit(rows)
+    try:
+        return pipeline.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -100,7 +100,9 @@ def standardize(
     ).scalar()
 
     def scaled(c: str) -> Column:
-        std = stats[f"{c}_std"]
-        return (F.col(c) - stats[f"{c}_mean"]) / F.when(std == 0, F.lit(1.0)).otherwise(std)
+        std = F.col(f"_stats.{c}_std")
+        return (F.col(c) - F.col(f"_stats.{c}_mean")) / F.when(std == 0, 1.0).otherwise(std)
 
-    return df.withColumns({c: scaled(c) for c in columns})
+    return (
+        df.withColumn("_stats", stats).withColumns({c: scaled(c) for c in columns}).drop("_stats")
+    )

@@ -33,7 +33,11 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
     return _as_market(stream).withColumn("iso", F.lit("ERCOT"))
 
 

@@ -106,8 +106,5 @@ def sink_append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
 def sink_audit(df: DataFrame, stored: DataFrame) -> DataFrame:
     """Whether a stored table holds as many rows as the frame it came from."""
     held = df.agg(F.count("*")).scalar()
-    return stored.agg(F.count("*").alias("stored_rows")).select(
-        held.alias("frame_rows"),
-        "stored_rows",
-        (held == F.col("stored_rows")).alias("rows_match"),
-    )
+    counts = stored.agg(F.count("*").alias("stored_rows")).withColumn("frame_rows", held)
+    return counts.withColumn("rows_match", F.col("frame_rows") == F.col("stored_rows"))
