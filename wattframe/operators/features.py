@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wattframe.functions.arrays import parse_sequence, sequence_json
 from wattframe.functions.numbers import ratio_or, round_even
 from wattframe.functions.times import time_features
-from wattframe.operators.timeseries import POINT, WINDOW_HOURS, sliding_windows
+from wattframe.operators.timeseries import POINT, WINDOW_HOURS
 
 # Digits kept of prices, and of slope and volatility.
 PRICE_DIGITS = 4
@@ -43,72 +42,74 @@ _RATIOS = {"trend_slope", "price_volatility"}
 _CALENDAR = {"hour_of_day", "day_of_week", "is_weekend", "is_peak_hour"}
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def _framed(series: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """Each row with what its window's frames hold; one sort serves all of them."""
+    ordered = Window.partitionBy(*keys).orderBy("timestamp")
 
+    def over(rows: int) -> WindowSpec:
+        return ordered.rowsBetween(-min(rows, n), -1)
 
-def _mean(terms: Sequence[Column]) -> Column:
-    return _total(terms) / len(terms)
+    numbered = series.select(*keys, "timestamp", "price", F.row_number().over(ordered).alias("_x"))
+    return numbered.select(
+        *keys,
+        (F.col("_x") - (n + 1)).alias("window_id"),
+        F.col("timestamp").alias("target_time"),
+        F.col("price").alias("target_price"),
+        F.avg("price").over(over(n)).alias("_mean"),
+        F.stddev_pop("price").over(over(n)).alias("_std"),
+        F.regr_slope("price", "_x").over(over(n)).alias("_slope"),
+        F.collect_list("price").over(over(n)).alias("price_sequence"),
+        F.avg("price").over(over(12 if n >= 12 else n)).alias("_mean_12"),
+        F.avg("price").over(over(6 if n >= 12 else n)).alias("_mean_6"),
+        F.min("price").over(over(6)).alias("_low_6"),
+        F.max("price").over(over(6)).alias("_high_6"),
+    ).where(F.col("window_id") >= 0)
+
+
+def _median(ordered: Column, n: int) -> Column:
+    low, high = (F.get(ordered, F.lit(i)) for i in ((n - 1) // 2, n // 2))
+    return (low + high) / 2
 
 
-def compute_features(
-    windows: DataFrame,
+def feature_matrix(
+    series: DataFrame,
     window_size: int = WINDOW_HOURS,
     keys: Sequence[str] = POINT,
     digits: int | None = PRICE_DIGITS,
     ratio_digits: int | None = RATIO_DIGITS,
 ) -> DataFrame:
-    """Windows to the feature matrix.
+    """Gapless hourly prices to one feature row per window of ``window_size`` hours.
 
-    The sums are written out element by element, so the whole computation is one
-    generated projection over the window's price array.
+    In windows shorter than 12 hours the moving averages are the window's mean;
+    a change over more hours than the window holds is 0.
     """
     n = window_size
-    prices = [F.get("price_sequence", F.lit(i)) for i in range(n)]
-    ranked = [F.get("_ranked", F.lit(i)) for i in range(n)]
-    centre = (n - 1) / 2
-    spread = sum((i - centre) ** 2 for i in range(n))
-
-    def latest(count: int) -> list[Column]:
-        return prices[-count:] if n >= count else prices
-
-    def back(steps: int) -> Column:
-        return prices[-1] - prices[-1 - steps] if n > steps else F.lit(0.0)
-
-    staged = (
-        windows.withColumn("_ranked", F.sort_array("price_sequence"))
-        .withColumns({"_mean": _mean(prices), "_low": ranked[0], "_high": ranked[-1]})
-        .withColumns(
-            {
-                "_std": F.sqrt(_mean([(p - F.col("_mean")) * (p - F.col("_mean")) for p in prices])),
-                "_recent_low": F.array_min(F.array(*latest(6))),
-                "_recent_high": F.array_max(F.array(*latest(6))),
-            }
-        )
-    )
-    mean, change = F.col("_mean"), prices[-1] - prices[0]
+    sequence = F.col("price_sequence")
+
+    def ago(steps: int) -> Column:
+        return F.get(sequence, F.lit(n - 1 - steps))
+
+    first, last = F.get(sequence, F.lit(0)), ago(0)
+    low, high = F.array_min(sequence), F.array_max(sequence)
+    mean = F.col("_mean")
     values: dict[str, Column] = {
         "price_mean": mean,
         "price_std": F.col("_std"),
-        "price_min": F.col("_low"),
-        "price_max": F.col("_high"),
-        "price_median": (ranked[(n - 1) // 2] + ranked[n // 2]) / 2,
-        "trend_slope": (
-            _total([p * (i - centre) for i, p in enumerate(prices)]) / spread
-            if n > 1
-            else F.lit(0.0)
-        ),
-        "price_change": change,
-        "price_change_pct": ratio_or(change * 100, prices[0], 0.0),
-        "price_range": F.col("_high") - F.col("_low"),
+        "price_min": low,
+        "price_max": high,
+        "price_median": _median(F.sort_array(sequence), n),
+        "trend_slope": F.col("_slope"),
+        "price_change": last - first,
+        "price_change_pct": ratio_or((last - first) * 100, first, 0.0),
+        "price_range": high - low,
         "price_volatility": ratio_or(F.col("_std"), mean, 0.0),
-        "price_ma_12": _mean(latest(12)) if n >= 12 else mean,
-        "price_ma_6": _mean(latest(6)) if n >= 12 else mean,
+        "price_ma_12": F.col("_mean_12"),
+        "price_ma_6": F.col("_mean_6"),
         **time_features(F.col("target_time")),
-        "momentum_1h": back(1),
-        "momentum_3h": back(3),
+        "momentum_1h": last - ago(1) if n >= 2 else F.lit(0.0),
+        "momentum_3h": last - ago(3) if n >= 4 else F.lit(0.0),
         "relative_position": ratio_or(
-            prices[-1] - F.col("_recent_low"), F.col("_recent_high") - F.col("_recent_low"), 0.5
+            last - F.col("_low_6"), F.col("_high_6") - F.col("_low_6"), 0.5
         ),
     }
 
@@ -117,7 +118,7 @@ def compute_features(
             return values[name].alias(name)
         return round_even(values[name], ratio_digits if name in _RATIOS else digits).alias(name)
 
-    return staged.select(
+    return _framed(series, n, keys).select(
         *keys,
         "window_id",
         "target_time",
@@ -127,18 +128,6 @@ def compute_features(
     )
 
 
-def feature_matrix(
-    series: DataFrame,
-    window_size: int = WINDOW_HOURS,
-    keys: Sequence[str] = POINT,
-    digits: int | None = PRICE_DIGITS,
-    ratio_digits: int | None = RATIO_DIGITS,
-) -> DataFrame:
-    """Gapless hourly prices to one feature row per window."""
-    windows = sliding_windows(series, window_size, keys)
-    return compute_features(windows, window_size, keys, digits, ratio_digits)
-
-
 def export_sequences(features: DataFrame) -> DataFrame:
     """Price sequence as JSON text, as stored in tables without arrays."""
     return features.withColumn("price_sequence_json", sequence_json(F.col("price_sequence"))).drop(

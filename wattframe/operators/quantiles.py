@@ -3,7 +3,8 @@
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 buffer. Here rows are first counted per value (combined before the shuffle),
 then the wanted ranks are located by narrowing value ranges: each pass counts a
-bounded number of ranges and keeps only those the ranks fall into.
+bounded number of ranges and keeps only those the ranks fall into. The counts
+are checkpointed, so the column itself is computed once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.workspace import cut_lineage
+
 # Ranges of one unit, at most 2 * 10^6 + 1 of them; values outside share the end ranges.
 _UNIT_LIMIT = 1.0e6
 # Each later pass cuts a range in 2^20.
@@ -52,8 +55,11 @@ def _holding(counts: DataFrame, keys: Sequence[str], by: str, q: float) -> DataF
 def exact_quantile(
     df: DataFrame, value: str, q: float = 0.5, alias: str = "quantile"
 ) -> DataFrame:
-    """One row with the interpolated quantile of a column; null values are left out."""
-    counts = (
+    """One row with the interpolated quantile of a column; null values are left out.
+
+    Runs a job for the value counts.
+    """
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))

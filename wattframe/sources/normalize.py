@@ -123,17 +123,25 @@ def conform(raw: DataFrame, names: FeedNames) -> DataFrame:
     )
 
 
-def normalize(raw: DataFrame, names: FeedNames) -> DataFrame:
-    """Raw feed rows in the common schema with prices filled and bounded."""
-    return clean_prices(conform(raw, names), cap=FEED_PRICE_CAP).select(*COMMON_COLUMNS)
+def normalize(raw: DataFrame, names: FeedNames, staging: str | None = None) -> DataFrame:
+    """Raw feed rows in the common schema with prices filled and bounded.
+
+    Cleaning reads its input more than once. For a large feed name a ``staging``
+    path: the rows are parsed once, written there and cleaned from there.
+    """
+    rows = conform(raw, names)
+    if staging is not None:
+        rows.write.mode("overwrite").parquet(staging)
+        rows = raw.sparkSession.read.parquet(staging)
+    return clean_prices(rows, cap=FEED_PRICE_CAP).select(*COMMON_COLUMNS)
 
 
-def normalize_pjm(raw: DataFrame) -> DataFrame:
-    return normalize(raw, PJM)
+def normalize_pjm(raw: DataFrame, staging: str | None = None) -> DataFrame:
+    return normalize(raw, PJM, staging)
 
 
-def normalize_miso(raw: DataFrame) -> DataFrame:
-    return normalize(raw, MISO)
+def normalize_miso(raw: DataFrame, staging: str | None = None) -> DataFrame:
+    return normalize(raw, MISO, staging)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_base: str | None = None
@@ -33,3 +33,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
         base = _local_folder()
     return f"{base.rstrip('/')}/wattframe/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint rows that later steps read several times. Runs a job.
+
+    The checkpoint is reliable: it lies in the shared folder and outlives
+    executors.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    return df.checkpoint()
