@@ -14,13 +14,7 @@ MARKET_ZONES = {"PJM": "America/New_York", "MISO": "America/Chicago"}
 PEAK_HOURS = (14, 18)
 
 # Layouts tried after the ISO form.
-FEED_LAYOUTS = (
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-    "yyyyMMdd HH:mm",
-)
+FEED_LAYOUTS = ("M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "yyyyMMdd HH:mm[:ss]")
 
 _ZONE_SUFFIX = r"(?i)\d\s*(?:z|utc|[+-]\d{2}:?\d{2})\s*$"
 
@@ -72,10 +66,9 @@ def feed_time_to_utc(text: Column, zone: str | None) -> Column:
     A value that carries its own zone is converted from that zone; a bare value
     is read as ``zone`` local time, or as UTC when ``zone`` is None.
     """
-    parsed = parse_feed_time(text)
-    bare = parsed if zone is None else local_to_utc(parsed, zone)
-    carries_zone = F.trim(text.cast("string")).rlike(_ZONE_SUFFIX)
-    return F.when(carries_zone, F.to_utc_timestamp(parsed, F.current_timezone())).otherwise(bare)
+    carries_zone = text.cast("string").rlike(_ZONE_SUFFIX)
+    written_in = F.when(carries_zone, F.current_timezone()).otherwise(F.lit(zone or "UTC"))
+    return F.to_utc_timestamp(parse_feed_time(text), written_in)
 
 
 def parse_request_time(text: Column) -> Column:

@@ -60,8 +60,8 @@ def train_forest(
     rows = forecast_inputs(features).select(
         *FORECAST_INPUTS, F.col("target_price").cast("double").alias("label")
     )
-    # Fitting reads the rows several times.
-    rows = rows.persist()
+    # Fitting reads the rows several times, with every core.
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
     pipeline = Pipeline(
         stages=[
             _scaler(rows),
