@@ -79,8 +79,11 @@ def test_fill_against_brute_force(spark, bucket):
         assert got[i] == price
 
 
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
-@pytest.mark.parametrize("kind", ["cents", "narrow", "wild", "same", "odd"])
+@pytest.mark.parametrize(
+    "kind, q",
+    [("cents", 0.5), ("cents", 0.9), ("narrow", 0.5), ("wild", 0.5), ("wild", 0.0), ("wild", 1.0),
+     ("same", 0.5), ("odd", 0.25)],
+)
 def test_exact_quantile_against_numpy(spark, kind, q):
     rng = np.random.default_rng(3)
     data = {
