@@ -8,7 +8,9 @@ from wattframe.plans import views
 
 @pytest.fixture(scope="module")
 def features(spark, small):
-    return views.features(spark, small).persist()
+    rows = views.features(spark, small).persist()
+    yield rows
+    rows.unpersist()
 
 
 def test_assemble_leaves_out_ids(features):

@@ -44,6 +44,18 @@ def test_time_filter_reaches_the_scan(spark, small, tmp_path):
     assert "ReadSchema: struct<timestamp:timestamp,price:double>" in text
 
 
+def test_stored_dates_are_pruned(spark, small, tmp_path):
+    market = views.market(spark, small).withColumn("iso", F.lit("ERCOT"))
+    stored = tables.store_market(market, str(tmp_path / "m"))
+    assert stored.count() == market.count()
+    as_of = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
+    recent = tables.scan_days_back(stored, as_of)
+    assert re.search(r"PartitionFilters: \[.*date#\d+ >= 2024-01-13", plan(recent))
+    assert recent.count() == tables.scan_days_back(market, as_of).count() > 0
+    latest = tables.scan_days_back(stored, tables.latest_time(stored))
+    assert latest.count() == tables.scan_days_back(market, tables.latest_time(market)).count() > 0
+
+
 def test_hourly_mean_combines_before_the_shuffle(spark, small):
     text = plan(hourly_mean(views.market(spark, small)))
     assert text.count("partial_avg") >= 1

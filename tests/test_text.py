@@ -155,6 +155,12 @@ def test_topk_with_few_documents_and_no_queries(spark):
     assert retrieval.cosine_topk(docs, none).count() == 0
 
 
+def test_topk_refuses_unequal_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "doc_id int, embedding array<double>")
+    with pytest.raises(Exception, match="2 numbers"):
+        retrieval.cosine_topk(docs.coalesce(1), vectors(spark, np.eye(2), "query_id")).collect()
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))

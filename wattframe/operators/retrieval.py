@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wattframe.functions.numbers import fixed, round_even
 from wattframe.functions.text import after_last_mark, clean_answer, fill, strip
 from wattframe.operators.documents import ANALYSIS, OBSERVATION
+from wattframe.workspace import cut_lineage
 
 # Documents per question, and how many of them make the context.
 TOP_K = 5
@@ -46,6 +50,8 @@ _PASS_BYTES = 64 * 2**20
 _SCORE_ROWS = 512
 # Similarities closer than this many digits count as equal and are ordered by id.
 _TIE_DIGITS = 12
+# Hits whose ids may be broadcast.
+_BROADCAST_HITS = 1_000_000
 # Buckets a document filter may list.
 _MAX_BUCKETS = 10_000
 
@@ -65,19 +71,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def _matrix(vectors: pa.ListArray, dimension: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if (lengths != dimension).any():
+        raise ValueError(f"document vectors do not all have {dimension} numbers like the queries")
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not np.isfinite(values).all():
+        raise ValueError("document vectors hold nulls or numbers that are not finite")
+    return values.reshape(len(vectors), dimension)
+
+
 def _score_pass(
-    documents: DataFrame, query_ids: list, query_matrix: np.ndarray, k: int, schema: str
+    documents: DataFrame, query_ids: list, query_matrix: np.ndarray, k: int, schema: StructType
 ) -> DataFrame:
     """Each task's own k best documents per query."""
     units = _unit_rows(query_matrix)
+    query_type, id_type = (to_arrow_type(schema[c].dataType) for c in ("query_id", "doc_id"))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for frame in frames:
-            if frame.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            ids = frame["doc_id"].to_numpy()
-            matrix = _unit_rows(np.stack(frame["embedding"].to_numpy()).astype(np.float64))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            matrix = _unit_rows(_matrix(batch.column("embedding"), units.shape[1]))
             for start in range(0, len(units), _SCORE_ROWS):
                 block = np.round(matrix @ units[start : start + _SCORE_ROWS].T, _TIE_DIGITS)
                 for i in range(block.shape[1]):
@@ -88,11 +106,16 @@ def _score_pass(
                         k,
                     )
         for i, (ids, scores) in kept.items():
-            yield pd.DataFrame(
-                {"query_id": [query_ids[i]] * len(ids), "doc_id": ids, "similarity": scores}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([query_ids[i]] * len(ids), query_type),
+                    pa.array(ids, id_type),
+                    pa.array(scores, pa.float64()),
+                ],
+                names=["query_id", "doc_id", "similarity"],
             )
 
-    return documents.mapInPandas(score, schema)
+    return documents.mapInArrow(score, schema)
 
 
 def cosine_topk(
@@ -108,11 +131,13 @@ def cosine_topk(
     """
     documents = documents.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    types = {
-        name: df.schema[name].dataType.simpleString()
-        for df, name in ((queries, "query_id"), (documents, "doc_id"))
-    }
-    schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, similarity double"
+    schema = StructType(
+        [
+            StructField("query_id", queries.schema["query_id"].dataType),
+            StructField("doc_id", documents.schema["doc_id"].dataType),
+            StructField("similarity", DoubleType()),
+        ]
+    )
 
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     passes = max(1, -(-size["n"] * (size["dim"] or 1) * 8 // pass_bytes))
@@ -129,12 +154,7 @@ def cosine_topk(
         scored = _score_pass(documents, [r["query_id"] for r in rows], matrix, k, schema)
         partial = scored if partial is None else partial.unionByName(scored)
     if partial is None:
-        empty = documents.where(F.lit(False))
-        partial = empty.select(
-            F.lit(None).cast(types["query_id"]).alias("query_id"),
-            "doc_id",
-            F.lit(0.0).alias("similarity"),
-        )
+        partial = documents.sparkSession.createDataFrame([], schema)
     # At most k rows per query and task reach this window.
     ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id"))
     return partial.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
@@ -197,6 +217,21 @@ def cosine_topk_lsh(
     return cosine_topk(candidates, queries, k)
 
 
+def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Hits with their documents' metadata, all hits kept.
+
+    Hits are few next to documents, so the metadata is cut down by a broadcast
+    of the hit ids when these are few enough. Runs a job: the hits are
+    checkpointed, which also spares later steps from scoring again.
+    """
+    hits = cut_lineage(hits)
+    ids = hits.select("doc_id").distinct()
+    if hits.count() <= _BROADCAST_HITS:
+        ids = F.broadcast(ids)
+    found = metadata.join(ids, "doc_id", "left_semi")
+    return hits.join(found, "doc_id", "left")
+
+
 def render_hits(hits: DataFrame) -> DataFrame:
     """Text of each hit from its metadata columns, with defaults for missing ones."""
     present = set(hits.columns)

@@ -856,8 +856,8 @@ CHECKS: dict[str, str] = {
     ),
     "build_prompt": _with(
         """SELECT query_id, question,
-                  CASE WHEN query_id = 0 THEN '' ELSE 'Context: ' || context || chr(10) || chr(10)
-                       END || 'Q: ' || question || chr(10) || 'A:' AS prompt
+                  'Context: ' || context || chr(10) || chr(10) || 'Q: ' || question
+                      || chr(10) || 'A:' AS prompt
            FROM (SELECT query_id, 'What is known about group ' || query_id || '?' AS question,
                         string_agg(doc_text, ' ' ORDER BY rank) FILTER (WHERE rank <= 3) AS context
                  FROM rendered GROUP BY 1)"""

@@ -13,6 +13,7 @@ from wattframe.operators.features import export_sequences, feature_matrix
 from wattframe.operators.forest import forecast_model
 from wattframe.operators.retrieval import (
     TOP_K,
+    attach_metadata,
     build_prompt,
     cosine_topk,
     render_hits,
@@ -69,6 +70,5 @@ def questions_to_prompts(
     encoded = encode(questions.withColumnRenamed("question", "text")).select(
         "query_id", "embedding"
     )
-    hits = cosine_topk(vectors, encoded, k).join(metadata, "doc_id", "left")
-    rendered = render_hits(hits)
+    rendered = render_hits(attach_metadata(cosine_topk(vectors, encoded, k), metadata))
     return build_prompt(questions, rendered), response_context(rendered)

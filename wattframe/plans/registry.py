@@ -525,7 +525,7 @@ def _hits(spark, sf_dir):
 
 def _rendered(spark, sf_dir):
     metadata = views.vector_metadata(spark, sf_dir)
-    return retrieval.render_hits(_hits(spark, sf_dir).join(metadata, "doc_id", "left"))
+    return retrieval.render_hits(retrieval.attach_metadata(_hits(spark, sf_dir), metadata))
 
 
 @query
@@ -553,12 +553,10 @@ def response_context(spark, sf_dir):
 
 @query
 def build_prompt(spark, sf_dir):
-    # Label 0 keeps no hits, so one prompt goes without context.
     questions = views.table(spark, sf_dir, "embeddings").groupBy(
         F.col("label").alias("query_id")
     ).agg(F.concat(F.lit("What is known about group "), F.max("label"), F.lit("?")).alias("question"))
-    hits = _rendered(spark, sf_dir).where(F.col("query_id") != 0)
-    return retrieval.build_prompt(questions, hits)
+    return retrieval.build_prompt(questions, _rendered(spark, sf_dir))
 
 
 @query

@@ -24,6 +24,9 @@ FORECAST_INPUTS = (
 )
 FEATURE_SCAN_COLUMNS = ("window_id", "target_time", "target_price", *FORECAST_INPUTS)
 
+# Folder column of market tables stored by market and date.
+DATE_FOLDER = "date"
+
 # Rows read for documents and for forecasts.
 LATEST_FOR_DOCUMENTS = 500
 LATEST_FOR_FORECAST = 1000
@@ -37,9 +40,15 @@ def scan_sorted(
 
 
 def scan_days_back(market: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Rows of the last ``days`` days up to ``as_of``, both ends included."""
+    """Rows of the last ``days`` days up to ``as_of``, both ends included.
+
+    On a table stored by date only the folders of those days are read.
+    """
     start = as_of - F.make_dt_interval(F.lit(days))
-    return market.where(F.col("timestamp").between(start, as_of))
+    rows = market.where(F.col("timestamp").between(start, as_of))
+    if DATE_FOLDER in market.columns:
+        rows = rows.where(F.col(DATE_FOLDER).between(F.to_date(start), F.to_date(as_of)))
+    return rows
 
 
 def latest_time(market: DataFrame) -> Column:
@@ -103,6 +112,18 @@ def sink_append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     )
 
 
+def store_market(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Write market rows in folders by market and date, and return the table.
+
+    Rows are gathered by folder first, so a folder gets few files; adaptive
+    execution splits a folder that holds very many rows.
+    """
+    dated = df.withColumn(DATE_FOLDER, F.to_date("timestamp"))
+    folders = [c for c in ("iso", DATE_FOLDER) if c in dated.columns]
+    dated.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sink_audit(df: DataFrame, stored: DataFrame) -> DataFrame:
     """Whether a stored table holds as many rows as the frame it came from."""
     held = df.agg(F.count("*")).scalar()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -81,11 +82,23 @@ def hourly(market: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
+def _thin(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.drop_duplicates(keys)
+
+
 def drop_replays(
     market: DataFrame, keys: Sequence[str] = EVENT_KEYS, lateness: str = LATENESS
 ) -> DataFrame:
-    """First copy of each row; copies are remembered for ``lateness``."""
-    return market.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(list(keys))
+    """First copy of each row; copies are remembered for ``lateness``.
+
+    Streaming de-duplication sends every copy to the task that holds the key.
+    Copies are therefore thinned out before that, within each task's own rows,
+    so a row replayed very often does not load one task.
+    """
+    names = list(keys)
+    thinned = market.mapInPandas(lambda frames: _thin(frames, names), market.schema)
+    return thinned.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(names)
 
 
 def run_to_table(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
