@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.numbers import coerce_double
 from wattframe.functions.times import MARKET_ZONES, feed_time_to_utc
 from wattframe.operators.cleaning import clean_prices
+from wattframe.workspace import shared_folder
 
 COMMON_COLUMNS = (
     "timestamp",
@@ -126,13 +127,14 @@ def conform(raw: DataFrame, names: FeedNames) -> DataFrame:
 def normalize(raw: DataFrame, names: FeedNames, staging: str | None = None) -> DataFrame:
     """Raw feed rows in the common schema with prices filled and bounded.
 
-    Cleaning reads its input more than once. For a large feed name a ``staging``
-    path: the rows are parsed once, written there and cleaned from there.
+    Cleaning reads its rows several times, and feed text is slow to parse. The
+    parsed rows are therefore written once, to ``staging`` or a new path in the
+    shared folder, and cleaned from there. Runs jobs.
     """
-    rows = conform(raw, names)
-    if staging is not None:
-        rows.write.mode("overwrite").parquet(staging)
-        rows = raw.sparkSession.read.parquet(staging)
+    spark = raw.sparkSession
+    path = staging or shared_folder(spark, f"conformed-{names.iso.lower()}")
+    conform(raw, names).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
     return clean_prices(rows, cap=FEED_PRICE_CAP).select(*COMMON_COLUMNS)
 
 
