@@ -80,16 +80,19 @@ def forward_fill(
     )
     local = places.withColumn("_local", F.last("_known", ignorenulls=True).over(inside))
 
+    # Both uses of the places read one shuffle: the last value of a bucket is the
+    # latest filled one, found where the bucket already lies.
     earlier = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        places.groupBy(*keys, "_bucket")
-        .agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.col(time))).alias("_last"))
+        local.groupBy(*keys, "_bucket")
+        .agg(F.max_by("_local", time).alias("_last"), F.bool_or("_wanted").alias("_any"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
-        .drop("_last")
+        .where("_any")
+        .drop("_last", "_any")
     )
 
     left, right = local.alias("l"), carried.alias("r")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.arrays import parse_sequence, sequence_json
@@ -43,32 +44,32 @@ _CALENDAR = {"hour_of_day", "day_of_week", "is_weekend", "is_peak_hour"}
 
 
 def _framed(series: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """Each row with what its window's frames hold; one sort serves all of them."""
+    """Each row with the prices, mean and deviation of its window; one sort, one frame."""
     ordered = Window.partitionBy(*keys).orderBy("timestamp")
-
-    def over(rows: int) -> WindowSpec:
-        return ordered.rowsBetween(-min(rows, n), -1)
-
-    numbered = series.select(*keys, "timestamp", "price", F.row_number().over(ordered).alias("_x"))
-    return numbered.select(
+    window = ordered.rowsBetween(-n, -1)
+    return series.select(
         *keys,
-        (F.col("_x") - (n + 1)).alias("window_id"),
+        (F.row_number().over(ordered) - (n + 1)).alias("window_id"),
         F.col("timestamp").alias("target_time"),
         F.col("price").alias("target_price"),
-        F.avg("price").over(over(n)).alias("_mean"),
-        F.stddev_pop("price").over(over(n)).alias("_std"),
-        F.regr_slope("price", "_x").over(over(n)).alias("_slope"),
-        F.collect_list("price").over(over(n)).alias("price_sequence"),
-        F.avg("price").over(over(12 if n >= 12 else n)).alias("_mean_12"),
-        F.avg("price").over(over(6 if n >= 12 else n)).alias("_mean_6"),
-        F.min("price").over(over(6)).alias("_low_6"),
-        F.max("price").over(over(6)).alias("_high_6"),
+        F.avg("price").over(window).alias("_mean"),
+        F.stddev_pop("price").over(window).alias("_std"),
+        F.collect_list("price").over(window).alias("price_sequence"),
     ).where(F.col("window_id") >= 0)
 
 
-def _median(ordered: Column, n: int) -> Column:
-    low, high = (F.get(ordered, F.lit(i)) for i in ((n - 1) // 2, n // 2))
-    return (low + high) / 2
+def _sum(terms: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _slope(sequence: Column, n: int) -> Column:
+    """Least-squares slope against 0..n-1."""
+    if n < 2:
+        return F.lit(0.0)
+    centre = (n - 1) / 2
+    spread = sum((i - centre) ** 2 for i in range(n))
+    terms = [F.get(sequence, F.lit(i)) * (i - centre) for i in range(n)]
+    return _sum(terms) / spread
 
 
 def feature_matrix(
@@ -84,33 +85,40 @@ def feature_matrix(
     a change over more hours than the window holds is 0.
     """
     n = window_size
-    sequence = F.col("price_sequence")
+    prices = [F.get("price_sequence", F.lit(i)) for i in range(n)]
+    ranked = F.sort_array("price_sequence")
+    low, high, middle, middle_up = (
+        F.get(ranked, F.lit(i)) for i in (0, n - 1, (n - 1) // 2, n // 2)
+    )
+    first, last, mean = prices[0], prices[-1], F.col("_mean")
+    recent = F.slice("price_sequence", max(n - 5, 1), min(n, 6))
+    staged = _framed(series, n, keys).withColumns(
+        {"_low": F.array_min(recent), "_high": F.array_max(recent)}
+    )
+
+    def average(count: int) -> Column:
+        return _sum(prices[-count:]) / count if n >= 12 else mean
 
-    def ago(steps: int) -> Column:
-        return F.get(sequence, F.lit(n - 1 - steps))
+    def change_over(hours: int) -> Column:
+        return last - prices[-1 - hours] if n > hours else F.lit(0.0)
 
-    first, last = F.get(sequence, F.lit(0)), ago(0)
-    low, high = F.array_min(sequence), F.array_max(sequence)
-    mean = F.col("_mean")
     values: dict[str, Column] = {
         "price_mean": mean,
         "price_std": F.col("_std"),
         "price_min": low,
         "price_max": high,
-        "price_median": _median(F.sort_array(sequence), n),
-        "trend_slope": F.col("_slope"),
+        "price_median": (middle + middle_up) / 2,
+        "trend_slope": _slope(F.col("price_sequence"), n),
         "price_change": last - first,
         "price_change_pct": ratio_or((last - first) * 100, first, 0.0),
         "price_range": high - low,
         "price_volatility": ratio_or(F.col("_std"), mean, 0.0),
-        "price_ma_12": F.col("_mean_12"),
-        "price_ma_6": F.col("_mean_6"),
+        "price_ma_12": average(12),
+        "price_ma_6": average(6),
         **time_features(F.col("target_time")),
-        "momentum_1h": last - ago(1) if n >= 2 else F.lit(0.0),
-        "momentum_3h": last - ago(3) if n >= 4 else F.lit(0.0),
-        "relative_position": ratio_or(
-            last - F.col("_low_6"), F.col("_high_6") - F.col("_low_6"), 0.5
-        ),
+        "momentum_1h": change_over(1),
+        "momentum_3h": change_over(3),
+        "relative_position": ratio_or(last - F.col("_low"), F.col("_high") - F.col("_low"), 0.5),
     }
 
     def rounded(name: str) -> Column:
@@ -118,7 +126,7 @@ def feature_matrix(
             return values[name].alias(name)
         return round_even(values[name], ratio_digits if name in _RATIOS else digits).alias(name)
 
-    return _framed(series, n, keys).select(
+    return staged.select(
         *keys,
         "window_id",
         "target_time",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wattframe.functions.numbers import fixed, round_even
+from wattframe.functions.numbers import fixed
 from wattframe.functions.text import after_last_mark, clean_answer, fill, strip
 from wattframe.operators.documents import ANALYSIS, OBSERVATION
 from wattframe.workspace import cut_lineage
@@ -267,7 +267,7 @@ def response_context(hits: DataFrame, shown: int = CONTEXT_DOCS) -> DataFrame:
     entry = F.struct(
         "rank",
         F.col("doc_id"),
-        round_even(F.col("similarity"), SIMILARITY_DIGITS).alias("similarity"),
+        F.bround("similarity", SIMILARITY_DIGITS).alias("similarity"),
         "type",
     )
     top = F.collect_list(F.when(F.col("rank") <= shown, entry))
