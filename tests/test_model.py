@@ -89,6 +89,17 @@ def test_model_forecast_is_bounded(spark, features):
     assert rows[2].time_features.is_weekend == 1
 
 
+def test_requests_by_model_keep_unreadable_ones(spark, features, prices):
+    from wattframe.plans.flows import requests_to_forecasts
+
+    model = forest.train_forest(features, trees=2, depth=2)
+    asked = spark.createDataFrame([("2025-07-31T17:00:00",), ("nope",)], "requested string")
+    market = prices([("2025-07-30 00:00:00", 30.0)])
+    rows = {r.requested: r for r in requests_to_forecasts(asked, market, model).collect()}
+    assert rows["nope"].predicted_price is None and rows["nope"].error == "Invalid timestamp format"
+    assert 15 <= rows["2025-07-31T17:00:00"].predicted_price <= 100
+
+
 STAMPS = [
     ("2025-07-31T15:30:00", 49.0, None),
     ("2025-07-31T17:00:00", 49.0, None),
@@ -111,6 +122,14 @@ def test_bulk_forecast(spark, prices):
     assert rows["nope"].confidence is None and rows["2025-07-31T12:00:00"].confidence == 0.65
 
 
+def test_empty_request_means_an_hour_from_now(spark):
+    asked = spark.createDataFrame([("",), (None,), ("2025-07-31T03:00:00",)], "requested string")
+    now = F.to_timestamp(F.lit("2025-07-31 10:30:00"))
+    rows = baseline.parse_requests(asked, now=now).collect()
+    assert [r.target_time.hour for r in rows] == [11, 11, 3]
+    assert baseline.parse_requests(asked).where("target_time is null").count() == 2
+
+
 def test_fallback_when_no_price_can_be_computed(spark, prices):
     market = prices([("2025-07-30 00:00:00", None)])
     asked = spark.createDataFrame([("2025-07-31T12:00:00",)], "requested string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.times import parse_request_time, time_features
@@ -54,9 +54,18 @@ def with_fallback(forecasts: DataFrame, error: str = "no price") -> DataFrame:
     )
 
 
-def parse_requests(requests: DataFrame, text: str = "requested") -> DataFrame:
-    """Request texts with the time they stand for, null when unreadable."""
-    return requests.withColumn("target_time", parse_request_time(F.col(text)))
+def parse_requests(
+    requests: DataFrame, text: str = "requested", now: Column | None = None
+) -> DataFrame:
+    """Request texts with the time they stand for, null when unreadable.
+
+    With ``now`` given, an empty request stands for one hour from then.
+    """
+    time = parse_request_time(F.col(text))
+    if now is not None:
+        empty = F.coalesce(F.trim(F.col(text)) == "", F.lit(True))
+        time = F.when(empty, now + F.make_dt_interval(F.lit(0), F.lit(1))).otherwise(time)
+    return requests.withColumn("target_time", time)
 
 
 def forecast_bulk(requests: DataFrame, recent: DataFrame, text: str = "requested") -> DataFrame:

@@ -77,10 +77,14 @@ def split_train_test(
     return keyed.withColumn("is_test", F.coalesce(F.col("_key") <= cut, F.lit(False))).drop("_key")
 
 
-def split_in_time(
-    df: DataFrame, cut: Column, time: str = "target_time"
-) -> DataFrame:
-    """Mark rows from ``cut`` on as test rows, so no test window overlaps a train target."""
+def time_cut(df: DataFrame, test_share: float = TEST_SHARE, time: str = "target_time") -> Column:
+    """The time from which the last ``test_share`` of the covered span begins."""
+    first, last = F.unix_micros(F.min(time)), F.unix_micros(F.max(time))
+    return df.agg(F.timestamp_micros(last - F.floor((last - first) * test_share))).scalar()
+
+
+def split_in_time(df: DataFrame, cut: Column, time: str = "target_time") -> DataFrame:
+    """Mark rows from ``cut`` on as test rows: nothing is tested on what came before."""
     return df.withColumn("is_test", F.col(time) >= cut)
 
 

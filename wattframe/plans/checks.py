@@ -705,6 +705,12 @@ CHECKS: dict[str, str] = {
                    is_test
             FROM features JOIN split USING (settlement_point, window_id)"""
     ),
+    "split_in_time": _with(
+        f"""SELECT settlement_point, window_id, target_time, {_r("target_price")} AS target_price,
+                   epoch_us(target_time) >= last - floor((last - first) * 0.2) AS is_test
+            FROM (SELECT *, epoch_us(min(target_time) OVER ()) AS first,
+                         epoch_us(max(target_time) OVER ()) AS last FROM features)"""
+    ),
     "standardize": _with(
         f"""SELECT settlement_point, window_id, is_test, {_listed(map(_standard, FEATURE_NAMES))}
             FROM features JOIN split USING (settlement_point, window_id)"""

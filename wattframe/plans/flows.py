@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wattframe.operators.baseline import forecast_bulk, parse_requests
+from wattframe.operators.baseline import INVALID_TIME, forecast_bulk, parse_requests
 from wattframe.operators.cleaning import PRICE_CAP, clean_prices
 from wattframe.operators.features import export_sequences, feature_matrix
 from wattframe.operators.forest import forecast_model
@@ -50,10 +51,17 @@ def requests_to_forecasts(
     text: str = "requested",
     recent_rows: int = LATEST_FOR_FORECAST,
 ) -> DataFrame:
-    """Request texts to forecasts, by the model when there is one, else by rule."""
+    """Request texts to forecasts, by the model when there is one, else by rule.
+
+    Unreadable texts come back with an error and no price.
+    """
     if model is None:
         return forecast_bulk(requests, scan_latest_n(market, recent_rows), text)
-    return forecast_model(model, parse_requests(requests, text).dropna(subset=["target_time"]))
+    parsed = parse_requests(requests, text)
+    readable = F.col("target_time").isNotNull()
+    failed = parsed.where(~readable).withColumn("error", F.lit(INVALID_TIME))
+    forecasts = forecast_model(model, parsed.where(readable))
+    return forecasts.unionByName(failed, allowMissingColumns=True)
 
 
 def questions_to_prompts(

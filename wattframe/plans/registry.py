@@ -404,6 +404,12 @@ def split_train_test(spark, sf_dir):
     return _rounded(modeldata.split_train_test(rows, _WINDOW_IDS))
 
 
+@query
+def split_in_time(spark, sf_dir):
+    rows = views.features(spark, sf_dir).select(*_WINDOW_IDS, "target_time", "target_price")
+    return _rounded(modeldata.split_in_time(rows, modeldata.time_cut(rows)))
+
+
 @query
 def standardize(spark, sf_dir):
     rows = views.features(spark, sf_dir).select(*_WINDOW_IDS, *feature_ops.FEATURE_NAMES)
