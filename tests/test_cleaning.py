@@ -55,12 +55,13 @@ def test_fill_crosses_buckets_and_takes_the_tie_break(prices):
     assert values(cleaning.forward_fill(rows, tie_break="row_id")) == [1.0, 2.0, 2.0, None, 2.0]
 
 
-@pytest.mark.parametrize("bucket", ["hour", "minute", "day"])
-def test_fill_against_brute_force(spark, bucket):
+@pytest.mark.parametrize("hot_rows, hours", [(1_000_000, 100), (5, 100), (0, 0)])
+def test_fill_against_brute_force(spark, monkeypatch, hot_rows, hours):
+    monkeypatch.setattr(cleaning, "_BROADCAST_HOURS", hours)
     rng = random.Random(5)
     start = pd.Timestamp("2025-01-01")
     rows = [
-        (i, start + pd.Timedelta(minutes=rng.randrange(6000)), "hot" if rng.random() < 0.6 else rng.choice("ab"),
+        (i, start + pd.Timedelta(seconds=rng.randrange(0, 360000, 20)), "hot" if rng.random() < 0.6 else rng.choice("ab"),
          rng.choice([None, None, rng.randrange(100) / 2]))
         for i in range(600)
     ]
@@ -71,7 +72,7 @@ def test_fill_against_brute_force(spark, bucket):
             {"price": "float64"}
         )
     ).withColumn("price", F.when(~F.isnan("price"), F.col("price")))
-    got = values(cleaning.forward_fill(df, tie_break="row_id", bucket=bucket))
+    got = values(cleaning.forward_fill(df, tie_break="row_id", hot_rows=hot_rows))
     for i, ts, point, price in rows:
         if price is None:
             known = [r for r in rows if r[2] == point and r[1] <= ts and r[3] is not None]

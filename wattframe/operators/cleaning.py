@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import clamp, coerce_double, is_finite
 from wattframe.operators.quantiles import approx_quantile, exact_quantile
+from wattframe.workspace import cut_lineage
 
 # Bounds of a plausible price.
 PRICE_FLOOR = 0.0
@@ -16,6 +17,11 @@ PRICE_CAP = 1000.0
 
 POINT = ("settlement_point",)
 
+# Rows of a key in one hour above which the hour is cut into seconds, and hours
+# of that kind that may be broadcast.
+HOT_ROWS = 1_000_000
+_BROADCAST_HOURS = 100_000
+
 # Columns of a feature table that are not model inputs.
 NON_FEATURES = frozenset(
     {
@@ -46,13 +52,55 @@ def coerce_price(df: DataFrame, price: str = "price") -> DataFrame:
     return df.withColumn(price, coerce_double(F.col(price)))
 
 
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    """Equality of the columns of two aliased tables, null matching null."""
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
+def _with_buckets(
+    places: DataFrame, rows: DataFrame, keys: Sequence[str], time: str, hot_rows: int
+) -> DataFrame:
+    """Places with a time bucket: the hour, or the second where an hour holds very much.
+
+    An hour below the limit is small, and a second has a million distinct times
+    at most. Bucket starts keep the order of time either way.
+    """
+    hour = F.date_trunc("hour", F.col(time))
+    hot = (
+        rows.groupBy(*keys, hour.alias("_hour"))
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .drop("_n")
+    )
+    found = hot.limit(_BROADCAST_HOURS + 1).collect()
+    if not found:
+        return places.withColumn("_bucket", hour)
+    if len(found) <= _BROADCAST_HOURS:
+        hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    else:
+        hot = cut_lineage(hot)
+    joined = (
+        places.withColumn("_hour", hour)
+        .alias("p")
+        .join(hot.alias("h"), _same("p", "h", (*keys, "_hour")), "left")
+    )
+    second = F.date_trunc("second", F.col(f"p.{time}"))
+    return joined.select(
+        *(F.col(f"p.{c}") for c in places.columns),
+        F.when(F.col("h._hour").isNotNull(), second).otherwise(F.col("p._hour")).alias("_bucket"),
+    )
+
+
 def forward_fill(
     df: DataFrame,
     value: str = "price",
     keys: Sequence[str] = POINT,
     time: str = "timestamp",
     tie_break: str | None = None,
-    bucket: str = "hour",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give a null value the latest known value of its key at or before its time.
 
@@ -60,19 +108,18 @@ def forward_fill(
     the greatest value) counts. Rows with a value are passed through without a
     shuffle. For the others one known value per key and time is kept, combined
     before the shuffle, so copies cost nothing; these are searched inside time
-    buckets, and the last value of each bucket is carried on to later ones. No
-    task holds more than one key's buckets or one bucket's distinct times.
+    buckets, and the last value of each bucket is carried on to later ones. An
+    hour of a key with more than ``hot_rows`` rows is cut into seconds; finding
+    such hours runs a job. So a task holds one key's buckets, or the distinct
+    times of a small hour or of one second, whatever the skew.
     """
     order = F.col(tie_break or value)
     known = F.col(value).isNotNull()
-    places = (
-        df.groupBy(*keys, time)
-        .agg(
-            F.max_by(value, F.when(known, order)).alias("_known"),
-            F.bool_or(~known).alias("_wanted"),
-        )
-        .withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
+    places = df.groupBy(*keys, time).agg(
+        F.max_by(value, F.when(known, order)).alias("_known"),
+        F.bool_or(~known).alias("_wanted"),
     )
+    places = _with_buckets(places, df, keys, time, hot_rows)
     inside = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(time)
@@ -95,13 +142,10 @@ def forward_fill(
         .drop("_last", "_any")
     )
 
-    left, right = local.alias("l"), carried.alias("r")
-    same_bucket = F.col("l._bucket") == F.col("r._bucket")
-    for key in keys:
-        same_bucket &= F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     fills = (
-        left.where("_wanted")
-        .join(right, same_bucket, "left")
+        local.where("_wanted")
+        .alias("l")
+        .join(carried.alias("r"), _same("l", "r", (*keys, "_bucket")), "left")
         .select(
             *(F.col(f"l.{c}").alias(f"_{c}") for c in (*keys, time)),
             F.coalesce("l._local", "r._carry").alias("_fill"),
