@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from wattframe.functions.times import parse_feed_time
 from wattframe.sources import evaluation, feeds, normalize, tables, vectors
 
 
@@ -144,6 +145,18 @@ def test_daylight_saving_rows(spark):
     assert stamps == [datetime(2024, 3, 10, 7, 30), datetime(2024, 11, 3, 5, 30)]
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [("2025-07-31 13", datetime(2025, 7, 31, 13)), ("7/31/2025", datetime(2025, 7, 31)),
+     ("7/31/2025 13", datetime(2025, 7, 31, 13)), ("07/31/2025 13:05:09", datetime(2025, 7, 31, 13, 5, 9)),
+     ("7/31/2025 1:05 PM", datetime(2025, 7, 31, 13, 5)), ("20250731 13:05", datetime(2025, 7, 31, 13, 5)),
+     ("2025-07-31 24", None), ("soon", None)],
+)
+def test_feed_time_layouts(spark, text, expected):
+    row = texts(spark, text).select(parse_feed_time(F.col("value")).alias("t")).first()
+    assert row.t == expected
+
+
 def test_unknown_columns_fail(spark):
     with pytest.raises(ValueError, match="time column"):
         normalize.normalize_pjm(spark.createDataFrame([("1",)], "lmp string"))

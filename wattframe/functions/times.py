@@ -14,7 +14,7 @@ MARKET_ZONES = {"PJM": "America/New_York", "MISO": "America/Chicago"}
 PEAK_HOURS = (14, 18)
 
 # Layouts tried after the ISO form.
-FEED_LAYOUTS = ("M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "yyyyMMdd HH:mm[:ss]")
+FEED_LAYOUTS = ("M/d/yyyy[ H[:mm[:ss]]]", "M/d/yyyy h:mm[:ss] a", "yyyyMMdd HH:mm[:ss]")
 
 _ZONE_SUFFIX = r"(?i)\d\s*(?:z|utc|[+-]\d{2}:?\d{2})\s*$"
 
