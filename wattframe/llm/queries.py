@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wattframe.llm import toxicity
+from wattframe.llm.bpe import bpe_decode, bpe_encode
 from wattframe.llm.exact_dedup import exact_dedup
+from wattframe.llm.html_text import extract_main_text
+from wattframe.llm.packing import pack
 from wattframe.llm.simhash import simhash_dedup
+from wattframe.llm.topk import exact_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,11 +30,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_bpe_round_trip(spark, sf_dir):
+    encoded = bpe_encode(_table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe_decode(encoded, _tokenizer()).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op3_simhash_dedup(spark, sf_dir):
     return simhash_dedup(_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+@query
+def op4_exact_topk(spark, sf_dir):
+    return exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL["op4_exact_topk"] = """
+WITH vectors AS (
+    SELECT vec_id,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors q
+    JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.learnable_id())
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (~toxicity.learnable_id()).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -42,3 +101,13 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op8_main_text(spark, sf_dir):
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, end_id=0)
