@@ -12,6 +12,7 @@ from wattframe.llm import toxicity
 from wattframe.llm.bpe import bpe_decode, bpe_encode
 from wattframe.llm.exact_dedup import exact_dedup
 from wattframe.llm.html_text import extract_main_text
+from wattframe.llm.line_templates import drop_recurring_lines
 from wattframe.llm.packing import pack
 from wattframe.llm.simhash import simhash_dedup
 from wattframe.llm.topk import exact_topk
@@ -111,3 +112,61 @@ def op8_main_text(spark, sf_dir):
 @query
 def op9_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, end_id=0)
+
+
+@query
+def op10_line_templates(spark, sf_dir):
+    kept = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+SQL["op10_line_templates"] = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+    SELECT text, unnest(string_split(text, chr(10))) AS body,
+           generate_subscripts(string_split(text, chr(10)), 1) AS line
+    FROM (SELECT DISTINCT text FROM texts)
+),
+general AS (
+    SELECT text, line, tokens,
+           concat_ws(' ', len(tokens), array_to_string(tokens[1:3], ' ')) AS leaf
+    FROM (
+        SELECT text, line,
+               list_transform(
+                   list_filter(string_split(translate(body, chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '),
+                               lambda t: t <> ''),
+                   lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+        FROM lines)
+    WHERE len(tokens) >= 3
+),
+leaves AS (SELECT leaf FROM general GROUP BY leaf HAVING count(DISTINCT text) >= 5),
+fields AS (
+    SELECT text, line, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+    FROM general JOIN leaves USING (leaf)
+),
+constant AS (
+    SELECT leaf, place, token FROM fields WHERE token <> '<*>'
+    GROUP BY ALL HAVING count(DISTINCT text) >= 5
+),
+templates AS (
+    SELECT text, line, leaf,
+           string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE f.token END, ' ' ORDER BY f.place) AS template
+    FROM fields f LEFT JOIN constant c USING (leaf, place, token)
+    GROUP BY text, line, leaf
+    HAVING avg(CASE WHEN c.token IS NULL THEN 0 ELSE 1 END) >= 0.6
+),
+recurring AS (
+    SELECT leaf, template FROM templates GROUP BY ALL HAVING count(DISTINCT text) >= 5
+),
+dropped AS (SELECT text, line FROM templates JOIN recurring USING (leaf, template)),
+kept AS (
+    SELECT l.text, count(*) AS n_lines, count(d.line) AS n_dropped,
+           coalesce(string_agg(l.body, chr(10) ORDER BY l.line) FILTER (d.line IS NULL), '') AS body
+    FROM lines l LEFT JOIN dropped d ON d.text = l.text AND d.line = l.line
+    GROUP BY l.text
+)
+SELECT doc_id, n_lines, n_dropped, sha256(body) AS kept_sha256
+FROM texts JOIN kept USING (text)
+"""
