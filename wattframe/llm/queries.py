@@ -14,6 +14,8 @@ from wattframe.llm.exact_dedup import exact_dedup
 from wattframe.llm.html_text import extract_main_text
 from wattframe.llm.line_templates import drop_recurring_lines
 from wattframe.llm.packing import pack
+from wattframe.llm.repeats import remove_repeats
+from wattframe.llm.secrets import mask_secrets
 from wattframe.llm.simhash import simhash_dedup
 from wattframe.llm.topk import exact_topk
 
@@ -35,6 +37,13 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_repeated_strings(spark, sf_dir):
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op2_bpe_round_trip(spark, sf_dir):
     encoded = bpe_encode(_table(spark, sf_dir, "documents"), _tokenizer())
@@ -81,8 +90,8 @@ def op5_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.learnable_id())
     return toxicity.score(docs.select("doc_id", "text"), model).select(
-        "doc_id",
-        (~toxicity.learnable_id()).alias("held_out"),
+        "doc.doc_id",
+        (~toxicity.learnable_id("doc.doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
@@ -104,6 +113,16 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    return mask_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc.doc_id",
+        "n_candidates",
+        "n_secrets",
+        F.sha2(F.col("text").cast("binary"), 256).alias("masked_sha256"),
+    )
+
+
 @query
 def op8_main_text(spark, sf_dir):
     return extract_main_text(_table(spark, sf_dir, "pages"))

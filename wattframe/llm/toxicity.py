@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattframe.llm.scratch import columns_of, whole_text
 from wattframe.llm.words import split_words, text_slices
@@ -168,9 +169,10 @@ def fit(
 def score(
     docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_column: str = "text", bits: int = BITS
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score``, from 0 to 1; null and empty texts have the intercept's.
+    """``(doc, score)``: each row as a struct, and its score from 0 to 1.
 
-    Without a model every score is 0. An empty table gives an empty one.
+    Null and empty texts have the score of the intercept. Without a model every score
+    is 0. An empty table gives an empty one.
     """
     at, weight = model
 
@@ -178,23 +180,16 @@ def score(
         dense = np.zeros((1 << bits) + 1)
         dense[at] = weight
         for batch in batches:
-            texts = batch.column("__text")
-            batch = batch.select([n for n in batch.schema.names if n != "__text"])
-            scores = []
-            for some in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            for some in text_slices(batch, "text"):
                 row, found = coordinates(some.column("text"), bits)
                 heavy = dense[found] != 0
                 keys = np.unique(row[heavy] << bits | found[heavy])
                 sums = np.bincount(keys >> bits, dense[keys & ((1 << bits) - 1)], minlength=len(some))
-                scores.append(sigmoid(sums + dense[-1]) if len(at) else np.zeros(len(some)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))],
-                [*batch.schema.names, "score"],
-            )
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    marked = docs.withColumn("__text", whole_text(text_column))
-    return marked.mapInArrow(run, f"{schema}, score double")
+                scores = sigmoid(sums + dense[-1]) if len(at) else np.zeros(len(some))
+                yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(scores)], ["doc", "score"])
+
+    packed = docs.select(F.struct("*").alias("doc"), whole_text(f"`{text_column}`").alias("text"))
+    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def learnable_id(id_column: str = "doc_id") -> Column:
