@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattframe.operators.timeseries import hourly_mean
@@ -19,7 +20,8 @@ def test_json_payloads_are_ingested_once_per_file(spark, tmp_path):
 
     def run():
         records = market.read_payload_stream(spark, landing, "LocalTime string, Pnode string, LMP string")
-        market.ingest(records, normalize.normalize_miso, table, state).awaitTermination()
+        conform = lambda batch: normalize.conform(batch, normalize.MISO)
+        market.ingest(records, conform, table, state).awaitTermination()
         return spark.read.parquet(table)
 
     land("one.json", (1, 2))
@@ -31,47 +33,49 @@ def test_json_payloads_are_ingested_once_per_file(spark, tmp_path):
     assert run().count() == 5
 
 
-def test_stream_hours_equal_batch_hours(spark, small, tmp_path):
-    streamed = market.run_to_table(
-        market.hourly(views.market_stream(spark, small)), str(tmp_path / "t"), str(tmp_path / "s")
+@pytest.mark.parametrize("files", [1, 1000])
+def test_batch_size_does_not_matter(spark, small, tmp_path, files):
+    raw = views.pjm_raw(spark, small)
+    raw.repartition(4).write.csv(str(tmp_path / "in"), header=True)
+    records = market.read_csv_stream(
+        spark, str(tmp_path / "in"), ", ".join(f"{c} string" for c in raw.columns), files
     )
-    batch = hourly_mean(views.market(spark, small))
-    both = streamed.join(batch.withColumnRenamed("price", "mean"), ["settlement_point", "timestamp"])
-    assert both.count() == streamed.count() > 0
+    conform = lambda batch: normalize.conform(batch, normalize.PJM)
+    market.ingest(records, conform, str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
+    streamed = normalize.cleaned(spark.read.parquet(str(tmp_path / "t")).drop("batch_id"))
+    batch = normalize.normalize_pjm(raw)
+    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+def test_stream_hours_equal_batch_hours(spark, small, tmp_path):
+    table = str(tmp_path / "t")
+    market.hourly(views.market_stream(spark, small), table, str(tmp_path / "s")).awaitTermination()
+    batch = hourly_mean(views.market(spark, small)).withColumnRenamed("price", "mean")
+    streamed = market.hourly_means(spark, table)
+    both = streamed.join(batch, ["settlement_point", "timestamp"])
+    assert both.count() == streamed.count() == batch.count() > 0
     assert both.where(F.abs(F.col("price") - F.col("mean")) > 1e-9).count() == 0
-    # The hours within the allowed lateness are still open.
-    assert 0 < batch.count() - streamed.count() <= 5 * 4
 
 
-def test_late_rows_within_the_limit_count(spark, tmp_path):
-    source = str(tmp_path / "in")
-    schema = "timestamp timestamp, settlement_point string, price double"
+def _land(spark, path, rows):
+    schema = "iso string, timestamp timestamp, settlement_point string, price double"
     start = datetime(2025, 7, 31)
+    made = [("PJM", start + timedelta(minutes=m), "A", p) for m, p in rows]
+    spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
-    def land(rows):
-        spark.createDataFrame(
-            [(start + timedelta(minutes=m), "A", float(p)) for m, p in rows], schema
-        ).coalesce(1).write.mode("append").parquet(source)
-
-    def run():
-        stream = market.hourly(spark.readStream.schema(schema).parquet(source))
-        return market.run_to_table(stream, str(tmp_path / "t"), str(tmp_path / "s"))
 
-    land([(10, 10), (130, 1)])
-    run()
-    land([(20, 30), (400, 1)])  # late by less than two hours
-    run()
-    land([(30, 1000), (900, 1)])  # too late
-    rows = {r.timestamp.hour: r.price for r in run().collect()}
-    assert rows[0] == 20.0
+def test_late_rows_count_however_late(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    for rows in ([(10, 10.0), (130, 1.0)], [(20, 30.0), (900, 1.0)], [(30, None), (40, 50.0)]):
+        market.hourly(_land(spark, source, rows), table, state).awaitTermination()
+    means = {r.timestamp.hour: r.price for r in market.hourly_means(spark, table).collect()}
+    assert means == {0: 30.0, 2: 1.0, 15: 1.0}
 
 
-def test_replays_are_dropped(spark, tmp_path):
-    source = str(tmp_path / "in")
-    schema = "iso string, timestamp timestamp, settlement_point string, price double"
-    rows = [("PJM", datetime(2025, 7, 31, h), "A", float(h)) for h in range(3)]
-    for _ in range(2):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    stream = market.drop_replays(spark.readStream.schema(schema).parquet(source))
-    out = market.run_to_table(stream, str(tmp_path / "t"), str(tmp_path / "s"))
-    assert sorted(r.price for r in out.collect()) == [0.0, 1.0, 2.0]
+def test_replays_are_dropped_and_late_rows_and_corrections_kept(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    for rows in ([(1200, 20.0), (1260, 21.0), (1260, 21.0)], [(180, 3.0), (1260, 21.0)], [(1260, 22.0), (60, None), (60, None)]):
+        market.drop_replays(_land(spark, source, rows), table, state).awaitTermination()
+    kept = [(r.timestamp.hour, r.price) for r in spark.read.parquet(table).collect()]
+    assert sorted(kept, key=str) == sorted([(20, 20.0), (21, 21.0), (3, 3.0), (21, 22.0), (1, None)], key=str)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from wattframe.functions.numbers import coerce_double
 from wattframe.functions.times import MARKET_ZONES, feed_time_to_utc
 from wattframe.operators.cleaning import clean_prices
-from wattframe.workspace import shared_folder
 
 COMMON_COLUMNS = (
     "timestamp",
@@ -124,26 +123,31 @@ def conform(raw: DataFrame, names: FeedNames) -> DataFrame:
     )
 
 
-def normalize(raw: DataFrame, names: FeedNames, staging: str | None = None) -> DataFrame:
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Rows in the common schema with prices filled and bounded."""
+    return clean_prices(rows, cap=FEED_PRICE_CAP).select(*COMMON_COLUMNS)
+
+
+def normalize(raw: DataFrame, names: FeedNames, landed: str | None = None) -> DataFrame:
     """Raw feed rows in the common schema with prices filled and bounded.
 
-    Cleaning reads its rows several times, and feed text is slow to parse. The
-    parsed rows are therefore written once, to ``staging`` or a new path in the
-    shared folder, and cleaned from there. Runs jobs.
+    Cleaning reads its rows several times, and feed text is slow to parse. With
+    ``landed`` the parsed rows are written there once, as the feed's landed
+    table, and cleaned from it. Else they are parsed at each reading.
     """
-    spark = raw.sparkSession
-    path = staging or shared_folder(spark, f"conformed-{names.iso.lower()}")
-    conform(raw, names).write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
-    return clean_prices(rows, cap=FEED_PRICE_CAP).select(*COMMON_COLUMNS)
+    rows = conform(raw, names)
+    if landed is not None:
+        rows.write.mode("overwrite").parquet(landed)
+        rows = raw.sparkSession.read.schema(rows.schema).parquet(landed)
+    return cleaned(rows)
 
 
-def normalize_pjm(raw: DataFrame, staging: str | None = None) -> DataFrame:
-    return normalize(raw, PJM, staging)
+def normalize_pjm(raw: DataFrame, landed: str | None = None) -> DataFrame:
+    return normalize(raw, PJM, landed)
 
 
-def normalize_miso(raw: DataFrame, staging: str | None = None) -> DataFrame:
-    return normalize(raw, MISO, staging)
+def normalize_miso(raw: DataFrame, landed: str | None = None) -> DataFrame:
+    return normalize(raw, MISO, landed)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

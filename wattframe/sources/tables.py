@@ -27,9 +27,8 @@ FEATURE_SCAN_COLUMNS = ("window_id", "target_time", "target_price", *FORECAST_IN
 # Folder column of market tables stored by market and date.
 DATE_FOLDER = "date"
 
-# Rows read for documents and for forecasts.
+# Fixed value: rows read for documents.
 LATEST_FOR_DOCUMENTS = 500
-LATEST_FOR_FORECAST = 1000
 
 
 def scan_sorted(
@@ -83,16 +82,22 @@ def load_feature_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy("window_id")
 
 
-def table_rows(spark: SparkSession, path: str) -> int:
-    """Rows stored at a path, 0 when nothing is there yet. Runs a job."""
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None when nothing is there yet."""
     try:
-        return spark.read.parquet(path).count()
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return 0
+            return None
         raise
 
 
+def table_rows(spark: SparkSession, path: str) -> int:
+    """Rows stored at a path, 0 when nothing is there yet. Runs a job."""
+    stored = stored_rows(spark, path)
+    return 0 if stored is None else stored.count()
+
+
 def sink_replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table, replacing what was there, and return it as stored."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattframe.sources.feeds import ENVELOPE_KEYS, unwrap_envelope
 from wattframe.sources.normalize import COMMON_COLUMNS
+from wattframe.sources.tables import stored_rows
 
-LATENESS = "2 hours"
-EVENT_KEYS = ("iso", "settlement_point", "timestamp")
+#: Columns in which a replayed row equals its first copy; another price is a correction.
+EVENT_COLUMNS = ("iso", "settlement_point", "timestamp", "price")
 
 
 def read_payload_stream(
@@ -47,69 +47,86 @@ def read_csv_stream(
     )
 
 
-def ingest(
-    records: DataFrame,
-    normalize: Callable[[DataFrame], DataFrame],
+def _batches_to(
+    stream: DataFrame,
     table: str,
     checkpoint: str,
+    prepare: Callable[[DataFrame, int], DataFrame],
+    partition_by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Normalise each batch of records and add it to a table.
-
-    A batch has a folder of its own which a rerun replaces, so a batch that is
-    repeated after a failure is not stored twice.
-    """
+    """Store each batch in a folder of its own, which a rerun of the batch replaces."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        normalize(batch).select(*COMMON_COLUMNS).write.mode("overwrite").parquet(
-            f"{table}/batch_id={batch_id}"
-        )
+        path = f"{table}/batch_id={batch_id}"
+        prepare(batch, batch_id).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
     return (
-        records.writeStream.foreachBatch(store)
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def hourly(market: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Mean price per point and hour; rows later than ``lateness`` are left out."""
-    return (
-        market.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", "1 hour").alias("_w"), "settlement_point")
-        .agg(F.avg("price").alias("price"))
-        .select("settlement_point", F.col("_w.start").alias("timestamp"), "price")
+def ingest(
+    records: DataFrame,
+    conform: Callable[[DataFrame], DataFrame],
+    table: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Bring each batch of records to the common schema and add it to a table.
+
+    Prices are stored as they came. Filling and the median look at other rows, so
+    they belong to the reading of the table (``normalize.cleaned``): its result
+    is then the same however the records were cut into batches.
+    """
+    return _batches_to(
+        records, table, checkpoint, lambda batch, _: conform(batch).select(*COMMON_COLUMNS)
     )
 
 
-def _thin(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.drop_duplicates(keys)
+def hourly(market: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Add each batch's sums and counts per point and hour to a table.
+
+    Rows may come late by any time: the hour they belong to gets a further
+    sum, and no state is held. ``hourly_means`` reads the result.
+    """
+
+    def totals(batch: DataFrame, _: int) -> DataFrame:
+        hour = F.date_trunc("hour", F.col("timestamp"))
+        return batch.groupBy("settlement_point", hour.alias("timestamp")).agg(
+            F.sum("price").alias("total"), F.count("price").alias("n")
+        )
+
+    return _batches_to(market, table, checkpoint, totals)
+
+
+def hourly_means(spark: SparkSession, table: str) -> DataFrame:
+    """Mean price per point and hour over all batches stored so far, open hours included."""
+    price = F.try_divide(F.sum("total"), F.sum("n")).alias("price")
+    return spark.read.parquet(table).groupBy("settlement_point", "timestamp").agg(price)
 
 
 def drop_replays(
-    market: DataFrame, keys: Sequence[str] = EVENT_KEYS, lateness: str = LATENESS
-) -> DataFrame:
-    """First copy of each row; copies are remembered for ``lateness``.
+    market: DataFrame, table: str, checkpoint: str, columns: Sequence[str] = EVENT_COLUMNS
+) -> StreamingQuery:
+    """Add the rows of each batch that are not stored yet to a table.
 
-    Streaming de-duplication sends every copy to the task that holds the key.
-    Copies are therefore thinned out before that, within each task's own rows,
-    so a row replayed very often does not load one task.
+    A first copy is stored however late it comes, and a row with another price
+    is no copy. A batch is compared with what is stored for its own dates only.
     """
-    names = list(keys)
-    thinned = market.mapInPandas(lambda frames: _thin(frames, names), market.schema)
-    return thinned.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(names)
-
+    spark, names = market.sparkSession, list(columns)
+
+    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = batch.select(*names).distinct().withColumn("date", F.to_date("timestamp"))
+        stored = stored_rows(spark, table)
+        if stored is None:
+            return rows
+        days = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+        earlier = stored.where(
+            (F.col("batch_id") != batch_id) & F.col("date").between(F.lit(days["first"]), F.lit(days["last"]))
+        )
+        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in names]
+        return rows.alias("new").join(earlier.alias("old"), same, "left_anti")
 
-def run_to_table(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now, appending to a Parquet table, and read it."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(table)
+    return _batches_to(market, table, checkpoint, fresh, partition_by=("date",))
