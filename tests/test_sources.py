@@ -54,6 +54,26 @@ def test_envelopes(spark, payload, expected):
     assert [r.a for r in rows] == expected
 
 
+@pytest.mark.parametrize("payload", ['{"items":[{"a":"1"},{"a"', '[{"a":"1"},', "no json", '{"items":{"a":"1"}}'])
+def test_unreadable_payloads_fail_or_are_reported(spark, payload):
+    both = texts(spark, '{"items":[{"a":"1"}]}').unionByName(texts(spark, payload))
+    with pytest.raises(Exception, match="no readable JSON"):
+        feeds.unwrap_envelope(both, "a string").collect()
+    assert [r.a for r in feeds.unwrap_envelope(both, "a string", skip_bad=True).collect()] == ["1"]
+    assert [r.value for r in feeds.bad_payloads(both).collect()] == [payload]
+    cut = texts(spark, '{"data":[["2025-07-31T00:30:00",false,"HB",1.0],["2025')
+    with pytest.raises(Exception, match="no readable JSON"):
+        feeds.parse_positional(cut).collect()
+    assert feeds.parse_positional(cut, skip_bad=True).isEmpty()
+
+
+def test_vector_store_is_read_in_linear_steps(spark):
+    store = {"vectors": {f"v{i}": [float(i)] for i in range(300)}, "metadata": {f"v{i}": {"n": str(i)} for i in range(0, 400, 2)}}
+    rows = {r.doc_id: r for r in vectors.vectors_from_map(texts(spark, json.dumps(store), json.dumps(store))).collect()}
+    assert len(rows) == 300 and rows["v4"].metadata == {"n": "4"} and rows["v5"].metadata is None
+    assert rows["v7"].embedding == [7.0]
+
+
 def test_miso_envelope_has_no_capital_items(spark):
     rows = feeds.unwrap_envelope(texts(spark, '{"Items":[{"a":"3"}]}'), "a string", keys=("items", "data"))
     assert rows.count() == 0
@@ -104,7 +124,7 @@ def test_staged_feed_gives_the_same(spark, tmp_path):
         "LocalTime string, Pnode string, LMP string",
     )
     direct = normalize.normalize_miso(raw).collect()
-    staged = normalize.normalize_miso(raw, staging=str(tmp_path / "s")).collect()
+    staged = normalize.normalize_miso(raw, landed=str(tmp_path / "s")).collect()
     assert sorted(direct) == sorted(staged) and len(direct) == 2
 
 
