@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STORE_SCHEMA = (
@@ -14,11 +14,34 @@ STORE_SCHEMA = (
 
 def vectors_from_map(stores: DataFrame, text_col: str = "value") -> DataFrame:
     """Store texts ``{"vectors": {id: [...]}, "metadata": {id: {...}}}`` to one row per id."""
-    store = stores.select(F.from_json(F.col(text_col), STORE_SCHEMA).alias("s"))
-    return store.select(
-        F.explode(F.col("s.vectors")).alias("doc_id", "embedding"),
-        F.col("s.metadata").alias("metadata"),
-    ).select("doc_id", "embedding", F.try_element_at("metadata", "doc_id").alias("metadata"))
+    store = stores.select(
+        F.monotonically_increasing_id().alias("store"), F.from_json(F.col(text_col), STORE_SCHEMA).alias("s")
+    )
+
+    def entries(field: str, embedding: bool) -> Column:
+        pairs = F.coalesce(F.map_entries(f"s.{field}"), F.array())
+        return F.transform(
+            pairs,
+            lambda e: F.struct(
+                e["key"].alias("doc_id"),
+                F.lit(embedding).alias("is_vector"),
+                (e["value"] if embedding else F.lit(None)).cast("array<double>").alias("embedding"),
+                (F.lit(None) if embedding else e["value"]).cast("map<string,string>").alias("metadata"),
+            ),
+        )
+
+    # Each map is gone through once, and an id's two entries meet by (store, id).
+    both = F.concat(entries("vectors", True), entries("metadata", False))
+    paired = (
+        store.select("store", F.explode(both).alias("e"))
+        .groupBy("store", "e.doc_id")
+        .agg(
+            F.get(F.collect_list("e.embedding"), F.lit(0)).alias("embedding"),
+            F.get(F.collect_list("e.metadata"), F.lit(0)).alias("metadata"),
+            F.bool_or("e.is_vector").alias("has_vector"),
+        )
+    )
+    return paired.where("has_vector").select("doc_id", "embedding", "metadata")
 
 
 def read_vector_map(spark: SparkSession, path: str) -> DataFrame:
