@@ -55,13 +55,12 @@ def test_fill_crosses_buckets_and_takes_the_tie_break(prices):
     assert values(cleaning.forward_fill(rows, tie_break="row_id")) == [1.0, 2.0, 2.0, None, 2.0]
 
 
-@pytest.mark.parametrize("hot_rows, hours", [(1_000_000, 100), (5, 100), (0, 0)])
-def test_fill_against_brute_force(spark, monkeypatch, hot_rows, hours):
-    monkeypatch.setattr(cleaning, "_BROADCAST_HOURS", hours)
+@pytest.mark.parametrize("unit", ["seconds", "ms"])
+def test_fill_against_brute_force(spark, unit):
     rng = random.Random(5)
     start = pd.Timestamp("2025-01-01")
     rows = [
-        (i, start + pd.Timedelta(seconds=rng.randrange(0, 360000, 20)), "hot" if rng.random() < 0.6 else rng.choice("ab"),
+        (i, start + pd.Timedelta(rng.randrange(0, 360000, 20), unit=unit), "hot" if rng.random() < 0.6 else rng.choice("ab"),
          rng.choice([None, None, rng.randrange(100) / 2]))
         for i in range(600)
     ]
@@ -72,7 +71,7 @@ def test_fill_against_brute_force(spark, monkeypatch, hot_rows, hours):
             {"price": "float64"}
         )
     ).withColumn("price", F.when(~F.isnan("price"), F.col("price")))
-    got = values(cleaning.forward_fill(df, tie_break="row_id", hot_rows=hot_rows))
+    got = values(cleaning.forward_fill(df, tie_break="row_id"))
     for i, ts, point, price in rows:
         if price is None:
             known = [r for r in rows if r[2] == point and r[1] <= ts and r[3] is not None]
@@ -99,6 +98,21 @@ def test_exact_quantile_against_numpy(spark, kind, q):
     assert got == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
 
 
+def test_exact_quantile_narrows_many_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_FEW", 10)
+    monkeypatch.setattr(quantiles, "_RANGES", 8)
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.normal(0, 1, 400), 10.0 ** rng.integers(-200, 200, 100), np.full(300, 0.25)])
+    df = spark.createDataFrame([(float(x),) for x in data], "v double")
+    for q in (0.1, 0.5, 0.77):
+        assert quantiles.exact_quantile(df, "v", q).first()[0] == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
+
+
+def test_median_is_left_out_where_nothing_is_empty(spark, prices, monkeypatch):
+    monkeypatch.setattr(cleaning, "exact_quantile", None)
+    assert values(cleaning.impute_median(prices([(at(0), 1.0)]))) == [1.0]
+
+
 def test_quantile_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.exact_quantile(df, "v").first()[0] is None

@@ -17,11 +17,6 @@ PRICE_CAP = 1000.0
 
 POINT = ("settlement_point",)
 
-# Rows of a key in one hour above which the hour is cut into seconds, and hours
-# of that kind that may be broadcast.
-HOT_ROWS = 1_000_000
-_BROADCAST_HOURS = 100_000
-
 # Columns of a feature table that are not model inputs.
 NON_FEATURES = frozenset(
     {
@@ -60,38 +55,16 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return same
 
 
-def _with_buckets(
-    places: DataFrame, rows: DataFrame, keys: Sequence[str], time: str, hot_rows: int
+def _carry(
+    places: DataFrame, keys: Sequence[str], within: Sequence[str], by: str, known: str
 ) -> DataFrame:
-    """Places with a time bucket: the hour, or the second where an hour holds very much.
-
-    An hour below the limit is small, and a second has a million distinct times
-    at most. Bucket starts keep the order of time either way.
-    """
-    hour = F.date_trunc("hour", F.col(time))
-    hot = (
-        rows.groupBy(*keys, hour.alias("_hour"))
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .drop("_n")
-    )
-    found = hot.limit(_BROADCAST_HOURS + 1).collect()
-    if not found:
-        return places.withColumn("_bucket", hour)
-    if len(found) <= _BROADCAST_HOURS:
-        hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
-    else:
-        hot = cut_lineage(hot)
-    joined = (
-        places.withColumn("_hour", hour)
-        .alias("p")
-        .join(hot.alias("h"), _same("p", "h", (*keys, "_hour")), "left")
-    )
-    second = F.date_trunc("second", F.col(f"p.{time}"))
-    return joined.select(
-        *(F.col(f"p.{c}") for c in places.columns),
-        F.when(F.col("h._hour").isNotNull(), second).otherwise(F.col("p._hour")).alias("_bucket"),
+    """``known`` of each place, or the last one before it among the places of ``within``."""
+    upto = (
+        Window.partitionBy(*keys, *within)
+        .orderBy(by)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    return places.withColumn("_local", F.last(known, ignorenulls=True).over(upto))
 
 
 def forward_fill(
@@ -100,52 +73,51 @@ def forward_fill(
     keys: Sequence[str] = POINT,
     time: str = "timestamp",
     tie_break: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give a null value the latest known value of its key at or before its time.
 
     Among known values of one time the one with the greatest ``tie_break`` (else
     the greatest value) counts. Rows with a value are passed through without a
     shuffle. For the others one known value per key and time is kept, combined
-    before the shuffle, so copies cost nothing; these are searched inside time
-    buckets, and the last value of each bucket is carried on to later ones. An
-    hour of a key with more than ``hot_rows`` rows is cut into seconds; finding
-    such hours runs a job. So a task holds one key's buckets, or the distinct
-    times of a small hour or of one second, whatever the skew.
+    before the shuffle, so copies cost nothing. These are searched within their
+    second; what a second knows last is carried within its hour, and what an
+    hour knows last from hour to hour. So a task orders the distinct times of one
+    second, the seconds of one hour, or the hours of one key, whatever the skew.
     """
     order = F.col(tie_break or value)
     known = F.col(value).isNotNull()
+    second, hour = (F.date_trunc(unit, F.col(time)) for unit in ("second", "hour"))
     places = df.groupBy(*keys, time).agg(
         F.max_by(value, F.when(known, order)).alias("_known"),
         F.bool_or(~known).alias("_wanted"),
     )
-    places = _with_buckets(places, df, keys, time, hot_rows)
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(time)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = places.withColumns({"_second": second, "_hour": hour})
+    local = _carry(places, keys, ("_hour", "_second"), time, "_known")
+    seconds = local.groupBy(*keys, "_hour", "_second").agg(
+        F.max_by("_local", time).alias("_last"), F.bool_or("_wanted").alias("_any")
     )
-    local = places.withColumn("_local", F.last("_known", ignorenulls=True).over(inside))
-
-    # Both uses of the places read one shuffle: the last value of a bucket is the
-    # latest filled one, found where the bucket already lies.
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    seconds = _carry(seconds, keys, ("_hour",), "_second", "_last")
+    before_second = Window.partitionBy(*keys, "_hour").orderBy("_second")
+    seconds = seconds.withColumn("_in_hour", F.lag("_local").over(before_second))
+    hours = seconds.groupBy(*keys, "_hour").agg(
+        F.max_by("_local", "_second").alias("_last"), F.bool_or("_any").alias("_any")
+    )
+    hours = _carry(hours, keys, (), "_hour", "_last").withColumn(
+        "_before", F.lag("_local").over(Window.partitionBy(*keys).orderBy("_hour"))
     )
     carried = (
-        local.groupBy(*keys, "_bucket")
-        .agg(F.max_by("_local", time).alias("_last"), F.bool_or("_wanted").alias("_any"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
-        .where("_any")
-        .drop("_last", "_any")
+        seconds.where("_any")
+        .alias("l")
+        .join(hours.where("_any").alias("r"), _same("l", "r", (*keys, "_hour")), "left")
+        .select(
+            *(F.col(f"l.{c}") for c in (*keys, "_second")),
+            F.coalesce("l._in_hour", "r._before").alias("_carry"),
+        )
     )
-
     fills = (
         local.where("_wanted")
         .alias("l")
-        .join(carried.alias("r"), _same("l", "r", (*keys, "_bucket")), "left")
+        .join(carried.alias("r"), _same("l", "r", (*keys, "_second")), "left")
         .select(
             *(F.col(f"l.{c}").alias(f"_{c}") for c in (*keys, time)),
             F.coalesce("l._local", "r._carry").alias("_fill"),
@@ -163,10 +135,13 @@ def forward_fill(
 def impute_median(
     df: DataFrame, value: str = "price", accuracy: int | None = None
 ) -> DataFrame:
-    """Give what is still null the median of the column.
+    """Give what is still null the median of the column, if anything is.
 
-    ``accuracy`` asks for the approximate median instead of the exact one.
+    ``accuracy`` asks for the approximate median instead of the exact one. Runs
+    jobs: ``df`` is read to see whether nulls are left, and again for the median.
     """
+    if df.where(F.col(value).isNull()).isEmpty():
+        return df
     if accuracy is None:
         median = exact_quantile(df, value)
     else:
@@ -192,10 +167,12 @@ def clean_prices(
     """Drop rows without a time, fill, impute, bound, drop what is still empty.
 
     Filling comes before bounding: a wild price can be filled forward and counts
-    in the median, and only then is it bounded.
+    in the median, and only then is it bounded. The filled rows are checkpointed,
+    so filling is done once. Runs jobs.
     """
+    require_columns(df, "timestamp", "price", *keys)
     timed = coerce_price(df).dropna(subset=["timestamp"])
-    filled = forward_fill(timed, keys=keys, tie_break=tie_break)
+    filled = cut_lineage(forward_fill(timed, keys=keys, tie_break=tie_break))
     imputed = impute_median(filled, accuracy=median_accuracy)
     return clamp_price(imputed, floor, cap).dropna(subset=["timestamp", "price"])
 

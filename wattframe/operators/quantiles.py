@@ -1,55 +1,46 @@
 """Exact quantiles that never hold a column's values in one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
-buffer. Here rows are first counted per value (combined before the shuffle),
-then the wanted ranks are located by narrowing value ranges: each pass counts a
-bounded number of ranges and keeps only those the ranks fall into. The counts
-are checkpointed, so the column itself is computed once.
+buffer. Here rows are first counted per value (combined before the shuffle), and
+the counts are checkpointed, so the column itself is computed once. A wanted rank
+is then found by cutting the values between the least and the greatest that are
+left into a fixed number of ranges and keeping the one that holds the rank, until
+few enough values are left to be put in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.workspace import cut_lineage
 
-# Ranges of one unit, at most 2 * 10^6 + 1 of them; values outside share the end ranges.
-_UNIT_LIMIT = 1.0e6
-# Each later pass cuts a range in 2^20.
-_CUTS = float(2**20)
-
-
-def _range_of(value: Column, origin: Column | None) -> Column:
-    if origin is None:
-        scaled, limit = value, _UNIT_LIMIT
-    else:
-        scaled, limit = (value - origin) * _CUTS, _CUTS
-    return F.floor(F.least(F.greatest(scaled, F.lit(-limit)), F.lit(limit)))
-
-
-def _ranks(total: Column, q: float) -> tuple[Column, Column, Column]:
-    place = (total - 1) * F.lit(q)
-    return F.floor(place), F.ceil(place), place - F.floor(place)
-
-
-def _holding(counts: DataFrame, keys: Sequence[str], by: str, q: float) -> DataFrame:
-    """Ranges whose ranks include a wanted one, with the rows below each."""
-    if keys:
-        upto = Window.partitionBy(*keys).orderBy(by)
-        counts = counts.withColumn("_upto", F.col("_base") + F.sum("_n").over(upto))
-    else:
-        # One row per unit range: at most 2,000,001 rows.
-        upto = Window.orderBy(by)
-        counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-            "_total", F.sum("_n").over(Window.partitionBy())
-        )
-    counts = counts.withColumn("_below", F.col("_upto") - F.col("_n"))
-    low, high, _ = _ranks(F.col("_total"), q)
-    inside = lambda rank: (F.col("_below") <= rank) & (rank < F.col("_upto"))
-    return counts.where(inside(low) | inside(high))
+# Ranges of one pass, and values that may be ordered in one task.
+_RANGES = 4096
+_FEW = 50_000
+
+
+def _value_at(counts: DataFrame, rank: int) -> float:
+    """The value of the row with that rank, counted from 0. Runs jobs."""
+    held = counts
+    while True:
+        ends = held.agg(F.min("_v"), F.max("_v"), F.count("*")).first()
+        low, high, values = ends
+        if low == high:
+            return low
+        if values <= _FEW:
+            upto = F.sum("_n").over(Window.orderBy("_v"))
+            found = held.select("_v", upto.alias("_upto")).where(F.col("_upto") > rank)
+            return found.agg(F.min("_v")).first()[0]
+        # Half of each, so that the distance of two finite numbers is finite.
+        part = (F.col("_v") / 2 - low / 2) / (high / 2 - low / 2)
+        ranged = held.withColumn("_r", F.least(F.floor(part * _RANGES), F.lit(_RANGES - 1)))
+        totals = ranged.groupBy("_r").agg(F.sum("_n").alias("_n"))  # one row per range
+        upto = F.sum("_n").over(Window.orderBy("_r"))
+        inside = totals.select("_r", "_n", upto.alias("_upto")).where(F.col("_upto") > rank)
+        place = inside.orderBy("_r").first()
+        rank -= place["_upto"] - place["_n"]
+        held = ranged.where(F.col("_r") == place["_r"]).drop("_r")
 
 
 def exact_quantile(
@@ -57,36 +48,21 @@ def exact_quantile(
 ) -> DataFrame:
     """One row with the interpolated quantile of a column; null values are left out.
 
-    Runs a job for the value counts.
+    Values are finite. Runs jobs: one for the value counts, and a few on these.
     """
     counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    units = counts.withColumn("_r1", _range_of(F.col("_v"), None))
-    first = _holding(units.groupBy("_r1").agg(F.sum("_n").alias("_n")), (), "_r1", q).select(
-        "_r1", F.col("_below").alias("_base"), "_total"
-    )
-    # At most two ranges hold the wanted ranks.
-    near = units.join(F.broadcast(first), "_r1").withColumn(
-        "_r2", _range_of(F.col("_v"), F.col("_r1"))
-    )
-    second = _holding(
-        near.groupBy("_r1", "_base", "_total", "_r2").agg(F.sum("_n").alias("_n")),
-        ("_r1",),
-        "_r2",
-        q,
-    ).select("_r1", "_r2", F.col("_below").alias("_base"))
-    nearest = near.drop("_base").join(F.broadcast(second), ["_r1", "_r2"])
-    values = _holding(nearest, ("_r1", "_r2"), "_v", q)
-    low, high, part = _ranks(F.col("_total"), q)
-    at = lambda rank: F.max(
-        F.when((F.col("_below") <= rank) & (rank < F.col("_upto")), F.col("_v"))
-    )
-    return values.agg(
-        at(low).alias("_low"), at(high).alias("_high"), F.max(part).alias("_part")
-    ).select((F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(alias))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    found = None
+    if total:
+        place = (total - 1) * q
+        low = _value_at(counts, int(place))
+        part = place - int(place)
+        found = low + (_value_at(counts, int(place) + 1) - low) * part if part else low
+    return df.sparkSession.createDataFrame([(found,)], f"{alias} double")
 
 
 def approx_quantile(
