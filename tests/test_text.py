@@ -130,15 +130,15 @@ def brute_topk(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("pass_bytes", [64 * 2**20, 400])
-def test_topk_against_brute_force(spark, pass_bytes):
+@pytest.mark.parametrize("query_rows, shard_rows", [(1024, 65_536), (5, 3)])
+def test_topk_against_brute_force(spark, query_rows, shard_rows):
     rng = np.random.default_rng(0)
     docs = rng.normal(size=(300, 8))
     docs[100:200] = docs[7]  # a third are copies
     docs[250] = 0.0
     queries = np.vstack([rng.normal(size=(20, 8)), docs[7:8], np.zeros((1, 8))])
     hits = retrieval.cosine_topk(
-        vectors(spark, docs).repartition(5), vectors(spark, queries, "query_id"), 5, pass_bytes
+        vectors(spark, docs).repartition(5), vectors(spark, queries, "query_id"), 5, query_rows, shard_rows
     ).collect()
     want = brute_topk(docs, queries, 5)
     assert len(hits) == len(want)
@@ -172,11 +172,16 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
-def test_lsh_with_many_buckets_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "_MAX_BUCKETS", 3)
+def test_lsh_scores_are_exact_and_copies_of_a_query_are_found(spark):
     rng = np.random.default_rng(4)
-    d, q = vectors(spark, rng.normal(size=(50, 8))), vectors(spark, rng.normal(size=(4, 8)), "query_id")
-    assert sorted(retrieval.cosine_topk_lsh(d, q).collect()) == sorted(retrieval.cosine_topk(d, q).collect())
+    docs, queries = rng.normal(size=(200, 8)), rng.normal(size=(4, 8))
+    docs[50:100] = queries[1]
+    d, q = vectors(spark, docs), vectors(spark, queries, "query_id")
+    want = brute_topk(docs, queries, 200)
+    score = {(query, hit[0]): hit[1] for (query, _), hit in want.items()}
+    hits = retrieval.cosine_topk_lsh(d, q).collect()
+    assert all(h.similarity == pytest.approx(score[h.query_id, h.doc_id], abs=1e-11) for h in hits)
+    assert [h.doc_id for h in sorted(hits, key=lambda h: h.rank) if h.query_id == 1] == [50, 51, 52, 53, 54]
 
 
 def test_hits_context_and_prompt(spark):
@@ -236,17 +241,35 @@ def test_question_to_prompt_flow(spark, prices):
     docs = documents.docs_observation(
         prices([("2025-07-31 15:30:00", 45.5, "NORTH"), ("2025-07-31 03:00:00", 12.0, "SOUTH")])
     )
-    model = embedding.fit_text_encoder(docs)
-    vecs = embedding.encode_text(model, docs).select("doc_id", "embedding")
+    weights = embedding.fit_text_encoder(docs)
+    vecs = embedding.encode_text(docs, weights).select("doc_id", "embedding")
     assert len(vecs.first().embedding) == embedding.DIMENSION
     questions = spark.createDataFrame([(1, "price at south during off-peak hours?")], "query_id int, question string")
     prompts, context = questions_to_prompts(
-        questions, vecs, docs.drop("text"), lambda df: embedding.encode_text(model, df), k=1
+        questions, vecs, docs.drop("text"), lambda df: embedding.encode_text(df, weights, doc_id="query_id"), k=1
     )
     assert "Market observation at SOUTH" in prompts.first().prompt
     assert context.first().retrieved_documents == 1
 
 
+def test_words_of_any_script_are_encoded(spark):
+    docs = spark.createDataFrame([(1, "prix élevé über größe"), (2, "цена"), (3, None)], "doc_id bigint, text string")
+    counts = embedding.term_counts(docs, dimension=1 << 30).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    assert {r.doc_id: r.n for r in counts.collect()} == {1: 4, 2: 1}
+    vecs = {r.doc_id: r.embedding for r in embedding.encode_text(docs).collect()}
+    assert sum(x * x for x in vecs[1]) == pytest.approx(1.0) and not any(vecs[3])
+
+
+def test_answers_without_a_mark(spark):
+    rows = [("Why? Because demand was high.", "Why?"), ("Why? no", "Why?"), ("Q: x\nA: Prices rose a lot today. ", None)]
+    got = retrieval.clean_answers(spark.createDataFrame(rows, "text string, prompt string"), prompt="prompt")
+    assert [r.answer for r in got.collect()] == [
+        "Because demand was high.",
+        "I'm not sure how to answer that question based on the available market data.",
+        "Prices rose a lot today.",
+    ]
+
+
 def moments(spark, stamps, name):
     rows = [(i, s) for i, s in enumerate(stamps)]
     id_name = "row_id" if name == "timestamp" else "window_id"
@@ -343,10 +366,14 @@ def test_technical_pair(spark):
     )
 
 
-def test_pairs_are_limited_and_repeatable(spark, small):
-    from wattframe.plans.registry import QUERIES
+def test_pairs_are_sampled_limited_on_request_and_repeatable(spark, small):
+    from wattframe.plans import views
 
-    one = QUERIES["qa_pairs"](spark, small).collect()
-    assert len(one) == 120 and one == QUERIES["qa_pairs"](spark, small).collect()
+    market, features = views.market(spark, small), views.features(spark, small)
+    matched = intervals.nearest_feature(market, features, ("window_id", *qa.MATCHED), by=("settlement_point",))
+    ids = ("row_id",), ("settlement_point", "window_id")
+    assert qa.qa_pairs(matched, features, *ids).count() > 1000
+    one = qa.qa_pairs(matched, features, *ids, limit=120).collect()
+    assert len(one) == 120 and one == qa.qa_pairs(matched, features, *ids, limit=120).collect()
     assert {r.type for r in one} == set(qa.SHARES)
     assert all(r.answer.endswith(".") and "{" not in r.question + r.answer for r in one)

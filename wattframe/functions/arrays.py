@@ -20,7 +20,3 @@ def sequence_json(sequence: Column) -> Column:
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))

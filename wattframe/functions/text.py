@@ -12,6 +12,9 @@ MIN_SENTENCE = 10
 MAX_SENTENCES = 3
 ANSWER_MARK = "\nA:"
 
+# Fixed value: reply where nothing is left of an answer.
+EMPTY_ANSWER = "I'm not sure how to answer that question based on the available market data."
+
 _SLOT = re.compile(r"\{(\w+)\}")
 
 # Every character that counts as white space.
@@ -38,9 +41,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def after_last_mark(text: Column, mark: str = ANSWER_MARK) -> Column:
-    """What follows the last mark, or the whole text where there is none."""
-    return strip(F.substring_index(text, mark, -1))
+def after_last_mark(text: Column, mark: str = ANSWER_MARK, prompt: Column | None = None) -> Column:
+    """What follows the last mark; without one the text, or what follows its ``prompt``."""
+    whole = text
+    if prompt is not None:
+        whole = F.substring(text, F.char_length(F.coalesce(prompt, F.lit(""))) + 1, F.char_length(text))
+    return strip(F.when(F.contains(text, F.lit(mark)), F.substring_index(text, mark, -1)).otherwise(whole))
 
 
 def clean_answer(text: Column) -> Column:

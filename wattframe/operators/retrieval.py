@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,11 +9,12 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from wattframe.functions.arrays import dot
 from wattframe.functions.numbers import fixed
-from wattframe.functions.text import after_last_mark, clean_answer, fill, strip
+from wattframe.functions.text import EMPTY_ANSWER, after_last_mark, clean_answer, fill, strip
 from wattframe.operators.documents import ANALYSIS, OBSERVATION
 from wattframe.workspace import cut_lineage
 
@@ -45,15 +44,14 @@ HIT_DEFAULTS = {
     "volatility_level": "moderate",
 }
 
-# Query vectors sent to the tasks in one pass, and scored at once in a task.
-_PASS_BYTES = 64 * 2**20
-_SCORE_ROWS = 512
+# Queries and documents of one tile, and shards whose hits are merged at once.
+_QUERY_ROWS = 1024
+_SHARD_ROWS = 65_536
+_MERGE_SHARDS = 64
+# Queries scored at once in a tile.
+_SCORE_ROWS = 128
 # Similarities closer than this many digits count as equal and are ordered by id.
 _TIE_DIGITS = 12
-# Hits whose ids may be broadcast.
-_BROADCAST_HITS = 1_000_000
-# Buckets a document filter may list.
-_MAX_BUCKETS = 10_000
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -71,8 +69,9 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _matrix(vectors: pa.ListArray, dimension: int) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray, dimension: int) -> np.ndarray:
     """Vectors of one length as rows."""
+    vectors = vectors.combine_chunks()
     lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     if (lengths != dimension).any():
         raise ValueError(f"document vectors do not all have {dimension} numbers like the queries")
@@ -82,153 +81,154 @@ def _matrix(vectors: pa.ListArray, dimension: int) -> np.ndarray:
     return values.reshape(len(vectors), dimension)
 
 
-def _score_pass(
-    documents: DataFrame, query_ids: list, query_matrix: np.ndarray, k: int, schema: StructType
-) -> DataFrame:
-    """Each task's own k best documents per query."""
-    units = _unit_rows(query_matrix)
-    query_type, id_type = (to_arrow_type(schema[c].dataType) for c in ("query_id", "doc_id"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            matrix = _unit_rows(_matrix(batch.column("embedding"), units.shape[1]))
-            for start in range(0, len(units), _SCORE_ROWS):
-                block = np.round(matrix @ units[start : start + _SCORE_ROWS].T, _TIE_DIGITS)
-                for i in range(block.shape[1]):
-                    old_ids, old_scores = kept.get(start + i, (ids[:0], block[:0, i]))
-                    kept[start + i] = _best(
-                        np.concatenate([old_ids, ids]),
-                        np.concatenate([old_scores, block[:, i]]),
-                        k,
-                    )
-        for i, (ids, scores) in kept.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([query_ids[i]] * len(ids), query_type),
-                    pa.array(ids, id_type),
-                    pa.array(scores, pa.float64()),
-                ],
-                names=["query_id", "doc_id", "similarity"],
-            )
-
-    return documents.mapInArrow(score, schema)
+def _score_tile(k: int, schema: pa.Schema):
+    """The k best documents of a shard for each query of a block."""
+
+    def score(tile: pa.Table) -> pa.Table:
+        queries = tile.filter(pc.is_valid(tile["query_id"]))
+        documents = tile.filter(pc.is_valid(tile["doc_id"]))
+        if not queries.num_rows or not documents.num_rows:
+            return schema.empty_table()
+        dimension = len(queries["embedding"][0])
+        units = _unit_rows(_matrix(queries["embedding"], dimension))
+        matrix = _unit_rows(_matrix(documents["embedding"], dimension))
+        ids = documents["doc_id"].to_numpy()
+        places, found, scores = [], [], []
+        for start in range(0, len(units), _SCORE_ROWS):
+            block = np.round(matrix @ units[start : start + _SCORE_ROWS].T, _TIE_DIGITS)
+            for i in range(block.shape[1]):
+                best_ids, best = _best(ids, block[:, i], k)
+                places += [start + i] * len(best)
+                found.append(best_ids)
+                scores.append(best)
+        columns = [
+            queries["query_id"].take(pa.array(places)),
+            pa.array(np.concatenate(found)),
+            pa.array(np.concatenate(scores)),
+            pa.array([tile["shard"][0].as_py()] * len(places)),
+        ]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return score
+
+
+def _ranked(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    best = Window.partitionBy(*by).orderBy(F.col("similarity").desc(), F.col("doc_id"))
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def cosine_topk(
-    documents: DataFrame, queries: DataFrame, k: int = TOP_K, pass_bytes: int = _PASS_BYTES
+    documents: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    query_rows: int = _QUERY_ROWS,
+    shard_rows: int = _SHARD_ROWS,
 ) -> DataFrame:
     """The k most similar documents of each query, exactly; equal ones by document id.
 
     Takes ``(doc_id, embedding)`` and ``(query_id, embedding)``. A zero vector is
-    similar to nothing (0). Query vectors are sent to the tasks, which return
-    their own k best per query, so pairs are never shuffled. Queries beyond
-    ``pass_bytes`` are handled in further passes over the documents. Runs a job
-    to fetch the queries.
+    similar to nothing (0); rows without an id or vector take no part. Queries are
+    dealt into blocks and documents into shards; a task scores one block against
+    one shard and hands on the k best of each query, which are merged shard by
+    shard. Runs a job that counts both sides.
     """
-    documents = documents.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
-    queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    present = F.col("embedding").isNotNull()
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    documents = documents.where(present & F.col("doc_id").isNotNull()).select("doc_id", vector)
+    queries = queries.where(present & F.col("query_id").isNotNull()).select("query_id", vector)
+    shards = max(1, -(-documents.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // query_rows))
+
+    def place(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # A query goes to every shard and a document to every block of queries.
+    tiles = (
+        documents.select("*", place("doc_id", shards).alias("shard"), every(blocks).alias("block"))
+        .unionByName(
+            queries.select("*", place("query_id", blocks).alias("block"), every(shards).alias("shard")),
+            allowMissingColumns=True,
+        )
+    )
     schema = StructType(
         [
             StructField("query_id", queries.schema["query_id"].dataType),
             StructField("doc_id", documents.schema["doc_id"].dataType),
             StructField("similarity", DoubleType()),
+            StructField("shard", IntegerType()),
         ]
     )
-
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    passes = max(1, -(-size["n"] * (size["dim"] or 1) * 8 // pass_bytes))
-    partial = None
-    for i in range(passes):
-        # Hashed ids split the queries evenly, so each part keeps to the bound.
-        part = queries if passes == 1 else queries.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i
-        )
-        rows = part.collect()
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        if not rows:
-            continue
-        scored = _score_pass(documents, [r["query_id"] for r in rows], matrix, k, schema)
-        partial = scored if partial is None else partial.unionByName(scored)
-    if partial is None:
-        partial = documents.sparkSession.createDataFrame([], schema)
-    # At most k rows per query and task reach this window.
-    ranked = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id"))
-    return partial.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    hits = tiles.groupBy("block", "shard").applyInArrow(_score_tile(k, to_arrow_schema(schema)), schema)
+    while shards > _MERGE_SHARDS:
+        shards = -(-shards // _MERGE_SHARDS)
+        hits = hits.withColumn("shard", F.floor(F.col("shard") / _MERGE_SHARDS).cast("int"))
+        hits = _ranked(hits, k, "query_id", "shard").drop("rank")
+    return _ranked(hits.drop("shard"), k, "query_id")
 
 
 def cosine_topk_lsh(
     documents: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
-    groups: int = 12,
-    width: int = 4,
-    bucket_length: float = 0.25,
+    groups: int = 24,
+    width: int = 3,
+    bucket_length: float = 0.4,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate top-k: only documents sharing a hash bucket with some query are scored.
+    """Approximate top-k: a query is scored against the documents that share a bucket with it.
 
-    A bucket is named by ``width`` projections together; a document has one
-    bucket in each of ``groups`` groups. With very many queries nearly every
-    bucket is wanted, and all documents are scored instead. Runs jobs.
+    A bucket is named by ``width`` projections together; a vector has one bucket
+    in each of ``groups`` groups. Queries and documents meet by a join on the
+    bucket, which adaptive execution can split, and pairs are scored by column
+    expressions. A query has up to k hits, fewer if its buckets hold fewer.
     """
 
-    def unit(df: DataFrame) -> DataFrame:
+    def unit(df: DataFrame, name: str) -> DataFrame:
         vector = array_to_vector(F.col("embedding").cast("array<double>"))
         normal = Normalizer(inputCol="_vector", outputCol="_unit", p=2.0)
-        return normal.transform(
-            df.where(F.col("embedding").isNotNull()).withColumn("_vector", vector)
-        )
+        rows = df.where(F.col("embedding").isNotNull() & F.col(name).isNotNull())
+        return normal.transform(rows.select(name, vector.alias("_vector"))).drop("_vector")
 
-    units = unit(documents.select("doc_id", "embedding"))
     model = BucketedRandomProjectionLSH(
         inputCol="_unit",
         outputCol="_hashes",
         numHashTables=groups * width,
         bucketLength=bucket_length,
         seed=seed,
-    ).fit(units)
+    ).fit(unit(documents, "doc_id"))
 
-    def buckets(group: int) -> Column:
-        hashes = [
-            vector_to_array(F.col("_hashes")[i])[0].cast("int")
-            for i in range(group * width, (group + 1) * width)
-        ]
-        return F.concat_ws("|", F.lit(group), *hashes)
-
-    named = F.array(*(buckets(g) for g in range(groups)))
-    wanted = (
-        model.transform(unit(queries.select("query_id", "embedding")))
-        .select(F.explode(named).alias("bucket"))
-        .distinct()
-        .limit(_MAX_BUCKETS + 1)
-        .collect()
+    def in_buckets(units: DataFrame, name: str) -> DataFrame:
+        def bucket(group: int) -> Column:
+            places = range(group * width, (group + 1) * width)
+            return F.xxhash64(F.lit(group), *(vector_to_array(F.col("_hashes")[i])[0].cast("int") for i in places))
+
+        return model.transform(units).select(
+            name, F.explode(F.array(*(bucket(g) for g in range(groups)))).alias("bucket")
+        )
+
+    asked, held = unit(queries, "query_id"), unit(documents, "doc_id")
+    pairs = in_buckets(asked, "query_id").join(in_buckets(held, "doc_id"), "bucket").drop("bucket").distinct()
+    scored = (
+        pairs.join(asked.withColumn("a", vector_to_array("_unit")).drop("_unit"), "query_id")
+        .join(held.withColumn("b", vector_to_array("_unit")).drop("_unit"), "doc_id")
+        .select("query_id", "doc_id", F.round(dot(F.col("a"), F.col("b")), _TIE_DIGITS).alias("similarity"))
     )
-    if len(wanted) > _MAX_BUCKETS:
-        return cosine_topk(documents, queries, k)
-    names = [row["bucket"] for row in wanted]
-    shared = F.lit(False)
-    for group in range(groups):
-        shared |= buckets(group).isin([n for n in names if n.startswith(f"{group}|")])
-    candidates = model.transform(units).where(shared).select("doc_id", "embedding")
-    return cosine_topk(candidates, queries, k)
+    # A query with very many candidates is ranked in parts first.
+    parts = scored.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_MERGE_SHARDS)))
+    return _ranked(_ranked(parts, k, "query_id", "part").drop("rank", "part"), k, "query_id")
 
 
 def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     """Hits with their documents' metadata, all hits kept.
 
-    Hits are few next to documents, so the metadata is cut down by a broadcast
-    of the hit ids when these are few enough. Runs a job: the hits are
-    checkpointed, which also spares later steps from scoring again.
+    Runs a job: the hits are checkpointed, which spares later steps from scoring
+    again and lets the join be planned by their real size.
     """
     hits = cut_lineage(hits)
-    ids = hits.select("doc_id").distinct()
-    if hits.count() <= _BROADCAST_HITS:
-        ids = F.broadcast(ids)
-    found = metadata.join(ids, "doc_id", "left_semi")
+    found = metadata.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     return hits.join(found, "doc_id", "left")
 
 
@@ -294,6 +294,12 @@ def build_prompt(
     )
 
 
-def clean_answers(responses: DataFrame, text: str = "text") -> DataFrame:
-    """Generated responses cut to the answer and tidied."""
-    return responses.withColumn("answer", clean_answer(after_last_mark(F.col(text))))
+def clean_answers(responses: DataFrame, text: str = "text", prompt: str | None = None) -> DataFrame:
+    """Generated responses cut to the answer and tidied.
+
+    The answer is what follows the last mark. Where there is none, a leading
+    ``prompt`` is cut off. An answer of which nothing is left becomes a fixed reply.
+    """
+    cut = after_last_mark(F.col(text), prompt=None if prompt is None else F.col(prompt))
+    answer = clean_answer(cut)
+    return responses.withColumn("answer", F.when(answer == "", EMPTY_ANSWER).otherwise(answer))
