@@ -72,6 +72,7 @@ def main() -> None:
     from wattframe.plans.checks import CHECKS
     from wattframe.plans.registry import QUERIES
     from wattframe.session import build_session
+    from wattframe.workspace import use_local_folder
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
@@ -79,6 +80,7 @@ def main() -> None:
         master="local[8]", conf={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     con = connect(sf_dir)
     failed = 0
     for name in names:

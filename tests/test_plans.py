@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattframe import workspace
@@ -77,10 +78,11 @@ def test_requests_flow(spark, small):
 
 def test_shared_folder_follows_the_setting(spark, monkeypatch):
     path = workspace.shared_folder(spark, "x")
-    base = spark.conf.get("spark.checkpoint.dir", None)
     assert path != workspace.shared_folder(spark, "x")
-    if base:
-        assert path.startswith(base)
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    monkeypatch.setattr(workspace, "_base", lambda spark: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(spark, "x")
 
 
 def test_a_hot_hour_is_split_in_the_interval_join(spark, small):

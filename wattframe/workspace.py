@@ -10,31 +10,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_base: str | None = None
 
 
-def _local_folder() -> str:
-    global _local_base
-    if _local_base is None:
-        _local_base = tempfile.mkdtemp(prefix="wattframe-")
-        atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
-    return _local_base
+def _base(spark: SparkSession) -> str | None:
+    return spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    With the setting absent a local master gets a temporary folder of this
-    process; a cluster is refused, since its executors share no local disk.
+    A folder given to ``SparkContext.setCheckpointDir`` serves as well. Without
+    either the call fails: only a folder named by the caller is known to be one
+    that all executors can reach.
     """
-    base = spark.conf.get(_CHECKPOINT_KEY, None)
+    base = _base(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
-        base = _local_folder()
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
     return f"{base.rstrip('/')}/wattframe/{name}-{uuid.uuid4().hex}"
 
 
+def use_local_folder(spark: SparkSession) -> None:
+    """Give a local session that names no folder a temporary one; for trials on one machine."""
+    if _base(spark) is None and spark.sparkContext.master.startswith("local["):
+        path = tempfile.mkdtemp(prefix="wattframe-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint rows that later steps read several times. Runs a job.
 
@@ -45,3 +47,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
