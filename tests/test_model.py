@@ -108,6 +108,13 @@ STAMPS = [
     ("2025-07-31T15:30:00Z", 49.0, None),
     ("2025-08-02T12:00:00", 31.5, None),
     ("2025-07-31T12:00:00", 35.0, None),
+    ("2025-07-31T15:30:00+00:00", 49.0, None),
+    ("2025-07-31T15:30:00.5-05:30", 49.0, None),
+    ("2025-07-31T15", 49.0, None),
+    ("20250731T153000", 49.0, None),
+    ("2025-07-31T15:30", 49.0, None),
+    ("2025-13-31T15:30", None, "Invalid timestamp format"),
+    ("2025-0731T15:30", None, "Invalid timestamp format"),
     ("nope", None, "Invalid timestamp format"),
 ]
 

@@ -71,16 +71,37 @@ def feed_time_to_utc(text: Column, zone: str | None) -> Column:
     return F.to_utc_timestamp(parse_feed_time(text), written_in)
 
 
+_OFFSET = r"(?:[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:[.]\d+)?)?)?)?"
+_FRACTION = r"(?:[.,](\d{1,6})\d*)?"
+# Parts of an ISO stamp, with separators and without.
+_ISO_FORMS = (
+    rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})T(\d{{2}})(?::(\d{{2}})(?::(\d{{2}}){_FRACTION})?)?{_OFFSET}$",
+    rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(?:(\d{{2}})(?:(\d{{2}}){_FRACTION})?)?{_OFFSET}$",
+)
+
+
+def _iso_time(text: Column, form: str) -> Column:
+    year, month, day, hour, minute, second, fraction = (F.regexp_extract(text, form, i) for i in range(1, 8))
+
+    def clock(part: Column) -> Column:
+        return F.when(part == "", "00").otherwise(part)
+
+    stamp = F.concat(
+        F.concat_ws("-", year, month, day), F.lit(" "), F.concat_ws(":", hour, clock(minute), clock(second)),
+        F.lit("."), F.rpad(fraction, 6, "0"),
+    )
+    return F.when(text.rlike(form), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+
+
 def parse_request_time(text: Column) -> Column:
-    """Request stamp: ISO with ``T`` (``Z`` dropped, not converted) or a blank form."""
+    """Request stamp: ISO with ``T``, or a blank form.
+
+    ISO stamps may be basic or extended, and stop at the hour or minute. ``Z`` and
+    offsets are dropped, not converted: the clock time counts as it is written.
+    """
     iso = F.replace(text, F.lit("Z"), F.lit(""))
     return F.when(
-        F.contains(text, F.lit("T")),
-        F.coalesce(
-            F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-            F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-            F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm")),
-        ),
+        F.contains(text, F.lit("T")), F.coalesce(*(_iso_time(iso, form) for form in _ISO_FORMS))
     ).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 

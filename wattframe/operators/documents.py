@@ -110,17 +110,22 @@ def docs_all(observations: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def docs_upsert(
-    documents: DataFrame, recency: Sequence[str | Column], doc_id: str = "doc_id"
+    documents: DataFrame, recency: Sequence[str], doc_id: str = "doc_id"
 ) -> DataFrame:
-    """One row per id, the latest by ``recency``.
+    """One row per id, the latest by ``recency``, which has to be unique within an id.
 
-    The winner is an aggregate, combined before the shuffle, so an id with very
-    many copies does not gather them in one task.
+    Only ids and recency are aggregated, combined before the shuffle, so an id with
+    very many copies does not gather them in one task and no text is sorted to find
+    the latest. The rest of the winner comes by a join.
     """
-    rest = [c for c in documents.columns if c != doc_id]
-    order = F.struct(*recency) if len(recency) > 1 else F.struct(recency[0])
-    latest = documents.groupBy(doc_id).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return latest.select(doc_id, "_row.*")
+    order = F.col(recency[0]) if len(recency) == 1 else F.struct(*recency)
+    latest = documents.groupBy(doc_id).agg(F.max(order).alias("_latest"))
+    same = F.col(f"d.{doc_id}").eqNullSafe(F.col(f"l.{doc_id}"))
+    newest = F.col(f"d.{recency[0]}") if len(recency) == 1 else F.struct(*(F.col(f"d.{c}") for c in recency))
+    return (
+        documents.alias("d")
+        .join(latest.alias("l"), same & newest.eqNullSafe(F.col("l._latest")), "left_semi")
+    )
 
 
 def documents_for_embedding(documents: DataFrame) -> DataFrame:

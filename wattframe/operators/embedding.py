@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.workspace import cut_lineage
+
 # Texts encoded at once and length of a vector.
 BATCH = 32
 DIMENSION = 384
@@ -59,25 +58,64 @@ def embedding_report(embedded: DataFrame) -> DataFrame:
     )
 
 
+def term_counts(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dimension: int = DIMENSION
+) -> DataFrame:
+    """``(doc_id, slot, n)``: how often the words of a slot occur in each document.
+
+    Words are runs of letters and digits of any script, in lower case. A word's
+    slot follows its MD5, so other engines find the same.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+    found = documents.select(F.col(doc_id).alias("doc_id"), F.explode(words).alias("word"))
+    slot = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dimension
+    return found.groupBy("doc_id", slot.cast("int").alias("slot")).agg(F.count("*").alias("n"))
+
+
+def slot_weights(counts: DataFrame, documents: int) -> DataFrame:
+    """``(slot, weight)``: the rarer a slot among the documents, the heavier; a row per slot at most."""
+    weight = F.log(F.lit(documents + 1.0) / (F.count("*") + 1.0))
+    return counts.groupBy("slot").agg(weight.alias("weight"))
+
+
 def fit_text_encoder(
-    documents: DataFrame, text: str = "text", dimension: int = DIMENSION
-) -> PipelineModel:
-    """Built-in encoder: hashed term counts, weighted by rarity, unit length. Runs a job."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0),
-        ]
-    ).fit(documents.select(text))
-
-
-def encode_text(model: PipelineModel, documents: DataFrame) -> DataFrame:
-    """Documents with an ``embedding`` array from the built-in encoder."""
-    encoded = model.transform(documents)
-    return encoded.withColumn("embedding", vector_to_array("_unit")).drop(
-        "_words", "_counts", "_weighted", "_unit"
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dimension: int = DIMENSION
+) -> DataFrame:
+    """Slot weights of a set of documents, to encode further texts by. Runs jobs."""
+    return cut_lineage(slot_weights(term_counts(documents, doc_id, text, dimension), documents.count()))
+
+
+def encode_text(
+    documents: DataFrame,
+    weights: DataFrame | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    dimension: int = DIMENSION,
+) -> DataFrame:
+    """Documents with an ``embedding``: hashed word counts, weighted by rarity, of unit length.
+
+    The built-in encoder. ``weights`` are those of ``fit_text_encoder``, by default
+    the documents' own. A document without words has the zero vector. Ids are
+    unique. Runs jobs: the counts are checkpointed, as weights and vectors need them.
+    """
+    counts = term_counts(documents, doc_id, text, dimension)
+    if weights is None:
+        counts = cut_lineage(counts)
+        weights = slot_weights(counts, documents.count())
+    # one row per slot, so the dimension bounds what is broadcast
+    weighted = counts.join(F.broadcast(weights), "slot").withColumn("x", F.col("n") * F.col("weight"))
+    entries = F.map_from_entries(F.collect_list(F.struct("slot", "x")))
+    vectors = weighted.groupBy("doc_id").agg(entries.alias("_x"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    at = F.transform(
+        F.sequence(F.lit(0), F.lit(dimension - 1)),
+        lambda i: F.coalesce(F.try_divide(F.try_element_at("_x", i), F.col("_norm")), F.lit(0.0)),
+    )
+    embedded = vectors.select(F.col("doc_id").alias("_doc"), at.alias("embedding"))
+    zero = F.array_repeat(F.lit(0.0), dimension)
+    return (
+        documents.join(embedded, documents[doc_id].eqNullSafe(embedded["_doc"]), "left")
+        .drop("_doc")
+        .withColumn("embedding", F.coalesce("embedding", zero))
     )
 
 

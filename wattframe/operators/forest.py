@@ -36,6 +36,10 @@ MODEL_CONFIDENCE = 0.85
 CURRENCY = "USD/MWh"
 
 
+class TooFewRows(ValueError):
+    """A table holds too few usable rows to fit a forest."""
+
+
 def _scaler(rows: DataFrame) -> SQLTransformer:
     """Standardising step with the fitted numbers written in, so it is saved with the model."""
     stats = rows.agg(
@@ -44,7 +48,7 @@ def _scaler(rows: DataFrame) -> SQLTransformer:
         *(F.stddev_pop(c).alias(f"{c}_std") for c in FORECAST_INPUTS),
     ).first()
     if stats["n"] < MIN_ROWS:
-        raise ValueError(f"{stats['n']} usable rows; at least {MIN_ROWS} are needed")
+        raise TooFewRows(f"{stats['n']} usable rows; at least {MIN_ROWS} are needed")
     scaled = ", ".join(
         f"(cast({c} as double) - {stats[f'{c}_mean']!r}D) / {stats[f'{c}_std'] or 1.0!r}D "
         f"AS {c}_scaled"
@@ -60,8 +64,8 @@ def train_forest(
     rows = forecast_inputs(features).select(
         *FORECAST_INPUTS, F.col("target_price").cast("double").alias("label")
     )
-    # Fitting reads the rows several times, with every core.
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
+    # Dealt by their values, so that the forest does not depend on the cluster's cores.
+    rows = rows.repartition(*FORECAST_INPUTS).persist()
     pipeline = Pipeline(
         stages=[
             _scaler(rows),

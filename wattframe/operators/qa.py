@@ -22,9 +22,8 @@ TECHNICAL = "technical_analysis"
 # Feature columns the pairs draw on.
 MATCHED = ("trend_slope", "price_volatility", "momentum_1h")
 
-# Share of rows that get a pair of each type, and pairs kept in all.
+# Share of rows that get a pair of each type.
 SHARES = {FORECAST: 0.3, DISPATCH: 0.3, MARKET: 0.25, OPERATIONAL: 0.15, TECHNICAL: 0.5}
-PAIR_LIMIT = 120
 
 # Prices above which dispatch is advised or considered.
 DISPATCH_ABOVE = 50
@@ -176,12 +175,13 @@ def _pairs(rows: DataFrame, kinds: Sequence[str], slots, ids: Sequence[str], sha
     return rows.select(F.inline(F.array_compact(F.array(*made))))
 
 
-_ALL = dict.fromkeys(SHARES, 1.0)
+# Every row gets its pair.
+ALL = dict.fromkeys(SHARES, 1.0)
 
 
 def _one_kind(rows: DataFrame, kind: str, ids: Sequence[str], seed: int) -> DataFrame:
     slots = _technical_slots() if kind == TECHNICAL else _slots()
-    return _pairs(rows, (kind,), slots, ids, _ALL, seed).drop("pair_key")
+    return _pairs(rows, (kind,), slots, ids, ALL, seed).drop("pair_key")
 
 
 def qa_price_forecast(matched: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -219,19 +219,19 @@ def qa_pairs(
     ids: Sequence[str],
     feature_ids: Sequence[str],
     shares: dict[str, float] = SHARES,
-    limit: int | None = PAIR_LIMIT,
+    limit: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Sampled pairs of all types in shuffled order, at most ``limit`` of them.
+    """Sampled pairs of all types.
 
-    Sampling, wording and order follow hashed row ids, so runs agree.
+    Sampling and wording follow hashed row ids, so runs agree. With a ``limit``
+    the first so many in shuffled order are kept; ``pair_key`` gives that order.
     """
     from_market = _pairs(matched, (FORECAST, DISPATCH, MARKET, OPERATIONAL), _slots(), ids, shares, seed)
     from_features = _pairs(features, (TECHNICAL,), _technical_slots(), feature_ids, shares, seed)
     columns = ["question", "answer", "type", "pair_key"]
     pairs = from_market.select(*columns).unionByName(from_features.select(*columns))
-    ordered = pairs.orderBy("pair_key")
-    return ordered if limit is None else ordered.limit(limit)
+    return pairs if limit is None else pairs.orderBy("pair_key").limit(limit)
 
 
 def qa_text(pairs: DataFrame, end: str = "<|endoftext|>") -> DataFrame:

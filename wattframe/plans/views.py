@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators.features import feature_matrix
 from wattframe.operators.timeseries import prepare_hourly
+from wattframe.workspace import shared_folder
 
 # Digits at which sums taken in different order agree.
 CHECK_DIGITS = 8
@@ -129,11 +130,49 @@ def miso_split_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Rows per feed payload.
+# Rows per feed payload, and per payload that is a file of its own.
 _PAYLOAD_ROWS = 100
+FILE_ROWS = 5000
+# Files that a landed feed comes in.
+LANDED_FILES = 5
 
 
-def positional_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_damaged(payloads: DataFrame) -> DataFrame:
+    """Payloads with a cut-off copy of every seventh, which no reader can read."""
+    cut = payloads.where(F.col("block") % 7 == 3)
+    short = F.substring("value", F.lit(1), F.length("value") - 3)
+    return payloads.unionByName(cut.withColumns({"value": short, "block": F.col("block") + 1_000_000}))
+
+
+def one_file_each(payloads: DataFrame, path: str) -> None:
+    payloads.select("block", "value").write.partitionBy("block").text(path)
+
+
+def counting_encoder():
+    """A stand-in for a model: length, words and lines of a text; texts beyond its window fail."""
+
+    def encode(texts):
+        if any(len(t) > 3000 for t in texts):
+            raise ValueError("text is longer than the model's window")
+        return [[float(len(t)), float(len(t.split(" "))), float(t.count("\n") + 1)] for t in texts]
+
+    return encode
+
+
+def replayed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market landed in four files: late rows, replays, and corrected prices."""
+    landing = shared_folder(spark, "replays")
+    rows = market(spark, sf_dir).withColumn("iso", F.lit("ERCOT"))
+    third = F.col("row_id") % 3
+    corrected = rows.where(F.col("row_id") % 50 == 7).withColumn("price", F.col("price") + 1)
+    for part in (rows.where(third == 1), rows.where(third != 2), rows.where(third == 2), corrected.unionByName(rows)):
+        part.coalesce(1).write.mode("append").parquet(landing)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+def _positional_payloads(
+    spark: SparkSession, sf_dir: str, rows: int
+) -> DataFrame:
     """One JSON text per hundred rows, rows being positional arrays."""
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     price = F.when(F.col("row_id") % 50 == 7, '"n/a"').otherwise(F.col("price").cast("string"))
@@ -141,11 +180,11 @@ def positional_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(
         F.lit('{"data":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")
     )
-    block = F.floor(F.col("row_id") / _PAYLOAD_ROWS)
+    block = F.floor(F.col("row_id") / rows)
     return market(spark, sf_dir).groupBy(block.alias("block")).agg(payload.alias("value"))
 
 
-def envelope_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _envelope_payloads(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
     """One JSON text per hundred rows, in five kinds of envelope."""
     record = F.to_json(
         F.struct(
@@ -155,7 +194,7 @@ def envelope_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("ZONE").alias("type"),
         )
     )
-    block = F.floor(F.col("row_id") / _PAYLOAD_ROWS)
+    block = F.floor(F.col("row_id") / rows)
     blocks = market(spark, sf_dir).groupBy(block.alias("block")).agg(
         F.array_join(F.collect_list(record), ",").alias("records")
     )
@@ -167,17 +206,47 @@ def envelope_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"items":[],"data":[%s]}'),
     )
     shape = F.get(envelopes, (F.col("block") % 5).cast("int"))
-    return blocks.select(F.replace(shape, F.lit("%s"), F.col("records")).alias("value"))
+    return blocks.select("block", F.replace(shape, F.lit("%s"), F.col("records")).alias("value"))
+
+
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _fixture(spark: SparkSession, sf_dir: str, make, rows: int) -> DataFrame:
+    """A fixture as it was written by ``keep_fixtures``, else made anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__, rows)
+    return _kept[key] if key in _kept else make(spark, sf_dir, rows)
+
+
+def keep_fixtures(spark: SparkSession, sf_dir: str) -> None:
+    """Write the payload fixtures, so that queries timed later only read them."""
+    for make in (_positional_payloads, _envelope_payloads):
+        path = shared_folder(spark, "fixture")
+        make(spark, sf_dir, _PAYLOAD_ROWS).write.parquet(path)
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__, _PAYLOAD_ROWS)
+        _kept[key] = spark.read.parquet(path)
+
+
+def positional_payloads(spark: SparkSession, sf_dir: str, rows: int = _PAYLOAD_ROWS) -> DataFrame:
+    return _fixture(spark, sf_dir, _positional_payloads, rows)
+
+
+def envelope_payloads(spark: SparkSession, sf_dir: str, rows: int = _PAYLOAD_ROWS) -> DataFrame:
+    return _fixture(spark, sf_dir, _envelope_payloads, rows)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast requests in the accepted forms, and some unreadable ones."""
     ts, row = F.col("timestamp"), F.col("row_id")
     text = (
-        F.when(row % 5 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(row % 5 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(row % 5 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(row % 5 == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        F.when(row % 9 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(row % 9 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(row % 9 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(row % 9 == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        .when(row % 9 == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .when(row % 9 == 5, F.date_format(ts, "yyyy-MM-dd'T'HH"))
+        .when(row % 9 == 6, F.date_format(ts, "yyyyMMdd'T'HHmmss"))
+        .when(row % 9 == 7, F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
         .otherwise("nope")
     )
     return market(spark, sf_dir).select("row_id", text.alias("requested"))
