@@ -1,0 +1,253 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from conftest import pairs
+from wattframe.llm import packing, secrets, topk, toxicity
+from wattframe.llm.bpe import bpe_decode, bpe_encode
+from wattframe.llm.html_text import extract_main_text, main_text
+from wattframe.llm.words import WordIds, load_tokenizer
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = load_tokenizer(PATH)
+
+
+def token_ids(text):
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
+
+
+# byte-pair encoding
+
+
+@pytest.mark.parametrize("block_words", [1 << 18, 3])
+def test_bpe_round_trip_is_the_tokenizers(spark, odd_docs, small, block_words):
+    more = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = odd_docs.select("doc_id", "text", "ids", "id").unionByName(more, allowMissingColumns=True)
+    want = Counter()
+    for i, text in pairs(docs):
+        ids = token_ids(text)
+        want[i, len(ids), np.array(ids, "<u4").tobytes(), TOKENIZER.decode(ids, skip_special_tokens=False)] += 1
+    got = bpe_decode(bpe_encode(docs, PATH, block_words=block_words), PATH).collect()
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got) == want
+
+
+def test_bpe_of_nothing(empty_docs):
+    assert bpe_decode(bpe_encode(empty_docs, PATH), PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZ '.,<|>\t\n\x0b\x0c\r\x1c\x85\xa0 é́Σ")), max_size=30), max_size=4))
+def test_words_have_the_ids_of_whole_texts(texts):
+    ids, counts = WordIds(TOKENIZER, most=2).texts(pa.array(texts, pa.string()))
+    want = [token_ids(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+# packing
+
+
+def brute_pieces(rows):
+    for i, text in rows:
+        ids = np.array([*token_ids(text), 0], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            yield i, piece, start, len(part), zlib.crc32(part.tobytes())
+
+
+def assert_packed(rows):
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return len(places)
+
+
+def test_pieces_and_places(spark, odd_docs, empty_docs, small):
+    more = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = odd_docs.select("doc_id", "text", "piece", "id").unionByName(more, allowMissingColumns=True)
+    rows = packing.pack(docs, PATH).collect()
+    want = Counter(brute_pieces(pairs(docs)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert assert_packed(rows) == -(-sum(r.length for r in rows) // 2048)
+    assert packing.pack(empty_docs, PATH).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 9), max_size=12))
+def test_bin_completion_places_every_piece_and_beats_best_fit(counts):
+    found = packing.bin_completion(counts, 30, nodes=500)
+    placed = Counter()
+    for pattern, times in found:
+        assert sum(k * n for k, n in pattern) <= 30 and times > 0
+        placed.update({k: n * times for k, n in pattern})
+    assert placed == Counter(counts)
+    bins = sum(n for _, n in found)
+    plain = packing.best_fit_decreasing(counts, 30)
+    assert -(-sum(k * n for k, n in counts.items()) // 30) <= bins <= sum(n for _, n in plain)
+
+
+def test_bin_completion_finds_what_best_fit_misses():
+    counts = {44: 1, 24: 2, 22: 1, 21: 2, 17: 2, 8: 2, 6: 2}  # 218 in bins of 100
+    assert sum(n for _, n in packing.bin_completion(counts, 100)) == 3
+    assert sum(n for _, n in packing.bin_completion({6: 2, 5: 2, 4: 2, 3: 2, 2: 2}, 10)) == 4
+
+
+# exact search
+
+
+def brute_topk(rows, k):
+    whole = {i: np.floor(256 * np.array(v, np.float64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = set()
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
+    return out
+
+
+@pytest.mark.parametrize("query_rows, shard_rows", [(4096, 8192), (2, 7)])
+def test_topk_against_brute_force(spark, query_rows, shard_rows):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(210)]
+    rows += [(i, [0.5, 0.25, 0.25, 0.0]) for i in range(300, 400)]
+    rows += [(450, None), (451, [1.0, None, 0.0, 0.0]), (452, [float("nan")] * 4), (453, [float("inf")] * 4), (None, [1.0] * 4)]
+    rows += [(500, [1.0, 2.0]), (501, [1.0, 2.5]), (550, [])]
+    vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, id string")
+    got = topk.exact_topk(vectors, F.col("vec_id") % 50 == 0, 5, query_rows=query_rows, shard_rows=shard_rows).collect()
+    assert {tuple(r) for r in got if r.query_id != 550} == brute_topk(rows, 5)
+    assert topk.exact_topk(vectors.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_with_large_numbers(spark):
+    rows = [(0, [1e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, 2.0]), (3, [1e6, 1e6])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.exact_topk(vectors, F.col("vec_id") == 0).collect()} == brute_topk(rows, 5)
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="would not fit"):
+        topk.exact_topk(huge, F.col("vec_id") == 0).collect()
+
+
+# toxicity
+
+
+def test_toxicity_on_held_out_rows(spark, odd_docs, empty_docs):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, toxicity.learnable_id())
+    assert 0 < len(model[0]) < 5000
+    rows = toxicity.score(docs.select("doc_id", "text"), model).select("doc.doc_id", "score").toPandas()
+    known = labels.toPandas().groupby("doc_id", as_index=False).toxic.max().merge(rows, on="doc_id")
+    held = known[[zlib.crc32(str(i).encode()) % 4 == 2 for i in known.doc_id]]
+    caught = held.score >= toxicity.THRESHOLD
+    assert caught[held.toxic == 1].mean() > 0.8 and caught[held.toxic == 0].mean() < 0.02
+    odd = toxicity.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
+    assert odd[0].doc.asDict().keys() == set(odd_docs.columns)
+    assert toxicity.score(empty_docs, model).count() == 0
+    none = toxicity.fit(docs, labels.where("doc_id < 0"), toxicity.learnable_id())
+    assert {r.score for r in toxicity.score(odd_docs, none).collect()} == {0.0}
+
+
+def test_labels_held_out_are_not_learned(spark):
+    docs = spark.createDataFrame([(i, f"word{i} good") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(zlib.crc32(str(i).encode()) % 4 == 2)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1), (1, None)], labels.schema)), toxicity.learnable_id())
+    scores = toxicity.score(docs, model).toPandas().score
+    assert scores.max() < 0.3
+
+
+# secrets
+
+
+def secret_docs(spark):
+    rng = np.random.default_rng(3)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(120)]
+    keys = ["AKIA" + "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ234567"), 16)) for _ in range(40)]
+    filler = "the river and the mountain were quiet before the storm came over "
+    texts = [f"{filler} token = \"{h}\" and more" for h in hexes[:40]] + [f"{filler} key {k} was used" for k in keys]
+    texts += [f"{filler} password={h[:18]}\nnext line" for h in hexes[40:70]]
+    texts += [f"{filler} commit {h} fixed it, mail user{i}@mail.example.com" for i, h in enumerate(hexes[70:])]
+    texts += [f"{filler} see https://example.com/a/b{i}?x=1 or 2024-01-{i:02d}" for i in range(1, 29)]
+    rows = [(i, t, "src") for i, t in enumerate(texts)] + [(None, None, None), (900, "", "src"), (901, texts[0], None), (901, texts[0], None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("value", F.lit(1)), texts, hexes, keys
+
+
+def test_secrets_are_masked_and_harmless_numbers_stay(spark):
+    docs, texts, hexes, keys = secret_docs(spark)
+    out = secrets.mask_secrets(docs)
+    rows = {r.doc.doc_id: r for r in out.collect()}
+    assert out.count() == docs.count() and rows[0].doc.value == 1
+    for i in range(110):
+        assert rows[i].n_secrets == 1 and "[SECRET]" in rows[i].text, texts[i]
+    assert rows[0].text == texts[0].replace(hexes[0], "[SECRET]") == rows[901].text
+    for i in range(110, len(texts)):
+        assert rows[i].text == texts[i] and rows[i].n_secrets == 0
+    assert rows[None].text == "" and rows[900].n_candidates == 0
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_secrets_by_given_labels(spark):
+    docs, texts, hexes, keys = secret_docs(spark)
+    labelled = spark.createDataFrame([(h, 1) for h in hexes[70:]] + [(h, 0) for h in hexes[:40]], "value string, label int")
+    found = secrets.find_secrets(docs, labelled=labelled).toPandas().set_index("value").score
+    assert found[hexes[80]] > 0.5 > found[hexes[5]].max()
+
+
+def test_secrets_in_odd_and_no_rows(odd_docs, empty_docs):
+    assert secrets.mask_secrets(odd_docs).count() == odd_docs.count()
+    assert secrets.mask_secrets(empty_docs).count() == 0
+
+
+# main text
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header class="site"><h1>Site</h1><p>A long welcome to the site that says a lot about the site itself and others</p></header>
+<div class="cookie-notice"><p>We use cookies and this is a long text about them that nobody has ever read</p></div>
+<nav><ul><li><a href="/">Home</a></li></ul></nav>%s
+<aside><p>A side bar with so much text that it could be an article of its own, were it not one</p></aside>
+<form><p>Please fill in all of these many fields before you go on to the next of our pages</p></form>
+<section id="comments"><p>A reader says a lot here, as readers do, and goes on and on about it for a while</p></section>
+<footer>&copy; Site, all rights reserved, and many more words about that subject here</footer></body></html>"""
+BODY = "<h1>Head &amp; line</h1><p>First  paragraph&nbsp;of\nthe <b>text</b>.<p>Second <i>one</i>, rather longer than the first one, with a <a href=x>link</a>.</p><div class=ad>Buy this</div><p>Third.</p>"
+TEXT = "Head & line\nFirst paragraph of the text.\nSecond one, rather longer than the first one, with a link.\nThird."
+
+
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<main>%s</main>", '<div class="content"><div>%s</div></div>', "%s"])
+def test_main_text_in_several_frames(frame):
+    assert main_text(PAGE % (frame % BODY)) == TEXT
+
+
+def test_broken_markup():
+    assert main_text("") == "" and main_text("<p><<<") in ("<<", "<<<") and main_text("a & b") == "a & b"
+    assert main_text('<div class="ad">Buy<article><p>Kept text</p></article>') == "Kept text"
+    assert main_text("<article><p>Open <b>end") == "Open end"
+    assert main_text("<script>x" + "<p>y" * 10) == ""
+
+
+def test_pages_as_given(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))
+    rows = extract_main_text(pages).collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in rows:
+        article = re.search("<article>(.*)</article>", html[r.page_id], re.S)[1]
+        blocks = re.split("</?p>|</?h1>|<br>", re.sub("</?b>", "", article))
+        import html as entities
+
+        want = "\n".join(x for x in (" ".join(entities.unescape(b).split()) for b in blocks) if x)
+        assert (r.text, r.n_chars) == (want, len(want))
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>" + "x" * 500_000)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in extract_main_text(odd).collect()) == [0, 0, 0, 500_000]
+    assert extract_main_text(odd.where("page_id > 5")).count() == 0
