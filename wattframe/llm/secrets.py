@@ -1,6 +1,6 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-Candidates are long words, or the value in ``name = value``. Each has features of
+Candidates are long words with digits or odd capitals, or the value in ``name=value``. Each has features of
 its length and characters, of the transitions between its characters as they occur
 in the corpus' own words, of how much of it dictionary words cover, of paths and
 addresses, of its document's path, and of the words beside it. The forest is fitted
@@ -62,6 +62,8 @@ HARMLESS_FORMATS = (
 
 _SAME = ("h1", "h2")  # 128 bits of the text stand for it
 _SHAPE = r"^[A-Za-z0-9+/_=.~@:-]+$"
+# A digit, many capitals, or capitals inside a word: what plain words do not have.
+_MIXED = r"[0-9]|[A-Z]{8}|[a-z][A-Z]"
 _NAME_VALUE = r"^[\"'({\[]*([A-Za-z_][A-Za-z0-9_.-]{1,40})[\"']?(?:=|:=|:)[\"']?([^\"'\s]+)"
 _TURN = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
 
@@ -89,7 +91,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     words = texts.select(*_SAME, "path", F.split(F.translate("text", "\n\t\r\f\x0b", "     "), " ").alias("words"))
     long = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(F.get("words", i)) >= MIN_LENGTH) & F.get("words", i).rlike("[0-9]"),
+        lambda i: (F.length(F.get("words", i)) >= MIN_LENGTH) & F.get("words", i).rlike(_MIXED),
     )
     found = words.select(*_SAME, "path", "words", F.explode(long).alias("place")).select(
         *_SAME,
@@ -108,7 +110,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     return (
         found.withColumn("value", value)
         .withColumn("name", F.when(pair, F.regexp_extract("word", _NAME_VALUE, 1)).otherwise(""))
-        .where((F.length("value") >= MIN_LENGTH) & F.col("value").rlike(_SHAPE) & F.col("value").rlike("[0-9]"))
+        .where((F.length("value") >= MIN_LENGTH) & F.col("value").rlike(_SHAPE) & F.col("value").rlike(_MIXED))
         .drop("word")
         .distinct()
     )
