@@ -28,7 +28,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def empty_docs(odd_docs):
     return odd_docs.where("doc_id > 1000")
-
-
-def pairs(df):
-    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

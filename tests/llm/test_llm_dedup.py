@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import pairs
+from llm_rows import pairs
 from wattframe.llm import exact_dedup, repeats, simhash
 from wattframe.llm.components import connected_components
 from wattframe.llm.line_templates import drop_recurring_lines

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from conftest import pairs
+from llm_rows import pairs
 from oracle import connect, differences
 from test_llm_dedup import brute_components, brute_fingerprint
 from test_llm_text import assert_packed, brute_pieces

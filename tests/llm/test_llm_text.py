@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import pairs
+from llm_rows import pairs
 from wattframe.llm import packing, secrets, topk, toxicity
 from wattframe.llm.bpe import bpe_decode, bpe_encode
 from wattframe.llm.html_text import extract_main_text, main_text
