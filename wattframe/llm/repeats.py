@@ -6,8 +6,8 @@ at such k-mers, the anchors, are sorted: every string of that length belongs to
 anchor within it. Anchors whose k-mer occurs once are dropped first.
 
 The remaining suffixes, with the bytes before them, are range-partitioned by their
-leading bytes; Spark samples the splitters. Equal leading bytes never part, so no
-match crosses a boundary. In a bucket both the bytes from the anchor on and the
+leading k-mer; Spark samples the splitters. Equal k-mers never part, so no match
+crosses a boundary, neither between partitions nor between the runs a task sorts. In a bucket both the bytes from the anchor on and the
 bytes before it are sorted by multikey quicksort, eight bytes at a time, ties alone
 going on to the next eight. Two strings at the same distance from their anchors are
 equal if they are in one class of common prefix in both orders.
@@ -25,20 +25,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.scratch import Scratch, columns_of, shuffle_partitions, whole_text
+from wattframe.llm.scratch import Scratch, columns_of, shuffle_partitions, tidy, whole_text
 from wattframe.llm.words import text_slices
 
 LENGTH = 200
 KMER = 32
-#: K-mers that occur more often are counted string by string.
-FREQUENT = 10_000
+#: K-mers that occur more often are counted string by string; others are sorted in one task.
+FREQUENT = 100_000
 #: Starting positions whose anchors are looked for at once.
 _STRIP = 1 << 20
 #: Suffixes sorted at once, as far as equal leading bytes allow.
 _SORT_ROWS = 40_000
+_MATRIX_ROWS = 10_000
 _TEXTS_KEPT = 100_000
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -134,7 +136,7 @@ def _twice_at_most(batches: Iterator[pa.RecordBatch], column: str):
                 yield *key, row["body"], row[column]
 
 
-_SUFFIX = "lead long, h1 long, h2 long, at long, low int, high int, context binary"
+_SUFFIX = "lead binary, h1 long, h2 long, at long, low int, high int, context binary"
 
 
 def _suffixes(length: int):
@@ -146,8 +148,7 @@ def _suffixes(length: int):
             for w in wanted:
                 if not w["frequent"]:
                     at, first, last = w["at"], w["first"], w["last"]
-                    lead = int.from_bytes(body[at : at + 8], "big") - (1 << 63)
-                    rows.append((lead, h1, h2, at, at - last, at - first, body[first : last + length]))
+                    rows.append((body[at : at + KMER], h1, h2, at, at - last, at - first, body[first : last + length]))
             if len(rows) > 5_000:
                 yield _batch(rows, _SUFFIX)
                 rows = []
@@ -221,9 +222,13 @@ def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, s
     """Bytes from ``start`` on, forwards or backwards, as rows of big-endian words, zeros behind."""
     width = -(-width // 8) * 8
     column = np.arange(width)
-    inside = column < size[:, None]
-    at = np.where(inside, start[:, None] + step * column, 0)
-    return np.where(inside, data[at], 0).astype(np.uint8).view(">u8").astype(np.uint64)
+    out = np.empty((len(start), width), np.uint8)
+    for i in range(0, len(start), _MATRIX_ROWS):
+        some = slice(i, i + _MATRIX_ROWS)
+        inside = column < size[some, None]
+        at = np.where(inside, start[some, None] + step * column, 0)
+        out[some] = np.where(inside, data[at], 0)
+    return out.view(">u8").astype(np.uint64)
 
 
 def repeated_strings(contexts: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
@@ -282,8 +287,9 @@ def _sorted_bucket(length: int):
             rows += len(batch)
             if rows >= _SORT_ROWS:
                 table = pa.Table.from_batches(held)
-                lead = table["lead"].to_numpy()
-                cut = int(np.searchsorted(lead, lead[-1]))  # the last bytes may go on in the next batch
+                # the last k-mer may go on in the next batch
+                other = pc.not_equal(table["lead"], table["lead"][-1]).to_numpy()
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
                 if cut:
                     yield spans(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
@@ -341,24 +347,24 @@ def remove_repeats(
     texts = texts.withColumns({"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit(1), "body")})
     # which k-mers occur again
     repeated = scratch.keep(
-        texts.mapInArrow(_anchor_rows(length, False), "kmer long").groupBy("kmer").count().where("count > 1")
+        texts.mapInArrow(tidy(_anchor_rows(length, False)), "kmer long").groupBy("kmer").count().where("count > 1")
     )
     where = "kmer long, h1 long, h2 long, at long, first long, last long"
     wanted = scratch.keep(
-        texts.mapInArrow(_anchor_rows(length, True), where)
+        texts.mapInArrow(tidy(_anchor_rows(length, True)), where)
         .join(repeated, "kmer")
         .groupBy("h1", "h2")
         .agg(F.collect_set(F.struct("at", "first", "last", (F.col("count") > frequent).alias("frequent"))).alias("wanted"))
     )
     with_wanted = texts.join(wanted, ["h1", "h2"], "left")
     spans = (
-        with_wanted.mapInArrow(_suffixes(length), _SUFFIX)
+        with_wanted.mapInArrow(tidy(_suffixes(length)), _SUFFIX)
         .repartitionByRange(n, "lead")
         .sortWithinPartitions("lead")
-        .mapInArrow(_sorted_bucket(length), _SPAN)
+        .mapInArrow(tidy(_sorted_bucket(length)), _SPAN)
     )
     if not repeated.where(F.col("count") > frequent).isEmpty():
-        strings = scratch.keep(with_wanted.mapInArrow(_strings(length), _STRING))
+        strings = scratch.keep(with_wanted.mapInArrow(tidy(_strings(length)), _STRING))
         again = scratch.keep(strings.groupBy("string").count().where("count > 1").drop("count"))
         spans = spans.unionByName(
             strings.join(again, "string").select("h1", "h2", "start", (F.col("start") + length).alias("stop"))
@@ -366,6 +372,6 @@ def remove_repeats(
     by_text = spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return (
         texts.join(by_text, ["h1", "h2"], "left")
-        .mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(tidy(_cut), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
         .withColumnRenamed("id", id_column)
     )
