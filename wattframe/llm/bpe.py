@@ -24,11 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.scratch import columns_of, shuffle_partitions, whole_text
+from wattframe.llm.scratch import columns_of, shuffle_partitions, tidy, whole_text
 from wattframe.llm.words import WordIds, gather, load_tokenizer, split_words, text_slices
 
 #: Distinct words of a block, after which the next one begins.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
+#: Bytes of text, or of ids, handled at once; four workers share an executor.
+SLICE_BYTES = 2 << 20
 
 _WORDS = "bucket int, block long, words binary"
 _PARTS = "block long, kind int, part int, ids array<long>, counts binary, body binary, check long"
@@ -69,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int):
     for batch in batches:
         if block < 0 and len(batch):
             block = batch.column("source")[0].as_py() << 32
-        for some in text_slices(batch, "text"):
+        for some in text_slices(batch, "text", SLICE_BYTES):
             if len(words.number) >= block_words:
                 yield block, part, words
                 block, part, words = block + 1, 0, _Block()
@@ -225,15 +227,15 @@ def bpe_encode(
         F.spark_partition_id().alias("source"),
     )
     n = shuffle_partitions(spark)
-    lists = texts.mapInArrow(_word_lists(block_words, n), _WORDS)
+    lists = texts.mapInArrow(tidy(_word_lists(block_words, n)), _WORDS)
     found = (
-        lists.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_encode_lists(tokenizer_path), _PARTS)
+        lists.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(_encode_lists(tokenizer_path)), _PARTS)
     )
-    parts = found.unionByName(texts.mapInArrow(_numbers(block_words, n), _PARTS))
+    parts = found.unionByName(texts.mapInArrow(tidy(_numbers(block_words, n)), _PARTS))
     return (
         parts.repartition(n, "block")
         .sortWithinPartitions("block", "kind", "part")
-        .mapInArrow(_assembled, "id long, n_tokens long, ids binary")
+        .mapInArrow(tidy(_assembled), "id long, n_tokens long, ids binary")
         .withColumnRenamed("id", id_column)
     )
 
@@ -249,7 +251,7 @@ def _decode(tokenizer_path: str):
     def run(batches):
         pieces = _pieces(tokenizer_path)
         for batch in batches:
-            for some in text_slices(batch, "ids"):
+            for some in text_slices(batch, "ids", SLICE_BYTES):
                 column = some.column("ids")
                 ends = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // 4))
                 ids = np.frombuffer(b"".join(column.to_pylist()), "<u4")
@@ -266,4 +268,4 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     That is what a tokenizer file without a decoder gives, special tokens included.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
-    return encoded.mapInArrow(_decode(tokenizer_path), f"{schema}, decoded string")
+    return encoded.mapInArrow(tidy(_decode(tokenizer_path)), f"{schema}, decoded string")

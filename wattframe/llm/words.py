@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def load_tokenizer(path: str):
@@ -81,7 +81,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndar
 class WordIds:
     """Ids of the words met so far. Past ``most`` words it starts anew, so its size is bounded."""
 
-    def __init__(self, tokenizer, most: int | None = 600_000):
+    def __init__(self, tokenizer, most: int | None = 400_000):
         self._tokenizer, self._most = tokenizer, most
         self._clear()
 
