@@ -28,7 +28,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
-    return numbered.join(kept, "row", "left_semi").select("doc.*")
+    """The rows that are kept; their numbers grow with the documents, so they are never broadcast."""
+    return numbered.join(kept.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

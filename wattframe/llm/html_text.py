@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.llm.scratch import columns_of, whole_text
+from wattframe.llm.scratch import columns_of, tidy, whole_text
 from wattframe.llm.words import text_slices
 
 #: Lines summed at once, and the sum that marks main text where no element does.
@@ -211,5 +211,5 @@ def extract_main_text(
     rows = columns_of(pages, id_column, url_column, html_column).select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), whole_text(html_column).alias("html")
     )
-    out = rows.mapInArrow(_extract(window_lines, surge_chars), "id long, url string, text string, n_chars long")
+    out = rows.mapInArrow(tidy(_extract(window_lines, surge_chars)), "id long, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column})

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.components import connected_components
-from wattframe.llm.scratch import Scratch, columns_of, shuffle_partitions, whole_text
+from wattframe.llm.scratch import Scratch, columns_of, shuffle_partitions, tidy, whole_text
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int)
         F.col(id_column).cast("long").alias("id"),
         whole_text(text_column).cast("binary").alias("text"),
     )
-    return texts.mapInArrow(_fingerprints(words), "id long, fp long")
+    return texts.mapInArrow(tidy(_fingerprints(words)), "id long, fp long")
 
 
 def _slices(max_bits: int) -> list[tuple[int, int]]:
@@ -289,7 +289,7 @@ def links(distinct: DataFrame, max_bits: int, scratch: Scratch, crowded: int = C
     spark = distinct.sparkSession
     keys = ["slice", "head", "u", "v"]
     dealt = _subtries(distinct, max_bits, crowded, scratch).repartition(shuffle_partitions(spark), *keys)
-    return dealt.sortWithinPartitions(*keys, "turned").mapInArrow(_trie_join(max_bits), "a long, b long").distinct()
+    return dealt.sortWithinPartitions(*keys, "turned").mapInArrow(tidy(_trie_join(max_bits)), "a long, b long").distinct()
 
 
 def simhash_dedup(
