@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.scratch import Scratch, columns_of, whole_text
+from wattframe.llm.scratch import Scratch, columns_of, tidy, whole_text
 from wattframe.llm.words import WordIds, load_tokenizer, text_slices
 
 CAPACITY = 2048
@@ -31,6 +31,8 @@ END_ID = 0
 SEARCH_NODES = 8_000
 #: Fillings looked at for one sequence, and of these how many are branched on.
 FILLINGS, BRANCHES = 400, 4
+#: Text tokenized at once; the more, the fewer words are looked up twice.
+_SLICE_BYTES = 8 << 20
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often) with falling lengths
 
@@ -42,7 +44,7 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int):
         ids_of = WordIds(load_tokenizer(tokenizer_path))
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
         for batch in batches:
-            for some in text_slices(batch, "text"):
+            for some in text_slices(batch, "text", _SLICE_BYTES):
                 part = some.column("source")[0].as_py()
                 ids, counts = ids_of.texts(some.column("text"))
                 ends = np.cumsum(counts)
@@ -222,7 +224,7 @@ def pack(
         whole_text(text_column).alias("text"),
         F.spark_partition_id().alias("source"),
     )
-    pieces = scratch.keep(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES))
+    pieces = scratch.keep(texts.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), PIECES))
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.keep(by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
