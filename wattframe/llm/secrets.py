@@ -284,6 +284,7 @@ def mask_secrets(
     """
     found = find_secrets(docs, text_column, path_column, labelled)
     secret = F.when(F.col("is_secret"), F.struct((-F.length("value")).alias("size"), "value"))
+    # the findings grow with the documents: one plan at every size
     per_text = Scratch(docs.sparkSession, "secrets").keep(
         found.groupBy(*_SAME, "path").agg(
             F.count(F.lit(1)).alias("n_candidates"),
@@ -296,7 +297,7 @@ def mask_secrets(
     )
     return (
         _keyed(docs, text_column, path_column)
-        .join(per_text, [*_SAME, "path"], "left")
+        .join(per_text.hint("merge"), [*_SAME, "path"], "left")
         .select(
             "doc",
             F.when(F.col("n_secrets") > 0, masked).otherwise(F.col("text")).alias("text"),
