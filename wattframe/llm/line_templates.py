@@ -31,12 +31,19 @@ _VARIABLE = "<*>"
 _SAME = ("h1", "h2")  # 128 bits of the text stand for it
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\r\f\x0b", "    "), " "), lambda t: t != "")
+def _blanked(line: Column) -> Column:
+    """The line with one blank between tokens."""
+    plain = F.btrim(F.translate(line, "\t\r\f\x0b", "    "))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
 
 
-def _general(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(_VARIABLE)).otherwise(t))
+def _token_count(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _general(line: Column) -> Column:
+    """Tokens of a line, or of its beginning, variable ones made general."""
+    return F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(_VARIABLE)).otherwise(t))
 
 
 def _recurring(df: DataFrame, min_texts: int, *by: str) -> DataFrame:
@@ -67,13 +74,18 @@ def drop_recurring_lines(
     texts = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     lines = (
         texts.select(*_SAME, F.posexplode(F.split("text", "\n")).alias("line", "body"))
-        .select(*_SAME, "line", _tokens(F.col("body")).alias("tokens"))
-        .where(F.size("tokens") >= min_tokens)
-        .select(*_SAME, "line", _general(F.col("tokens")).alias("tokens"))
-        .withColumn("leaf", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)))
+        .select(*_SAME, "line", _blanked(F.col("body")).alias("body"))
+        .withColumn("n", _token_count(F.col("body")))
+        .where(F.col("n") >= min_tokens)
+        .withColumn(
+            "leaf",
+            F.concat_ws(" ", F.col("n").cast("string"), _general(F.substring_index("body", " ", depth))),
+        )
     )
     leaves = scratch.keep(_recurring(lines, min_texts, "leaf"))
-    reached = scratch.keep(lines.join(leaves, "leaf").select(*_SAME, "line", "leaf", "tokens").distinct())
+    reached = scratch.keep(
+        lines.join(leaves, "leaf").select(*_SAME, "line", "leaf", _general(F.col("body")).alias("tokens")).distinct()
+    )
     fields = reached.select(*_SAME, "line", "leaf", F.posexplode("tokens").alias("place", "token"))
     constant = scratch.keep(_recurring(fields.where(F.col("token") != _VARIABLE), min_texts, "leaf", "place", "token"))
     marked = fields.join(constant.withColumn("constant", F.lit(True)), ["leaf", "place", "token"], "left")
@@ -92,7 +104,8 @@ def drop_recurring_lines(
     all_lines = F.split("text", "\n")
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     return (
-        texts.join(dropped, list(_SAME), "left")
+        # what is dropped grows with the documents: one plan at every size
+        texts.join(dropped.hint("merge"), list(_SAME), "left")
         .select("id", all_lines.alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
         .select(
             F.col("id").alias(id_column),
