@@ -19,12 +19,14 @@ from wattframe.llm.secrets import mask_secrets
 from wattframe.llm.simhash import simhash_dedup
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc, row, doc_id, text)``: each row as a struct, with a number of its own.
 
-    ``docs`` is a written table, so that a row has the same number at every reading.
+    The numbers are written with the rows. Given anew at a reading they would follow
+    the splits of the files, which depend on the cores there are at that moment.
     """
-    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    numbered = scratch.keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    return numbered.select("doc", "row", "doc.doc_id", "doc.text")
 
 
 def _only(numbered: DataFrame, kept: DataFrame) -> DataFrame:
@@ -41,15 +43,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    numbered = _numbered(docs)
+    numbered = _numbered(docs, Scratch(spark, "copies"))
     marked = exact_dedup(numbered.withColumn("key", F.struct("doc_id", "row")), id_column="key")
     return _only(numbered, marked.where("kept").select(F.col("key.row").alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id; rows without one come last."""
-    numbered = _numbered(docs)
     scratch = Scratch(spark, "near-copies")
+    numbered = _numbered(docs, scratch)
     marked = simhash_dedup(numbered, id_column="row", shingle_words=3, max_bits=3)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     first = marked.join(numbered.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first"))

@@ -67,3 +67,24 @@ def test_stages_on_odd_rows(spark, odd_docs, empty_docs, small, tmp_path):
         else:
             # of the copies of one text the greatest id, of the empty texts one
             assert {5, 6, 7, 8} <= {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, stage):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(120)]
+    rows = [(i, texts[i % 120]) for i in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "8000")
+        out = stage(spark, docs, "")
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = sorted(r.text for r in out.collect())
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == sorted(texts)
