@@ -140,6 +140,17 @@ def test_topk_with_large_numbers(spark):
         topk.exact_topk(huge, F.col("vec_id") == 0).collect()
 
 
+def test_topk_of_very_large_numbers_gives_no_place_to_the_own_row():
+    rng = np.random.default_rng(1)
+    c = rng.integers(-(1 << 29), 1 << 29, (40, 3)).astype(np.float64)
+    ids = np.arange(40)
+    assert np.abs(c).max() ** 2 * 3 * len(ids) >= 2.0**62
+    got = list(zip(*(x.tolist() for x in topk.best_of_tile(ids[::4], c[::4], ids, c, 5))))
+    whole = c.astype(np.int64)
+    want = [(q, i, -s) for q in ids[::4].tolist() for s, i in sorted((-int(whole[q] @ whole[i]), i) for i in range(40) if i != q)[:5]]
+    assert got == want
+
+
 # toxicity
 
 

@@ -52,7 +52,8 @@ def best_of_tile(
             best = np.argpartition(keys, n - k, axis=1)[:, n - k :] if n > k else np.tile(ties, (len(ids), 1))
         else:
             masked = np.where(own, np.iinfo(np.int64).min, scores)
-            best = np.argsort(-masked, axis=1, kind="stable")[:, : min(n, k)]
+            # the complement turns the order round and cannot overflow, as the negative would
+            best = np.argsort(~masked, axis=1, kind="stable")[:, : min(n, k)]
         rows = np.repeat(np.arange(len(ids)), best.shape[1])
         best = best.ravel()
         other = ~own[rows, best]
