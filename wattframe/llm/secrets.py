@@ -1,6 +1,7 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-Candidates are long words with digits or odd capitals, or the value in ``name=value``. Each has features of
+Candidates are long runs of key characters with digits or odd capitals, wherever they stand in a word, and
+whatever a secret's name is given, however short or plain it is. Each has features of
 its length and characters, of the transitions between its characters as they occur
 in the corpus' own words, of how much of it dictionary words cover, of paths and
 addresses, of its document's path, and of the words beside it. The forest is fitted
@@ -61,10 +62,22 @@ HARMLESS_FORMATS = (
 )
 
 _SAME = ("h1", "h2")  # 128 bits of the text stand for it
-_SHAPE = r"^[A-Za-z0-9+/_=.~@:-]+$"
 # A digit, many capitals, or capitals inside a word: what plain words do not have.
 _MIXED = r"[0-9]|[A-Z]{8}|[a-z][A-Z]"
-_NAME_VALUE = r"^[\"'({\[]*([A-Za-z_][A-Za-z0-9_.-]{1,40})[\"']?(?:=|:=|:)[\"']?([^\"'\s]+)"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,40}"
+_GIVEN = r"\\?[\"']?(?::=|=|:(?!//))\\?[\"']?"
+#: A run of key characters, and the name it is given to.
+_RUN = rf"(?:({_NAME}){_GIVEN})?((?:[A-Za-z]{{2,12}}://)?[A-Za-z0-9+/_.~@-]{{{MIN_LENGTH},}}(?:={{1,2}}(?![A-Za-z0-9=]))?)"
+#: Where the next name=value of a word begins.
+_NEXT = rf"[?&,;{{}}<>](?=\\?[\"']?{_NAME}{_GIVEN})"
+_SECRET_NAME = rf"(?=[A-Za-z0-9_.-]{{0,40}}{SECRET_WORDS}){_NAME}"
+# Up to the quote where it is quoted, else up to a sign that ends values in tables, code and markup.
+_ANY_VALUE = r"((?<=\")[^\"]+|(?<=')[^']+|(?<![\"'])[^\"',;<>]+)"
+#: A secret's name with what it is given: groups are the head, the name, a word within it, the value.
+_NAMED = rf"(({_SECRET_NAME}){_GIVEN}){_ANY_VALUE}"
+_HEAD_GROUP, _NAME_GROUP, _VALUE_GROUP = 1, 2, 4
+#: The end of the words before a value that is given to a secret's name.
+_NAMED_BEFORE = rf"(?:^|[^A-Za-z0-9_.-]){_SECRET_NAME}[\"']? ?(?::=|=|:)$"
 _TURN = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
 
 FEATURES = [
@@ -82,36 +95,81 @@ def _share(value: Column, characters: str) -> Column:
     return F.regexp_count(value, F.lit(f"[{characters}]")) / F.length(value)
 
 
+def _literal(value: Column) -> Column:
+    """A pattern for just this text."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _found(value: Column, name: Column, lead: Column) -> Column:
+    return F.struct(value.alias("value"), name.alias("name"), lead.alias("lead"))
+
+
+def _runs(piece: Column) -> Column:
+    """Long runs of key characters, each with its name or an empty one."""
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(piece, F.lit(_RUN), F.lit(1)).alias("name"),
+        F.regexp_extract_all(piece, F.lit(_RUN), F.lit(2)).alias("value"),
+    )
+    trimmed = F.transform(
+        pairs,
+        lambda p: _found(
+            F.regexp_replace(F.regexp_replace(p["value"], r"^[^A-Za-z0-9+/]+", ""), r"[^A-Za-z0-9+/=]+$", ""),
+            p["name"], F.lit(None).cast("string"),
+        ),
+    )
+    return F.filter(trimmed, lambda p: (F.length(p["value"]) >= MIN_LENGTH) & p["value"].rlike(_MIXED))
+
+
+def _given(piece: Column) -> Column:
+    """What a secret's name is given in this piece, if it is."""
+    value = F.regexp_replace(F.regexp_extract(piece, _NAMED, _VALUE_GROUP), r"[)\]}.:\\]+$", "")
+    one = _found(value, F.regexp_extract(piece, _NAMED, _NAME_GROUP), _literal(F.regexp_extract(piece, _NAMED, _HEAD_GROUP)))
+    return F.when(piece.rlike(_NAMED) & (value != ""), F.array(one)).otherwise(F.array().cast(_FOUND))
+
+
+_FOUND = "array<struct<value:string,name:string,lead:string>>"
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """``(h1, h2, path, place, value, name, before)`` of each text's candidates.
+    """``(h1, h2, path, place, value, name, before, lead)`` of each text's candidates.
 
     ``place`` counts words, ``name`` is what the value is assigned to in the same
-    word, ``before`` are the two words before it.
+    word, ``before`` are the two words before it. ``lead`` is a pattern of what stands
+    before the value where a secret's name is given it, and null otherwise.
     """
     words = texts.select(*_SAME, "path", F.split(F.translate("text", "\n\t\r\f\x0b", "     "), " ").alias("words"))
-    long = F.filter(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(F.get("words", i)) >= MIN_LENGTH) & F.get("words", i).rlike(_MIXED),
-    )
-    found = words.select(*_SAME, "path", "words", F.explode(long).alias("place")).select(
+
+    def before(i: Column) -> Column:
+        return F.concat_ws(" ", F.when(i > 1, F.get("words", i - 2)), F.when(i > 0, F.get("words", i - 1)))
+
+    def told(i: Column) -> Column:
+        """Whether the words before it give it to a secret's name."""
+        return F.when(i > 0, F.get("words", i - 1).rlike("[=:]$") & before(i).rlike(_NAMED_BEFORE)).otherwise(False)
+
+    def looked_at(i: Column) -> Column:
+        word = F.get("words", i)
+        return ((F.length(word) >= MIN_LENGTH) & word.rlike(_MIXED)) | (word.rlike("[=:].") & word.rlike(_NAMED)) | ((word != "") & told(i))
+
+    found = words.select(
+        *_SAME, "path", "words", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), looked_at)).alias("place")
+    ).select(
         *_SAME,
         "path",
         "place",
         F.get("words", F.col("place")).alias("word"),
-        F.concat_ws(
-            " ",
-            F.when(F.col("place") > 1, F.get("words", F.col("place") - 2)),
-            F.when(F.col("place") > 0, F.get("words", F.col("place") - 1)),
-        ).alias("before"),
+        before(F.col("place")).alias("before"),
+        told(F.col("place")).alias("told"),
     )
-    pair = F.col("word").rlike(_NAME_VALUE) & ~F.col("word").rlike("^[a-z]+://")
-    bare = F.regexp_replace(F.regexp_replace("word", r"^[^A-Za-z0-9+/]+", ""), r"[^A-Za-z0-9+/=]+$", "")
-    value = F.when(pair, F.regexp_replace(F.regexp_extract("word", _NAME_VALUE, 2), r"[^A-Za-z0-9+/=]+$", "")).otherwise(bare)
+    pieces = F.split("word", _NEXT)
+    within = F.flatten(F.transform(pieces, lambda p: F.concat(_given(p), _runs(F.regexp_replace(p, _NAMED, " ")))))
+    # the word as a whole, out of its quotes or up to a sign that ends it
+    opened = r"^[\"'({\[]*"
+    whole = F.regexp_replace(F.regexp_extract("word", opened + _ANY_VALUE, 1), r"[)\]}.:\\]+$", "")
+    lead = F.concat(F.replace(_literal(F.col("before")), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\s+[\"'({\[]*"))
+    alone = F.when(whole != "", F.array(_found(whole, F.lit(""), lead))).otherwise(F.array().cast(_FOUND))
     return (
-        found.withColumn("value", value)
-        .withColumn("name", F.when(pair, F.regexp_extract("word", _NAME_VALUE, 1)).otherwise(""))
-        .where((F.length("value") >= MIN_LENGTH) & F.col("value").rlike(_SHAPE) & F.col("value").rlike(_MIXED))
-        .drop("word")
+        found.withColumn("found", F.explode(F.when(F.col("told") & ~F.col("word").rlike(_NAMED), alone).otherwise(within)))
+        .select(*_SAME, "path", "place", "before", "found.*")
         .distinct()
     )
 
@@ -190,7 +248,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
             "signs": _share(value, "^A-Za-z0-9"),
             "turns": F.regexp_count(value, F.lit(_TURN)) / F.length(value),
             "entropy": entropy,
-            "transition": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.length(value) - 1),
+            "transition": F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.length(value) - 1, F.lit(1)),
             "coverage": covered / F.length(value),
             "slashes": F.regexp_count(value, F.lit("/")).cast("double"),
             "dots": F.regexp_count(value, F.lit("[.]")).cast("double"),
@@ -245,7 +303,7 @@ def find_secrets(
     path_column: str | None = "source",
     labelled: DataFrame | None = None,
 ) -> DataFrame:
-    """``(h1, h2, path, place, value, score, is_secret)`` of every candidate of every different text.
+    """``(h1, h2, path, place, value, lead, score, is_secret)`` of every candidate of every different text.
 
     ``labelled`` may give findings by ``value`` with a ``label``; by default
     ``rule_label`` labels those it is sure of. Equal texts of one path are searched
@@ -264,7 +322,7 @@ def find_secrets(
         features = features.join(given, "value", "left")
     features = scratch.keep(features)
     out = scored(features).withColumn("is_secret", F.col("score") >= DECISION)
-    kept = scratch.keep(out.select(*_SAME, "path", "place", "value", "score", "is_secret"))
+    kept = scratch.keep(out.select(*_SAME, "path", "place", "value", "lead", "score", "is_secret"))
     scratch.drop(found, words, features)
     return kept
 
@@ -278,12 +336,19 @@ def mask_secrets(
     """``(doc, text, n_candidates, n_secrets)``: each row as a struct, and its text without secrets.
 
     Every place in the text where one of its secrets stands is replaced by
-    ``[SECRET]``, longer ones first. All rows stay; a null or empty text becomes an
+    ``[SECRET]``, longer ones first; one that could be a plain word or is short only
+    where a secret's name is given it. All rows stay; a null or empty text becomes an
     empty one. Repeated rows and rows without an id or path are searched like any
     other. An empty table gives an empty one.
     """
     found = find_secrets(docs, text_column, path_column, labelled)
-    secret = F.when(F.col("is_secret"), F.struct((-F.length("value")).alias("size"), "value"))
+    plain = (F.length("value") < MIN_LENGTH) | ~F.col("value").rlike(_MIXED)
+    placed = F.when(plain, F.concat(F.lit("("), F.col("lead"), F.lit(")"), _literal(F.col("value")), F.lit("(?![A-Za-z0-9])")))
+    # those of one place come first, as long as what leads to them stands
+    secret = F.when(
+        F.col("is_secret"),
+        F.struct(placed.isNull().alias("anywhere"), (-F.length("value")).alias("size"), "value", placed.alias("placed")),
+    )
     # the findings grow with the documents: one plan at every size
     per_text = Scratch(docs.sparkSession, "secrets").keep(
         found.groupBy(*_SAME, "path").agg(
@@ -293,7 +358,11 @@ def mask_secrets(
         )
     )
     masked = F.aggregate(
-        F.sort_array("secrets"), F.col("text"), lambda text, s: F.replace(text, s["value"], F.lit(MASK))
+        F.sort_array("secrets"),
+        F.col("text"),
+        lambda text, s: F.when(s["anywhere"], F.replace(text, s["value"], F.lit(MASK))).otherwise(
+            F.regexp_replace(text, F.coalesce(s["placed"], F.lit("$.")), F.lit(f"$1{MASK}"))
+        ),
     )
     return (
         _keyed(docs, text_column, path_column)
