@@ -269,6 +269,12 @@ def test_main_text_in_several_frames(frame):
     assert main_text(PAGE % (frame % BODY)) == TEXT
 
 
+def test_an_article_that_teases_does_not_replace_the_text():
+    body = "".join(f"<p>Paragraph {i} of a body in a plain element, long enough to make the sums surge at once.</p>" for i in range(6))
+    text = main_text(PAGE % f"<div>{body}</div><nav>x</nav><hr><hr><article><p>Read this next</p></article>")
+    assert [x for x in text.split("\n") if x.startswith("Para")] == re.findall("<p>(.*?)</p>", body)
+
+
 def test_broken_markup():
     assert main_text("") == "" and main_text("<p><<<") in ("<<", "<<<") and main_text("a & b") == "a & b"
     assert main_text('<div class="ad">Buy<article><p>Kept text</p></article>') == "Kept text"

@@ -154,17 +154,16 @@ def _end_of(tags: list[re.Match], i: int, name: str) -> int:
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
     """Blocks of the main text in page order, one to a line."""
     lines = page_lines(page)
+    # what articles or the main element hold is main text however short its lines are, if it is most of the page's
+    total = sum(n for _, n, _, _ in lines)
     in_article = sum(n for _, n, a, _ in lines if a)
     in_main = sum(n for _, n, _, m in lines if m)
-    if in_article and 2 * in_article >= in_main:
-        lines, surge = [(t, n) if a else ("", 0) for t, n, a, _ in lines], 1
-    elif in_main:
-        lines, surge = [(t, n) if m else ("", 0) for t, n, _, m in lines], 1
-    else:
-        lines = [(t, n) for t, n, _, _ in lines]
+    article = 2 * in_article > total and 2 * in_article >= in_main
+    main = not article and 2 * in_main > total
+    lines = [(t, n, bool(article and a or main and m)) for t, n, a, m in lines]
     # neighbouring lines without text count as one, so that nesting alone parts nothing
     lines = [x for i, x in enumerate(lines) if x[0] or i == 0 or lines[i - 1][0]]
-    texts, lengths = zip(*lines)
+    texts, lengths, held = zip(*lines)
     if not any(lengths):
         return ""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
@@ -175,7 +174,7 @@ def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -
         elif not total and start is not None:
             runs.append((start, i))
             start = None
-    strong = [r for r in runs if max(sums[r[0] : r[1]]) >= surge]
+    strong = [r for r in runs if max(sums[r[0] : r[1]]) >= surge or any(held[r[0] : r[1]])]
     kept = strong or [max(runs, key=lambda r: sum(lengths[r[0] : r[1]]))]
     return "\n".join(texts[i] for a, b in kept for i in range(a, b) if texts[i])
 
