@@ -275,6 +275,18 @@ def test_an_article_that_teases_does_not_replace_the_text():
     assert [x for x in text.split("\n") if x.startswith("Para")] == re.findall("<p>(.*?)</p>", body)
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="content has-sidebar"', 'div id="page" class="no-sidebar"', 'div class="entry with-comments"', 'section class="legal-article"', 'div class="search-result-page"'],
+)
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "%s"])
+def test_wrappers_named_after_boilerplate_are_read(wrapper, inner):
+    body = BODY.replace("<p>Third.", "<p>Third." + "<p>A further paragraph that makes this the greatest part of the text of the page." * 9)
+    assert main_text(PAGE % f"<{wrapper}>{inner % body}</{wrapper.split()[0]}>").startswith(TEXT)
+    small = PAGE % f"<article>{BODY}</article><{wrapper.split()[0]} class=related><article><p>Read this other one</p></article></{wrapper.split()[0]}>"
+    assert main_text(small) == TEXT
+
+
 def test_broken_markup():
     assert main_text("") == "" and main_text("<p><<<") in ("<<", "<<<") and main_text("a & b") == "a & b"
     assert main_text('<div class="ad">Buy<article><p>Kept text</p></article>') == "Kept text"

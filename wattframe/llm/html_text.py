@@ -51,11 +51,23 @@ _BOILERPLATE = frozenset(
 )
 
 
+#: In a name, what follows these tells how the page is laid out, not what the element is.
+_LAYOUT = frozenset("has no with without".split())
+#: Elements that hold articles which are not the page's own.
+_LISTS = frozenset(
+    "comment comments disqus outbrain popup promo promoted recommended related replies sponsored taboola widget".split()
+)
+
+
 def _marks(attributes: str) -> set[str]:
     found: set[str] = set()
     for m in _MARK.finditer(attributes):
-        for name in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "")):
-            found.update(x.lower() for x in (name, *re.findall(r"[A-Z]?[a-z]+", name)))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            for part in re.split(r"[_-]+", name):
+                parts = [x.lower() for x in (part, *re.findall(r"[A-Z]?[a-z]+", part))]
+                if _LAYOUT & set(parts):
+                    break
+                found.update(parts)
     return found
 
 
@@ -82,6 +94,33 @@ class _Line:
         self.linked, self.article, self.main = 0, article, main
 
 
+def _unlinked(page: str, tags: list[re.Match]) -> list[int]:
+    """Characters outside links up to each tag, and in the whole page."""
+    sums, at, total, linked = [], 0, 0, False
+    for tag in tags:
+        if not linked:
+            total += len("".join(page[at : tag.start()].split()))
+        sums.append(total)
+        at = tag.end()
+        if tag[2].lower() == "a":
+            linked = not tag[1]
+    return [*sums, total if linked else total + len("".join(page[at:].split()))]
+
+
+def _holds_main_text(tags: list[re.Match], sums: list[int], i: int, end: int, marks: set[str]) -> bool:
+    """Whether a closed element holds the main element, an article of the page, or most of its text."""
+    if end == len(tags) or not tags[end][1] or tags[end][2].lower() != tags[i][2].lower():
+        return False
+    if 2 * (sums[end] - sums[i]) > sums[-1]:
+        return True
+    for tag in tags[i + 1 : end]:
+        if not tag[1] and (tag[2].lower() == "main" or _MAIN & _marks(tag[3])):
+            return True
+        if not tag[1] and tag[2].lower() == "article" and not marks & _LISTS and not _boilerplate("article", tag[3], False):
+            return True
+    return False
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """``(text, length without links, in an article, in the main element)`` of each block.
 
@@ -90,6 +129,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """
     page = _RAW.sub(" ", page.replace("\x00", ""))
     tags = list(_TAG.finditer(page))
+    sums: list[int] = []
     skip_until = -1  # index of the tag that ends the boilerplate at hand
     links = articles = mains = 0
     lines = [_Line(False, False)]
@@ -120,10 +160,14 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 add(" ")
             continue
         if not closing and name not in _VOID and not tag[3].rstrip().endswith("/") and _boilerplate(name, tag[3], articles > 0):
-            skip_until = _end_of(tags, i, name)
-            links = 0
-            lines.append(_Line(False, False))
-            continue
+            end = _end_of(tags, i, name)
+            by_name = name not in _SKIPPED and name != "header" and name != "article" and not _HIDDEN.search(tag[3])
+            sums = sums or (_unlinked(page, tags) if by_name else sums)
+            if not (by_name and _holds_main_text(tags, sums, i, end, _marks(tag[3]))):
+                skip_until = end
+                links = 0
+                lines.append(_Line(False, False))
+                continue
         if name == "article":
             articles = max(0, articles + (-1 if closing else 1))
         elif name == "main" or (not closing and _MAIN & _marks(tag[3])):
