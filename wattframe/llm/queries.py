@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import toxicity
+from wattframe.llm import language, toxicity
 from wattframe.llm.bpe import bpe_decode, bpe_encode
 from wattframe.llm.exact_dedup import exact_dedup
 from wattframe.llm.html_text import extract_main_text
+from wattframe.llm.infill import fill_in_middle, restore
 from wattframe.llm.line_templates import drop_recurring_lines
 from wattframe.llm.packing import pack
 from wattframe.llm.repeats import remove_repeats
@@ -189,3 +190,57 @@ kept AS (
 SELECT doc_id, n_lines, n_dropped, sha256(body) AS kept_sha256
 FROM texts JOIN kept USING (text)
 """
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    trees = language.fit(docs, lambda key: ~language.held_out(key))
+    return language.identify(docs.select("doc_id", "text"), trees).select(
+        "doc.doc_id", language.held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte"
+    )
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    cut = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op12_fill_in_middle"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+           list_transform(range(4), lambda i: CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * i + 1, 8) AS BIGINT)) AS h
+    FROM documents
+), cuts AS (
+    SELECT doc_id, text, units, len(units) AS n,
+           least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+           greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM texts
+), parts AS (
+    SELECT doc_id, text, n, form,
+           coalesce(array_to_string(units[1:a], ''), '') AS prefix,
+           coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+           coalesce(array_to_string(units[b + 1:n], ''), '') AS suffix
+    FROM cuts
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
