@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattframe.llm import language, toxicity
 from wattframe.llm.bpe import bpe_decode, bpe_encode
+from wattframe.llm.conversations import damaged, summary
 from wattframe.llm.exact_dedup import exact_dedup
 from wattframe.llm.html_text import extract_main_text
 from wattframe.llm.infill import fill_in_middle, restore
@@ -244,3 +245,9 @@ SELECT doc_id, n, form,
        sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = _table(spark, sf_dir, "conversations")
+    return summary(conversations, damaged(conversations))
