@@ -251,3 +251,84 @@ FROM parts
 def op13_conversation_repair(spark, sf_dir):
     conversations = _table(spark, sf_dir, "conversations")
     return summary(conversations, damaged(conversations))
+
+
+def _edited(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """SQL for a way to a state, one edit on; null where the state cannot be reached."""
+    said = f"{state}.m" if line is None else f"list_append({state}.m, {line})"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'm': {said}}} END"
+
+
+def _inserted(source: str) -> str:
+    """SQL for the same states after turns have been inserted."""
+    after_u = ", ".join(_edited(s, "3", "I", "'user:'") for s in ("s0", "s1", "s3"))
+    return f"""(SELECT * EXCLUDE (s2, s3), t2 AS s2, list_min([s3, {_edited("t2", "3", "I", "'assistant:'")}]) AS s3
+                FROM (SELECT *, list_min([s2, {after_u}]) AS t2 FROM {source}))"""
+
+
+def _kept(state: str, initial: str) -> str:
+    way = _edited(state, "more", "K", "role || ':' || text")
+    return f"CASE WHEN NOT gone AND role[1] = '{initial}' THEN {way} END"
+
+
+def _reroled(state: str, role: str) -> str:
+    return f"CASE WHEN NOT gone THEN {_edited(state, 'more + 3', 'R', f"'{role}:' || text")} END"
+
+
+SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+    FROM conversations
+), faults AS (
+    SELECT *, xor(4294967295, list_reduce(
+               list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: CAST(ord(substr(key, i, 1)) AS BIGINT))),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS kind
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faults WHERE kind <> 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said
+    FROM damaged
+), graded AS (
+    SELECT *, said = '' AS blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+           right(said, 1) NOT IN ('.', '!', '?') AS cut,
+           lead(role) OVER (PARTITION BY conv_id ORDER BY n) AS follower
+    FROM numbered
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+           count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+           count(*) FILTER (follower IS NOT NULL AND role[1] || follower[1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM graded GROUP BY conv_id
+), ways AS (
+    SELECT conv_id, CAST(1 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 'm': CAST([] AS VARCHAR[])}} AS s0,
+           CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, m VARCHAR[])) AS s1,
+           CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, m VARCHAR[])) AS s2,
+           CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, m VARCHAR[])) AS s3
+    FROM counts
+    UNION ALL
+    SELECT w.conv_id, w.n + 1, {_edited("s0", "4", "D")},
+           list_min([{_edited("s1", "4", "D")}, {_kept("s0", "s")}]),
+           list_min([{_edited("s2", "4", "D")}, {_kept("s0", "u")}, {_kept("s1", "u")}, {_kept("s3", "u")},
+                     {_reroled("s0", "user")}, {_reroled("s1", "user")}, {_reroled("s3", "user")}]),
+           list_min([{_edited("s3", "4", "D")}, {_kept("s2", "a")}, {_reroled("s2", "assistant")}])
+    FROM {_inserted("ways")} w
+    JOIN (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM graded) g
+      ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.n
+), ended AS (
+    SELECT conv_id, list_min([s0, s3]) AS best
+    FROM {_inserted("(SELECT * FROM ways QUALIFY n = max(n) OVER (PARTITION BY conv_id))")}
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.m, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
