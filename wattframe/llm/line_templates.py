@@ -13,6 +13,9 @@ lines is ever gathered. Only lines in recurring leaves are looked at token by to
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +34,20 @@ _VARIABLE = "<*>"
 _SAME = ("h1", "h2")  # 128 bits of the text stand for it
 
 
-def _blanked(line: Column) -> Column:
-    """The line with one blank between tokens."""
-    plain = F.btrim(F.translate(line, "\t\r\f\x0b", "    "))
-    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
-
+def _tokens(line: Column) -> Column:
+    """Tokens of a line; a blank line has one empty token.
 
-def _token_count(line: Column) -> Column:
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    Most lines have single blanks only and are cut at those, without a pattern.
+    """
+    odd = [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]
+    several = reduce(or_, odd, F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
+    trimmed = F.btrim(line, F.lit(" \t\r\f\x0b"))
+    return F.when(several, F.split(trimmed, r"[ \t\r\f\x0B]+")).otherwise(F.split(line, " "))
 
 
-def _general(line: Column) -> Column:
-    """Tokens of a line, or of its beginning, variable ones made general."""
-    return F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(_VARIABLE)).otherwise(t))
+def _general(tokens: Column) -> Column:
+    """Tokens with the variable ones made general."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(_VARIABLE)).otherwise(t))
 
 
 def _recurring(df: DataFrame, min_texts: int, *by: str) -> DataFrame:
@@ -72,19 +76,19 @@ def drop_recurring_lines(
         F.col(id_column).alias("id"), whole_text(text_column).alias("text")
     )
     texts = texts.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    # exploding an array of one keeps the filter above the cutting, which is then done once
     lines = (
         texts.select(*_SAME, F.posexplode(F.split("text", "\n")).alias("line", "body"))
-        .select(*_SAME, "line", _blanked(F.col("body")).alias("body"))
-        .withColumn("n", _token_count(F.col("body")))
-        .where(F.col("n") >= min_tokens)
+        .select(*_SAME, "line", F.explode(F.array(_tokens(F.col("body")))).alias("tokens"))
+        .where((F.size("tokens") >= min_tokens) & (F.element_at("tokens", 1) != ""))
         .withColumn(
             "leaf",
-            F.concat_ws(" ", F.col("n").cast("string"), _general(F.substring_index("body", " ", depth))),
+            F.concat_ws(" ", F.size("tokens").cast("string"), _general(F.slice("tokens", 1, depth))),
         )
     )
     leaves = scratch.keep(_recurring(lines, min_texts, "leaf"))
     reached = scratch.keep(
-        lines.join(leaves, "leaf").select(*_SAME, "line", "leaf", _general(F.col("body")).alias("tokens")).distinct()
+        lines.join(leaves, "leaf").select(*_SAME, "line", "leaf", _general(F.col("tokens")).alias("tokens")).distinct()
     )
     fields = reached.select(*_SAME, "line", "leaf", F.posexplode("tokens").alias("place", "token"))
     constant = scratch.keep(_recurring(fields.where(F.col("token") != _VARIABLE), min_texts, "leaf", "place", "token"))
