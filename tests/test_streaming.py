@@ -79,3 +79,78 @@ def test_replays_are_dropped_and_late_rows_and_corrections_kept(spark, tmp_path)
         market.drop_replays(_land(spark, source, rows), table, state).awaitTermination()
     kept = [(r.timestamp.hour, r.price) for r in spark.read.parquet(table).collect()]
     assert sorted(kept, key=str) == sorted([(20, 20.0), (21, 21.0), (3, 3.0), (21, 22.0), (1, None)], key=str)
+
+
+def _days(spark, source, days, per_day=20):
+    """One landed file a day."""
+    for day in days:
+        _land(spark, source, [(1440 * day + 60 * (i % 24), float(i % 7)) for i in range(per_day)])
+    schema = "iso string, timestamp timestamp, settlement_point string, price double"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _held(spark, checkpoint):
+    """Bytes of state that a stream holds at its latest version."""
+    values = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    return values
+
+
+def test_rows_without_a_time_and_very_late_ones_are_stored_once(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    schema = "iso string, timestamp timestamp, settlement_point string, price double"
+    at = datetime(2025, 7, 31)
+    rows = [("PJM", None, "A", 1.0), ("PJM", None, None, None), (None, at - timedelta(days=900), "A", 2.0), ("PJM", at, "A", None)]
+    for _ in range(3):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        market.drop_replays(spark.readStream.schema(schema).parquet(source), table, state).awaitTermination()
+    kept = [(r.iso, r.timestamp, r.settlement_point, r.price) for r in spark.read.schema(schema).parquet(table).collect()]
+    assert sorted(kept, key=str) == sorted(rows, key=str)
+
+
+def test_a_batch_within_open_days_does_not_read_the_table(spark, tmp_path, monkeypatch):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    market.drop_replays(_days(spark, source, range(4)), table, state).awaitTermination()
+    monkeypatch.setattr(market, "stored_events", None)
+    _land(spark, source, [(1440 * 3 + 60 * i, 9.0) for i in range(5)])
+    _land(spark, source, [(1440 * 4, 1.0), (1440 * 3, 9.0)])
+    market.drop_replays(_days(spark, source, []), table, state).awaitTermination()
+    assert spark.read.parquet(table).where("price = 9.0").count() == 5
+
+
+def test_state_holds_open_days_only_and_survives_restarts(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    sizes = []
+    for first in range(0, 20, 5):
+        market.drop_replays(_days(spark, source, range(first, first + 5)), table, state, horizon="2 days").awaitTermination()
+        held = _held(spark, state).agg(F.sum(F.length("seen")).alias("n"), F.count("*").alias("groups")).first()
+        assert held.groups <= 8
+        sizes.append(held.n // 16)
+    # of twenty days three or four are open
+    assert max(sizes) <= 5 * 20 and spark.read.parquet(table).count() == 20 * 20
+    before = spark.read.parquet(table).count()
+    for day in (0, 19):
+        _land(spark, source, [(1440 * day + 60 * (i % 24), float(i % 7)) for i in range(20)])
+    market.drop_replays(_days(spark, source, []), table, state, horizon="2 days").awaitTermination()
+    assert spark.read.parquet(table).count() == before
+
+
+def test_hours_are_stored_once_and_the_open_ones_as_one_snapshot(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    for first in range(0, 12, 4):
+        market.hourly(_days(spark, source, range(first, first + 4), 48), table, state, horizon="2 days").awaitTermination()
+    _land(spark, source, [(60, 100.0), (1440 * 11, 7.0)])
+    market.hourly(_days(spark, source, []), table, state, horizon="2 days").awaitTermination()
+    means = market.hourly_means(spark, table).collect()
+    want = {}
+    for day in range(12):
+        for i in range(48):
+            want.setdefault((day, i % 24), []).append(float(i % 7))
+    want[0, 1].append(100.0)
+    want[11, 0].append(7.0)
+    start = datetime(2025, 7, 31)
+    assert {((r.timestamp - start).days, r.timestamp.hour): r.price for r in means} == pytest.approx({k: sum(v) / len(v) for k, v in want.items()})
+    # one row for each ended hour and one more for the late addition; open hours in two snapshots at most
+    settled = spark.read.parquet(f"{table}/settled")
+    assert settled.count() <= 12 * 24 + 1 and settled.count() >= 8 * 24
+    assert len(list((tmp_path / "t" / "open").iterdir())) <= 2
+    assert _held(spark, state).agg(F.sum(F.size("totals")).alias("n")).first().n <= 4 * 24

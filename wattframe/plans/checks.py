@@ -1000,9 +1000,10 @@ CHECKS: dict[str, str] = {
         f"SELECT settlement_point, timestamp, {_r('price')} AS price FROM hourly"
     ),
     "stream_dedupe": _with(
-        """SELECT DISTINCT 'ERCOT' AS iso, settlement_point, timestamp, price FROM market
-           UNION
-           SELECT 'ERCOT', settlement_point, timestamp, price + 1 FROM market
-           WHERE row_id % 50 = 7"""
+        """SELECT DISTINCT 'ERCOT' AS iso, settlement_point,
+                  CASE WHEN row_id % 97 = 5 THEN NULL
+                       WHEN row_id % 1009 = 1 THEN timestamp - INTERVAL 400 DAY ELSE timestamp END AS timestamp,
+                  unnest(CASE WHEN row_id % 50 = 7 THEN [price, price + 1] ELSE [price] END) AS price
+           FROM market"""
     ),
 }

@@ -160,9 +160,14 @@ def counting_encoder():
 
 
 def replayed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The market landed in four files: late rows, replays, and corrected prices."""
+    """The market landed in four files: late rows, replays, corrected prices, rows without a time and some from a year before."""
     landing = shared_folder(spark, "replays")
-    rows = market(spark, sf_dir).withColumn("iso", F.lit("ERCOT"))
+    time = F.when(F.col("row_id") % 97 == 5, None).when(
+        F.col("row_id") % 1009 == 1, F.col("timestamp") - F.make_dt_interval(F.lit(400))
+    )
+    rows = market(spark, sf_dir).withColumns(
+        {"iso": F.lit("ERCOT"), "timestamp": F.when(F.col("row_id") % 97 != 5, F.coalesce(time, "timestamp"))}
+    )
     third = F.col("row_id") % 3
     corrected = rows.where(F.col("row_id") % 50 == 7).withColumn("price", F.col("price") + 1)
     for part in (rows.where(third == 1), rows.where(third != 2), rows.where(third == 2), corrected.unionByName(rows)):

@@ -49,6 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds, nothing if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(s.getPath()) for s in files.listStatus(target)] if files.exists(target) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
