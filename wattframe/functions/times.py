@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wattframe.functions.zones import local_to_utc
+
 # Local zone of each market.
 MARKET_ZONES = {"PJM": "America/New_York", "MISO": "America/Chicago"}
 
@@ -55,20 +57,17 @@ def parse_feed_time(text: Column, layouts: Sequence[str] = FEED_LAYOUTS) -> Colu
     )
 
 
-def local_to_utc(ts: Column, zone: str) -> Column:
-    """Zone-less local time to zone-less UTC, row by row."""
-    return F.to_utc_timestamp(ts, zone)
-
-
-def feed_time_to_utc(text: Column, zone: str | None) -> Column:
+def feed_time_to_utc(text: Column, zone: str | None, second_pass: Column | None = None) -> Column:
     """Feed time text to UTC.
 
     A value that carries its own zone is converted from that zone; a bare value
-    is read as ``zone`` local time, or as UTC when ``zone`` is None.
+    is read as ``zone`` local time, or as UTC when ``zone`` is None. ``second_pass``
+    marks bare values in the second pass of a repeated hour.
     """
     carries_zone = text.cast("string").rlike(_ZONE_SUFFIX)
-    written_in = F.when(carries_zone, F.current_timezone()).otherwise(F.lit(zone or "UTC"))
-    return F.to_utc_timestamp(parse_feed_time(text), written_in)
+    time = parse_feed_time(text)
+    bare = F.to_utc_timestamp(time, "UTC") if zone is None else local_to_utc(time, zone, second_pass)
+    return F.when(carries_zone, F.to_utc_timestamp(time, F.current_timezone())).otherwise(bare)
 
 
 _OFFSET = r"(?:[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:[.]\d+)?)?)?)?"

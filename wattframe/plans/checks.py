@@ -357,24 +357,38 @@ _CTES: dict[str, str] = {
     FROM events GROUP BY 1, 2""",
 }
 
+def _around_clock_changes(time: str) -> str:
+    moved = "TIMESTAMP '{}' + to_seconds(event_id // 40 % 14400)"
+    return f"""CASE WHEN {time} IS NULL THEN NULL WHEN event_id % 40 = 4 THEN {moved.format("2024-11-03")}
+                    WHEN event_id % 40 = 5 THEN {moved.format("2024-03-10")} ELSE {time} END"""
+
+
+def _in_utc(local: str, winter: int, again: str = "event_id % 3 = 0") -> str:
+    """UTC of a local time in a zone that changes its clocks as New York does, by hours behind UTC in winter."""
+    back = f"CASE WHEN {again} THEN TIMESTAMP '2024-11-03 01:00' ELSE TIMESTAMP '2024-11-03 02:00' END"
+    return f"""{local} + to_hours(CASE WHEN {local} >= TIMESTAMP '2024-03-10 03:00' AND {local} < {back}
+                                  THEN {winter - 1} ELSE {winter} END)"""
+
+
 _FEED_PRICE = f"CASE WHEN event_id % 50 = 7 THEN NULL ELSE {_DIRTY_PRICE} END"
 _CTES |= {
     "pjm_rows": f"""
-    SELECT date_trunc('second', {_DIRTY_TIME}) + INTERVAL 5 HOUR AS timestamp,
+    SELECT {_in_utc("local", 5)} AS timestamp, event_id % 3 = 0 AS repeat_hour_flag,
            CASE WHEN event_id % 31 <> 3 THEN event_type ELSE 'PJM_UNKNOWN' END
                AS settlement_point,
            {_FEED_PRICE} AS price, 'PJM' AS iso, 'ZONE' AS location_type
-    FROM events WHERE {_DIRTY_TIME} IS NOT NULL""",
+    FROM (SELECT *, date_trunc('second', {_around_clock_changes(_DIRTY_TIME)}) AS local FROM events)
+    WHERE local IS NOT NULL""",
     "miso_rows": """
     SELECT date_trunc('second', ts)
                + CASE WHEN event_id % 3 = 2 THEN INTERVAL 0 HOUR ELSE INTERVAL 6 HOUR END
-               AS timestamp,
+               AS timestamp, false AS repeat_hour_flag,
            event_type AS settlement_point,
            CASE WHEN event_id % 50 <> 7 THEN value END AS price,
            'MISO' AS iso, 'LMP' AS location_type
     FROM events WHERE event_id % 101 <> 1""",
     "split_rows": """
-    SELECT date_trunc('minute', ts) + INTERVAL 6 HOUR AS timestamp,
+    SELECT date_trunc('minute', ts) + INTERVAL 6 HOUR AS timestamp, false AS repeat_hour_flag,
            event_type AS settlement_point,
            CASE WHEN event_id % 50 <> 7 THEN value END AS price,
            'MISO' AS iso, 'PNODE' AS location_type
@@ -404,10 +418,10 @@ def _with(statement: str, **extra: str) -> str:
 
 def _feed(rows: str, cap: int = 5000) -> str:
     """A feed after cleaning, in the common schema."""
-    columns = "s.timestamp, s.settlement_point, s.iso, s.location_type"
+    columns = "s.timestamp, s.repeat_hour_flag, s.settlement_point, s.iso, s.location_type"
     filled = _filled(rows, "price", columns)
     return f"""
-    SELECT timestamp, false AS repeat_hour_flag, settlement_point,
+    SELECT timestamp, repeat_hour_flag, settlement_point,
            {_bounded(cap).replace("filled_rows", f"({filled})")} AS price, iso, location_type,
            settlement_point AS location_id
     FROM ({filled})"""
@@ -625,8 +639,14 @@ CHECKS: dict[str, str] = {
     "normalize_miso": _with(_feed("miso_rows")),
     "normalize_miso_split": _with(_feed("split_rows")),
     "union_feeds": _with(_feed("pjm_rows") + "\nUNION ALL\n" + _feed("split_rows")),
-    "to_utc": """SELECT event_id AS row_id, ts + INTERVAL 5 HOUR AS from_new_york,
-                        ts + INTERVAL 6 HOUR AS from_chicago FROM events""",
+    "to_utc": f"""
+        SELECT event_id AS row_id, {_in_utc("local", 5)} AS from_new_york, {_in_utc("local", 6)} AS from_chicago,
+               {_in_utc("local", 6, "false")} AS first_pass
+        FROM (SELECT *, {_around_clock_changes("ts")} AS local FROM events)""",
+    "to_utc_by_zone": f"""
+        SELECT event_id AS row_id, ['America/New_York', 'America/Chicago', 'Mars/Base'][event_id % 3 + 1] AS zone,
+               CASE event_id % 3 WHEN 0 THEN {_in_utc("local", 5)} WHEN 1 THEN {_in_utc("local", 6)} END AS utc
+        FROM (SELECT *, {_around_clock_changes("ts")} AS local FROM events)""",
     "coerce_price": """
         SELECT event_type AS Pnode, CASE WHEN event_id % 50 <> 7 THEN value END AS price,
                CASE WHEN event_id % 50 = 7 THEN 'n/a' ELSE value::VARCHAR END AS raw_price

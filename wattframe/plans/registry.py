@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import fixed, round_even
-from wattframe.functions.times import MARKET_ZONES, local_to_utc
+from wattframe.functions.times import MARKET_ZONES
+from wattframe.functions.zones import local_to_utc, with_utc
 from wattframe.operators import (
     baseline,
     cleaning,
@@ -225,14 +226,23 @@ def union_feeds(spark, sf_dir):
 
 @query
 def to_utc(spark, sf_dir):
-    ts = F.col("timestamp")
-    return views.market(spark, sf_dir).select(
+    local, again = F.col("local"), F.col("second_pass")
+    return views.local_times(spark, sf_dir).select(
         "row_id",
-        local_to_utc(ts, MARKET_ZONES["PJM"]).alias("from_new_york"),
-        local_to_utc(ts, MARKET_ZONES["MISO"]).alias("from_chicago"),
+        local_to_utc(local, MARKET_ZONES["PJM"], again).alias("from_new_york"),
+        local_to_utc(local, MARKET_ZONES["MISO"], again).alias("from_chicago"),
+        local_to_utc(local, MARKET_ZONES["MISO"]).alias("first_pass"),
     )
 
 
+@query
+def to_utc_by_zone(spark, sf_dir):
+    """Rows of both markets in one table, by a join with the zones' intervals."""
+    zones = tuple(MARKET_ZONES.values())
+    rows = views.local_times(spark, sf_dir).withColumn("zone", F.get(F.array(*map(F.lit, (*zones, "Mars/Base"))), F.col("row_id") % 3))
+    return with_utc(rows, "local", "zone", zones, "second_pass").select("row_id", "zone", "utc")
+
+
 @query
 def coerce_price(spark, sf_dir):
     raw = views.miso_raw(spark, sf_dir).select("Pnode", F.col("LMP").alias("price"))

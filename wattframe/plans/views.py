@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.operators.features import feature_matrix
@@ -93,10 +93,29 @@ def _price_text() -> F.Column:
     return F.when(F.col("row_id") % 50 == 7, "n/a").otherwise(F.col("price").cast("string"))
 
 
+def _around_clock_changes(ts: Column) -> Column:
+    """Local times; each fortieth and the one after it are moved to the days of 2024 when New York's clocks change."""
+    row = F.col("row_id")
+
+    def on(day: str) -> Column:
+        return F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(day))) + F.floor(row / 40) % 14_400)
+
+    return F.when(ts.isNull(), None).when(row % 40 == 4, on("2024-11-03")).when(row % 40 == 5, on("2024-03-10")).otherwise(ts)
+
+
+def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local times around both changes of the clocks, some flagged as a second pass."""
+    rows = market(spark, sf_dir)
+    return rows.select(
+        "row_id", _around_clock_changes(F.col("timestamp")).alias("local"), (F.col("row_id") % 3 == 0).alias("second_pass")
+    )
+
+
 def pjm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market_dirty(spark, sf_dir)
     return rows.select(
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("datetime_beginning_ept"),
+        F.date_format(_around_clock_changes(F.col("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("datetime_beginning_ept"),
+        F.when(F.col("row_id") % 3 == 0, "true").otherwise("no").alias("repeat_hour_flag"),
         F.when(F.col("row_id") % 31 != 3, F.col("settlement_point")).alias("pnode_id"),
         _price_text().alias("total_lmp"),
         F.lit("ZONE").alias("type"),

@@ -38,6 +38,7 @@ class FeedNames:
     kind: tuple[str, ...]
     date: tuple[str, ...] = ()
     interval: tuple[str, ...] = ()
+    repeat: tuple[str, ...] = ("repeat_hour_flag", "repeathourflag", "repeated_hour", "dst_flag")
     time_parts: tuple[str, ...] = ("time", "date")
     price_parts: tuple[str, ...] = ("lmp",)
     point_parts: tuple[str, ...] = ("location", "node")
@@ -112,9 +113,12 @@ def conform(raw: DataFrame, names: FeedNames) -> DataFrame:
         return F.coalesce(F.col(column).cast("string"), F.lit(default))
 
     zone = None if already_utc else MARKET_ZONES[names.iso]
+    repeat = find_column(columns, names.repeat)
+    # without a flag a time in a repeated hour is taken for its first pass
+    second_pass = None if repeat is None else F.coalesce(F.col(repeat).try_cast("boolean"), F.lit(False))
     return raw.select(
-        feed_time_to_utc(time_text, zone).alias("timestamp"),
-        F.lit(False).alias("repeat_hour_flag"),
+        feed_time_to_utc(time_text, zone, second_pass).alias("timestamp"),
+        (F.lit(False) if second_pass is None else second_pass).alias("repeat_hour_flag"),
         text_or(point, f"{names.iso}_UNKNOWN").alias("settlement_point"),
         coerce_double(F.col(price)).alias("price"),
         F.lit(names.iso).alias("iso"),
