@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe.operators import baseline, comparison, evaluation, forest, modeldata
+from wattframe.operators import baseline, comparison, evaluation, forest, modeldata, trees
+from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.plans import views
 
 
@@ -201,3 +202,35 @@ def test_eval_baselines_by_hand(spark):
     assert row.hour_mae == pytest.approx((10 + 20) / 2)
     assert row.better_than_mean and row.better_than_hour
     assert row.gain_over_hour_pct == pytest.approx((np.sqrt(250) - 1) / np.sqrt(250) * 100)
+
+
+def test_nodes_predict_what_the_forest_does(spark, features, tmp_path):
+    model = forest.train_forest(features, trees=6, depth=6)
+    nodes = forest.export_nodes(model, str(tmp_path / "n"))
+    usable = modeldata.forecast_inputs(features)
+    rows = trees.score(forest.predict(model, usable).withColumnRenamed("prediction", "own"), nodes, FORECAST_INPUTS, 6)
+    differing = rows.where(~(F.abs(F.col("own") - F.col("prediction")) <= 1e-9))
+    assert differing.isEmpty() and rows.agg(F.count_distinct("prediction")).first()[0] > 50
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "Exchange" not in plan.split("Subquery")[0].rpartition("Scan")[2]
+
+
+def test_requests_are_walked_once_for_each_hour_and_weekday(spark, features, tmp_path):
+    model = forest.train_forest(features, trees=4, depth=4)
+    nodes = forest.export_nodes(model, str(tmp_path / "n"))
+    asked = spark.range(500).select((F.lit("2025-07-31").cast("timestamp") + F.make_dt_interval(hours=F.col("id") % 200)).alias("target_time"))
+    one = forest.forecast_model(model, asked).orderBy("target_time").collect()
+    two = forest.forecast_nodes(nodes, asked, depth=4).orderBy("target_time").collect()
+    assert one == two
+    nothing = spark.createDataFrame([(None,)], "target_time timestamp")
+    assert forest.forecast_nodes(nodes, nothing, depth=4).first().predicted_price is None
+
+
+def test_a_walk_by_hand(spark):
+    nodes = spark.createDataFrame(
+        [(0, 0, "x", 1.0, 2.0, 0.5, 1, 2, 9.0), (0, 1, None, None, None, None, -1, -1, 10.0), (0, 2, "y", 0.0, 1.0, 3.0, 3, 4, 9.0),
+         (0, 3, None, None, None, None, -1, -1, 20.0), (0, 4, None, None, None, None, -1, -1, 30.0), (1, 0, None, None, None, None, -1, -1, 2.0)],
+        trees.NODE_SCHEMA,
+    )
+    rows = spark.createDataFrame([(2.0, 0.0), (2.1, 3.0), (2.1, 3.1), (None, 1.0)], "x double, y double")
+    assert [r.prediction for r in trees.score(rows, nodes, ("x", "y"), 5).collect()] == [6.0, 11.0, 16.0, None]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import clamp, round_even
 from wattframe.functions.times import time_features
 from wattframe.operators.modeldata import SEED, forecast_inputs
+from wattframe.operators.trees import NODE_SCHEMA, nodes_of, score
 from wattframe.sources.tables import FORECAST_INPUTS
 
 # Size of the forest and rows it needs.
@@ -40,27 +44,35 @@ class TooFewRows(ValueError):
     """A table holds too few usable rows to fit a forest."""
 
 
-def _scaler(rows: DataFrame) -> SQLTransformer:
+def _scaler(rows: DataFrame, inputs: Sequence[str]) -> SQLTransformer:
     """Standardising step with the fitted numbers written in, so it is saved with the model."""
     stats = rows.agg(
         F.count("*").alias("n"),
-        *(F.avg(c).alias(f"{c}_mean") for c in FORECAST_INPUTS),
-        *(F.stddev_pop(c).alias(f"{c}_std") for c in FORECAST_INPUTS),
+        *(F.avg(c).alias(f"{c}_mean") for c in inputs),
+        *(F.stddev_pop(c).alias(f"{c}_std") for c in inputs),
     ).first()
     if stats["n"] < MIN_ROWS:
         raise TooFewRows(f"{stats['n']} usable rows; at least {MIN_ROWS} are needed")
     scaled = ", ".join(
         f"(cast({c} as double) - {stats[f'{c}_mean']!r}D) / {stats[f'{c}_std'] or 1.0!r}D "
         f"AS {c}_scaled"
-        for c in FORECAST_INPUTS
+        for c in inputs
     )
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
 
 
 def train_forest(
-    features: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED
+    features: DataFrame,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    seed: int = SEED,
+    inputs: Sequence[str] = FORECAST_INPUTS,
+    bootstrap: bool = True,
 ) -> PipelineModel:
-    """Fit scaler, assembler and forest. Runs jobs."""
+    """Fit scaler, assembler and forest. Runs jobs.
+
+    Without ``bootstrap`` every tree sees all rows and all inputs.
+    """
     rows = forecast_inputs(features).select(
         *FORECAST_INPUTS, F.col("target_price").cast("double").alias("label")
     )
@@ -68,9 +80,9 @@ def train_forest(
     rows = rows.repartition(*FORECAST_INPUTS).persist()
     pipeline = Pipeline(
         stages=[
-            _scaler(rows),
+            _scaler(rows, inputs),
             VectorAssembler(
-                inputCols=[f"{c}_scaled" for c in FORECAST_INPUTS], outputCol="features"
+                inputCols=[f"{c}_scaled" for c in inputs], outputCol="features"
             ),
             RandomForestRegressor(
                 featuresCol="features",
@@ -79,6 +91,8 @@ def train_forest(
                 numTrees=trees,
                 maxDepth=depth,
                 seed=seed,
+                bootstrap=bootstrap,
+                featureSubsetStrategy="auto" if bootstrap else "all",
                 cacheNodeIds=False,
             ),
         ]
@@ -91,7 +105,7 @@ def train_forest(
 
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Feature rows with the model's ``prediction``; helper columns dropped."""
-    helpers = [f"{c}_scaled" for c in FORECAST_INPUTS]
+    helpers = model.stages[1].getInputCols()
     return model.transform(features).drop("features", *helpers)
 
 
@@ -101,6 +115,21 @@ def r_squared(model: PipelineModel, features: DataFrame) -> float:
     return RegressionEvaluator(metricName="r2").evaluate(predict(model, rows))
 
 
+_SCALED = re.compile(r"cast\((\w+) as double\) - (\S+)D\) / (\S+)D AS")
+
+
+def export_nodes(model: PipelineModel, path: str) -> DataFrame:
+    """The forest's nodes as a table, written to a path. Runs jobs."""
+    scaler, assembler, forest = model.stages
+    spark = SparkSession.active()
+    scaling = {c: (float(shift), float(scale)) for c, shift, scale in _SCALED.findall(scaler.getStatement())}
+    inputs = [c.removesuffix("_scaled") for c in assembler.getInputCols()]
+    forest.write().overwrite().save(f"{path}/stage")
+    nodes = nodes_of(spark.read.parquet(f"{path}/stage/data"), inputs, scaling)
+    nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    return spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -113,21 +142,43 @@ def bounded_price(price: Column) -> Column:
     return round_even(clamp(price, *PRICE_BOUNDS), 2)
 
 
-def forecast_model(model: PipelineModel, requests: DataFrame, time: str = "target_time") -> DataFrame:
-    """Price forecast for each requested hour, from calendar features and default inputs."""
+def _asked_inputs(requests: DataFrame, time: str) -> DataFrame:
     calendar = time_features(F.col(time))
-    inputs = requests.withColumns({**calendar, **{k: F.lit(v) for k, v in DEFAULT_INPUTS.items()}})
-    scored = predict(model, inputs)
+    return requests.withColumns({**calendar, **{k: F.lit(v) for k, v in DEFAULT_INPUTS.items()}})
+
+
+def _forecasts(scored: DataFrame, columns: Sequence[str], time: str) -> DataFrame:
     factor = (
         F.when(F.col("is_peak_hour") == 1, MODEL_PEAK_FACTOR)
         .when(F.col("hour_of_day") <= NIGHT_LAST_HOUR, MODEL_NIGHT_FACTOR)
         .otherwise(1.0)
     )
     return scored.select(
-        *requests.columns,
+        *columns,
         bounded_price(F.col("prediction") * factor).alias("predicted_price"),
         F.lit(CURRENCY).alias("currency"),
         F.lit(MODEL_CONFIDENCE).alias("confidence"),
         F.lit("RandomForest").alias("model_type"),
-        F.struct(*calendar).alias("time_features"),
+        F.struct(*time_features(F.col(time))).alias("time_features"),
     )
+
+
+def forecast_model(model: PipelineModel, requests: DataFrame, time: str = "target_time") -> DataFrame:
+    """Price forecast for each requested hour, from calendar features and default inputs."""
+    return _forecasts(predict(model, _asked_inputs(requests, time)), requests.columns, time)
+
+
+def forecast_nodes(
+    nodes: DataFrame,
+    requests: DataFrame,
+    time: str = "target_time",
+    inputs: Sequence[str] = FORECAST_INPUTS,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """The same from a table of nodes.
+
+    All inputs follow from the hour and the weekday, so the forest is walked for 168
+    combinations at most, however many requests there are.
+    """
+    asked = _asked_inputs(requests, time)
+    return _forecasts(score(asked, nodes, inputs, depth, by=("hour_of_day", "day_of_week")), requests.columns, time)

@@ -565,6 +565,38 @@ _BY_RULE = f"""SELECT row_id, requested, target_time,
            CASE WHEN target_time IS NULL THEN 'Invalid timestamp format' END AS error
     FROM asked"""
 
+def _given_forest() -> str:
+    """A walk from the root to a leaf of each tree made by rule, for every window."""
+    inputs = (
+        "price_mean", "price_std", "trend_slope", "price_volatility", "hour_of_day", "day_of_week", "is_weekend",
+        "is_peak_hour", "momentum_1h",
+    )
+    given = ", ".join(f"CAST({c} AS DOUBLE)" for c in inputs)
+    source = f"(SELECT *, 0 AS n0 FROM (SELECT settlement_point, window_id, [{given}] AS given FROM features), range(7) t(tree))"
+    for step in range(4):
+        node = f"n{step}"
+        test = f"(given[(tree * 5 + {node} * 7) % 9 + 1] - 10.0) / 4.0 <= (tree * 11 + {node} * 3) % 17 / 2.0 - 4.0"
+        source = f"(SELECT *, 2 * {node} + CASE WHEN {test} THEN 1 ELSE 2 END AS n{step + 1} FROM {source})"
+    price = _r("least(greatest(sum((tree * 17 + n4 * 29) % 90 + 10.0)::DOUBLE / 7, 15), 100)", 2)
+    return f"SELECT settlement_point, window_id, {price} AS predicted_price FROM {source} GROUP BY ALL"
+
+
+# The split of least squared error among those by the hour, the weekday and their flags.
+_BEST_SPLIT = {
+    "calendar": """
+    SELECT target_price, unnest([1, 2, 3, 4]) AS input, unnest([hour_of_day, day_of_week, is_weekend, is_peak_hour]) AS value
+    FROM features""",
+    "cuts": """
+    SELECT input, value AS cut, lead(value) OVER (PARTITION BY input ORDER BY value) AS following
+    FROM (SELECT DISTINCT input, value FROM calendar)""",
+    "best_split": """
+    SELECT input, cut, avg(target_price) FILTER (value <= cut) AS low, avg(target_price) FILTER (value > cut) AS high
+    FROM calendar JOIN cuts USING (input) WHERE following IS NOT NULL GROUP BY ALL
+    ORDER BY count(*) FILTER (value <= cut) * var_pop(target_price) FILTER (value <= cut)
+             + count(*) FILTER (value > cut) * var_pop(target_price) FILTER (value > cut), input, cut
+    LIMIT 1""",
+}
+
 CHECKS: dict[str, str] = {
     # Sources and sinks
     "ingest_positional": _with(
@@ -830,12 +862,23 @@ CHECKS: dict[str, str] = {
            FROM asked"""
     ),
     "rf_forecast": _with(
-        """SELECT count(*) AS scored_rows, true AS above_least_target,
-                  true AS below_greatest_target, true AS same_when_reloaded, true AS fits
+        """SELECT count(*) AS scored_rows, count(*) AS same_when_reloaded, count(*) AS same_by_nodes,
+                  true AS predictions_differ, true AS fits
            FROM features"""
     ),
+    "forecast_given_forest": _with(_given_forest()),
+    "forecast_one_split": _with(
+        f"""SELECT row_id, timestamp AS target_time,
+                   {_r("least(greatest(mean * factor, 15), 100)", 2)} AS predicted_price
+            FROM (SELECT *, CASE WHEN [hour(timestamp), isodow(timestamp) - 1, (isodow(timestamp) >= 6)::INTEGER,
+                                       (hour(timestamp) BETWEEN 14 AND 18)::INTEGER][input] <= cut THEN low ELSE high END AS mean,
+                         CASE WHEN hour(timestamp) BETWEEN 14 AND 18 THEN 1.3 WHEN hour(timestamp) <= 6 THEN 0.8 ELSE 1.0 END::DOUBLE
+                             AS factor
+                  FROM market, best_split)""",
+        **_BEST_SPLIT,
+    ),
     "forecast_model": _with(
-        """SELECT row_id, timestamp AS target_time, true AS within_bounds,
+        """SELECT row_id, timestamp AS target_time, true AS same_price,
                   'USD/MWh' AS currency, 0.85::DOUBLE AS confidence,
                   'RandomForest' AS model_type,
                   hour(timestamp)::INTEGER AS hour_of_day,

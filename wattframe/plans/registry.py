@@ -25,11 +25,13 @@ from wattframe.operators import (
     reports,
     retrieval,
     timeseries,
+    trees,
 )
 from wattframe.operators import features as feature_ops
 from wattframe.plans import flows, views
 from wattframe.sources import evaluation as evaluation_source
 from wattframe.sources import feeds, normalize, tables, vectors
+from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.streaming import market as market_stream
 from wattframe.workspace import cut_lineage, shared_folder
 
@@ -479,32 +481,59 @@ _LEAST_R2 = 0.2
 
 @query
 def rf_forecast(spark, sf_dir):
+    """Predictions of the forest, of the forest reloaded, and of its table of nodes, row by row."""
     rows, model = _trained(spark, sf_dir)
     usable = modeldata.forecast_inputs(rows)
     path = shared_folder(spark, "forest")
     forest.save_model(model, path)
-    same = ("settlement_point", "window_id")
-    again = forest.predict(forest.load_model(path), usable).select(*same, F.col("prediction").alias("reloaded"))
-    target = F.col("target_price")
-    return forest.predict(model, usable).join(again, list(same)).agg(
+    nodes = forest.export_nodes(model, shared_folder(spark, "nodes"))
+    own = forest.predict(model, usable)
+    again = forest.predict(forest.load_model(path), own.withColumnRenamed("prediction", "own")).withColumnRenamed(
+        "prediction", "reloaded"
+    )
+    target, error = F.col("target_price"), F.col("target_price") - F.col("own")
+    return trees.score(again, nodes, FORECAST_INPUTS, forest.DEPTH).agg(
         F.count("*").alias("scored_rows"),
-        (F.min("prediction") >= F.min(target)).alias("above_least_target"),
-        (F.max("prediction") <= F.max(target)).alias("below_greatest_target"),
-        F.bool_and(F.col("prediction") == F.col("reloaded")).alias("same_when_reloaded"),
-    ).withColumn("fits", F.lit(forest.r_squared(model, rows) >= _LEAST_R2))
+        F.count_if(F.col("own") == F.col("reloaded")).alias("same_when_reloaded"),
+        F.count_if(F.abs(F.col("own") - F.col("prediction")) <= 1e-9).alias("same_by_nodes"),
+        (F.count_distinct("own") > 100).alias("predictions_differ"),
+        (1 - F.sum(error * error) / (F.var_pop(target) * F.count("*")) >= _LEAST_R2).alias("fits"),
+    )
 
 
 @query
 def forecast_model(spark, sf_dir):
+    """Prices by the trained forest, through MLlib and through its nodes."""
     _, model = _trained(spark, sf_dir)
     asked = views.market(spark, sf_dir).select("row_id", F.col("timestamp").alias("target_time"))
-    low, high = forest.PRICE_BOUNDS
-    return forest.forecast_model(model, asked).select(
-        "row_id", "target_time", F.col("predicted_price").between(low, high).alias("within_bounds"),
+    nodes = forest.export_nodes(model, shared_folder(spark, "nodes"))
+    by_nodes = forest.forecast_nodes(nodes, asked).select("row_id", F.col("predicted_price").alias("by_nodes"))
+    priced = forest.forecast_model(model, asked).join(by_nodes, "row_id")
+    return priced.select(
+        "row_id", "target_time", (F.abs(F.col("predicted_price") - F.col("by_nodes")) < 0.011).alias("same_price"),
         "currency", "confidence", "model_type", "time_features.*",
     )
 
 
+@query
+def forecast_given_forest(spark, sf_dir):
+    """Prices of a forest whose nodes follow a rule, over all windows and all requests."""
+    nodes = views.given_forest(spark)
+    windows = trees.score(modeldata.forecast_inputs(views.features(spark, sf_dir)), nodes, FORECAST_INPUTS, views.GIVEN_DEPTH)
+    return windows.select("settlement_point", "window_id", forest.bounded_price(F.col("prediction")).alias("predicted_price"))
+
+
+@query
+def forecast_one_split(spark, sf_dir):
+    """A tree of one split by the calendar, trained on all windows, and its price for each request."""
+    calendar = ("hour_of_day", "day_of_week", "is_weekend", "is_peak_hour")
+    rows = views.features(spark, sf_dir).drop("price_sequence")
+    model = forest.train_forest(rows, trees=1, depth=1, inputs=calendar, bootstrap=False)
+    nodes = forest.export_nodes(model, shared_folder(spark, "nodes"))
+    asked = views.market(spark, sf_dir).select("row_id", F.col("timestamp").alias("target_time"))
+    return forest.forecast_nodes(nodes, asked, inputs=calendar, depth=1).select("row_id", "target_time", "predicted_price")
+
+
 @query
 def forecast_few_rows(spark, sf_dir):
     """Too few windows for a forest, so the rule answers."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators.features import feature_matrix
 from wattframe.operators.timeseries import prepare_hourly
+from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.workspace import shared_folder
 
 # Digits at which sums taken in different order agree.
@@ -233,6 +234,31 @@ def _envelope_payloads(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame
     return blocks.select("block", F.replace(shape, F.lit("%s"), F.col("records")).alias("value"))
 
 
+# Trees and depth of a forest made by rule.
+GIVEN_TREES, GIVEN_DEPTH = 7, 4
+
+
+def given_forest(spark: SparkSession) -> DataFrame:
+    """Nodes of a forest that nothing is trained for: complete trees with inputs, thresholds and values by rule."""
+    inner, every = 2**GIVEN_DEPTH - 1, 2 ** (GIVEN_DEPTH + 1) - 1
+    numbers = spark.range(GIVEN_TREES * every).select(
+        F.floor(F.col("id") / every).cast("int").alias("tree"), (F.col("id") % every).cast("int").alias("node")
+    )
+    split = F.col("node") < inner
+    place = (F.col("tree") * 5 + F.col("node") * 7) % len(FORECAST_INPUTS)
+    return numbers.select(
+        "tree",
+        "node",
+        F.when(split, F.get(F.array(*map(F.lit, FORECAST_INPUTS)), place)).alias("input"),
+        F.when(split, F.lit(10.0)).alias("shift"),
+        F.when(split, F.lit(4.0)).alias("scale"),
+        F.when(split, (F.col("tree") * 11 + F.col("node") * 3) % 17 / 2.0 - 4.0).alias("threshold"),
+        F.when(split, 2 * F.col("node") + 1).otherwise(-1).alias("left"),
+        F.when(split, 2 * F.col("node") + 2).otherwise(-1).alias("right"),
+        ((F.col("tree") * 17 + F.col("node") * 29) % 90 + 10.0).alias("value"),
+    )
+
+
 _kept: dict[tuple, DataFrame] = {}
 
 
