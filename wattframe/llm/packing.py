@@ -48,13 +48,15 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int):
                 part = some.column("source")[0].as_py()
                 ids, counts = ids_of.texts(some.column("text"))
                 ends = np.cumsum(counts)
+                closed = np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False)
+                begins = (ends - counts + np.arange(len(counts))).tolist()
                 rows = []
-                for doc, end, n in zip(some.column("id").to_pylist(), ends.tolist(), counts.tolist()):
-                    own = np.append(ids[end - n : end], np.uint32(end_id)).astype("<u4")
+                for doc, begin, n in zip(some.column("id").to_pylist(), begins, counts.tolist()):
                     for piece, start in enumerate(range(0, n + 1, capacity)):
-                        cut = own[start : start + capacity]
-                        rows.append((doc, piece, start, len(cut), zlib.crc32(cut), part, int(seen[len(cut)])))
-                        seen[len(cut)] += 1
+                        length = min(capacity, n + 1 - start)
+                        crc = zlib.crc32(closed[begin + start : begin + start + length])
+                        rows.append((doc, piece, start, length, crc, part, int(seen[length])))
+                        seen[length] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [

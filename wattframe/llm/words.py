@@ -25,32 +25,60 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def encode_words(tokenizer, words: list[str], together: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def token_bytes(tokenizer) -> np.ndarray:
+    """Bytes each token stands for, in a vocabulary that writes a byte as a character."""
+    vocab = tokenizer.get_vocab()
+    end = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+    sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+    for token, i in vocab.items():
+        sizes[i] = len(token.removesuffix(end))
+    return sizes
+
+
+def encode_words(tokenizer, words: list[str], sizes: np.ndarray, together: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after another, and how many each word has.
 
-    Words go to the tokenizer in joined texts. A special token stands after each
-    word, so that the ids can be told apart; words that might hold one themselves go
-    alone.
+    Words go to the tokenizer in joined texts. Words in ASCII are parted by blanks, and
+    their ids are told apart by the bytes that ``sizes`` gives the tokens; that has to
+    come out even at every word, or they go with the others. These have a special
+    token after each word, and words that might hold one themselves go alone.
     """
     mark, mark_id = next(
         (t.content, i) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special
     )
-    plain = [i for i, w in enumerate(words) if "<|" not in w]
-    found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
-    for at in range(0, len(plain), together):
-        some = plain[at : at + together]
-        text = mark.join([words[i] for i in some]) + mark
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        for i, part in zip(some, np.split(ids, np.flatnonzero(ids == mark_id))):
-            found[i] = part
-        for i in some[1:]:
-            found[i] = found[i][1:]
-    plain_set = set(plain)
+    ascii_, marked, special = [], [], []
     for i, w in enumerate(words):
-        if i not in plain_set:
-            found[i] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    return (np.concatenate(found) if found else np.empty(0, np.uint32)), lengths
+        (special if "<|" in w else ascii_ if w.isascii() else marked).append(i)
+    flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+
+    def encoded(some: list[int], after: str) -> np.ndarray:
+        text = after.join([words[i] for i in some]) + after
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    even: list[int] = []
+    for at in range(0, len(ascii_), together):
+        some = ascii_[at : at + together]
+        ids = encoded(some, " ")
+        word_ends = np.cumsum(np.fromiter((len(words[i]) for i in some), np.int64, len(some)))
+        token_ends = np.cumsum(sizes[ids])
+        ends = np.searchsorted(token_ends, word_ends, side="right")
+        if len(ids) and ends.all() and (token_ends[ends - 1] == word_ends).all() and ends[-1] == len(ids):
+            even += some
+            flat.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        else:
+            marked += some
+    for at in range(0, len(marked), together):
+        ids = encoded(marked[at : at + together], mark)
+        marks = ids == mark_id
+        flat.append(ids[~marks])
+        lengths.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+    for i in special:
+        flat.append(np.array(tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32))
+        lengths.append(np.array([len(flat[-1])]))
+    ids, counts = np.concatenate(flat), np.concatenate(lengths)
+    place = np.argsort(np.array(even + marked + special, np.int64))
+    return gather((np.cumsum(counts) - counts)[place], counts[place], ids), counts[place]
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -83,6 +111,7 @@ class WordIds:
 
     def __init__(self, tokenizer, most: int | None = 600_000):
         self._tokenizer, self._most = tokenizer, most
+        self._sizes = token_bytes(tokenizer)
         self._clear()
 
     def _clear(self) -> None:
@@ -96,7 +125,7 @@ class WordIds:
             self._clear()
         new = [w for w in words if w not in self._slot]
         if new:
-            flat, lengths = encode_words(self._tokenizer, new)
+            flat, lengths = encode_words(self._tokenizer, new, self._sizes)
             self._slot.update(zip(new, range(len(self._slot), len(self._slot) + len(new))))
             self._starts = np.concatenate((self._starts, len(self._flat) + np.cumsum(lengths) - lengths))
             self._lengths = np.concatenate((self._lengths, lengths))
