@@ -100,7 +100,7 @@ def test_exact_quantile_against_numpy(spark, kind, q):
 
 def test_exact_quantile_narrows_many_values(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "_FEW", 10)
-    monkeypatch.setattr(quantiles, "_RANGES", 8)
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 16)
     rng = np.random.default_rng(8)
     data = np.concatenate([rng.normal(0, 1, 400), 10.0 ** rng.integers(-200, 200, 100), np.full(300, 0.25)])
     df = spark.createDataFrame([(float(x),) for x in data], "v double")
@@ -108,6 +108,52 @@ def test_exact_quantile_narrows_many_values(spark, monkeypatch):
         assert quantiles.exact_quantile(df, "v", q).first()[0] == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["halves", "hot", "skew"])
+def test_exact_quantile_where_values_are_shared(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantiles, "_FEW", 5)
+    rng = np.random.default_rng(5)
+    data = {
+        "halves": np.concatenate([np.full(500, 1.0), 1 + rng.random(11), np.full(500, 3.0)]),
+        "hot": np.concatenate([np.full(700, 7.0), rng.normal(7, 1, 300)]),
+        "skew": np.round(rng.pareto(1.0, 3000), 1),
+    }[kind]
+    df = spark.createDataFrame([(float(x),) for x in data], "v double").repartition(5)
+    for q in (0.0, 0.3, 0.4995, 0.5, 0.501, 1.0):
+        assert quantiles.exact_quantile(df, "v", q).first()[0] == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
+
+
+def test_a_sketch_that_misses_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_FEW", 50)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    elsewhere = spark.range(500, 600).agg(quantiles.sketch(F.col("id"))).first()[0]
+    assert quantiles.exact_quantile(df, "v", 0.1, sketched=(1000, elsewhere)).first()[0] == pytest.approx(99.9)
+
+
+def test_ranks_of_sketches_are_within_the_error(spark):
+    df = spark.range(0, 300_000, 1, 12).select((F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
+    held = df.groupBy(F.spark_partition_id()).agg(quantiles.sketch(F.col("v")).alias("s"))
+    shares = [i / 20 for i in range(1, 20)]
+    at = held.agg(F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("s"), F.array(*map(F.lit, shares)))).first()[0]
+    below = df.agg(*(F.avg((F.col("v") <= x).cast("int")) for x in at)).first()
+    assert max(abs(b - s) for b, s in zip(below, shares)) < quantiles.RANK_ERROR
+
+
+def test_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_FEW", 2_000)
+    df = spark.range(200_000).select(F.col("id").cast("double").alias("v"))
+    # without adaptive execution an action is one job
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("quantile", "counted")
+    try:
+        assert quantiles.exact_quantile(df, "v").first()[0] == 99_999.5
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("quantile")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the sketch, the counts, the order, and reading the row that holds the result
+    assert len(jobs) <= 5
+
+
 def test_median_is_left_out_where_nothing_is_empty(spark, prices, monkeypatch):
     monkeypatch.setattr(cleaning, "exact_quantile", None)
     assert values(cleaning.impute_median(prices([(at(0), 1.0)]))) == [1.0]
