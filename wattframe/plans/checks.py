@@ -994,6 +994,11 @@ CHECKS: dict[str, str] = {
     "cosine_topk": _with(
         f"SELECT query_id, doc_id, {_r('similarity')} AS similarity, rank FROM hits"
     ),
+    "cosine_topk_ivf": """SELECT count(DISTINCT label) AS queries, true AS recall_reached,
+                                 true AS similarities_agree FROM embeddings""",
+    "cosine_topk_ivf_exact": _with(
+        f"SELECT query_id, doc_id, {_r('similarity')} AS similarity, rank FROM hits"
+    ),
     "cosine_topk_lsh": """SELECT count(DISTINCT label) AS queries, true AS recall_reached,
                                  true AS similarities_agree FROM embeddings""",
     "render_hits": _with("SELECT query_id, rank, doc_id, type, doc_text FROM rendered"),
@@ -1058,6 +1063,20 @@ CHECKS: dict[str, str] = {
             FROM scored"""
     ),
     # Streaming
+    "ingest_stats_incremental": """
+        SELECT count(*) AS n_rows, min(ts) AS min_timestamp, max(ts) AS max_timestamp,
+               min(value) FILTER (event_id % 50 <> 7) AS min_price, max(value) FILTER (event_id % 50 <> 7) AS max_price,
+               count(DISTINCT event_type) AS unique_points, true AS times_within_error
+        FROM events""",
+    "type_counts_incremental": "SELECT event_type AS settlement_point, count(*) AS n_rows FROM events GROUP BY 1",
+    "top_hub_incremental": """
+        SELECT event_type AS settlement_point, count(*) AS n_rows FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""",
+    "points_in_both_spans": """
+        SELECT count(*) AS points_in_both
+        FROM (SELECT event_type FROM events WHERE ts < '2024-01-11'
+              INTERSECT SELECT event_type FROM events WHERE ts >= '2024-01-20')""",
+    "median_incremental": f"""
+        SELECT {_r("median(value)")} AS median_price, true AS sketch_within_error FROM events WHERE event_id % 50 <> 7""",
     "stream_ingest": _with(_feed("pjm_rows")),
     "stream_hourly": _with(
         f"SELECT settlement_point, timestamp, {_r('price')} AS price FROM hourly"

@@ -20,8 +20,10 @@ from wattframe.operators import (
     evaluation,
     forest,
     intervals,
+    ivf,
     modeldata,
     qa,
+    quantiles,
     reports,
     retrieval,
     timeseries,
@@ -30,7 +32,7 @@ from wattframe.operators import (
 from wattframe.operators import features as feature_ops
 from wattframe.plans import flows, views
 from wattframe.sources import evaluation as evaluation_source
-from wattframe.sources import feeds, normalize, tables, vectors
+from wattframe.sources import daily, feeds, normalize, tables, vectors
 from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.streaming import market as market_stream
 from wattframe.workspace import cut_lineage, shared_folder
@@ -676,11 +678,9 @@ def cosine_topk(spark, sf_dir):
 _LEAST_RECALL = 0.9
 
 
-@query
-def cosine_topk_lsh(spark, sf_dir):
-    near = retrieval.cosine_topk_lsh(
-        views.vectors(spark, sf_dir), views.query_vectors(spark, sf_dir)
-    ).select("query_id", "doc_id", F.col("similarity").alias("near"))
+def _compared(spark, sf_dir, near):
+    """Whether hits of an approximate search are enough of the exact ones, and scored alike."""
+    near = near.select("query_id", "doc_id", F.col("similarity").alias("near"))
     both = _hits(spark, sf_dir).join(near, ["query_id", "doc_id"], "left")
     return both.agg(
         F.countDistinct("query_id").alias("queries"),
@@ -689,6 +689,27 @@ def cosine_topk_lsh(spark, sf_dir):
     )
 
 
+@query
+def cosine_topk_lsh(spark, sf_dir):
+    return _compared(
+        spark, sf_dir, retrieval.cosine_topk_lsh(views.vectors(spark, sf_dir), views.query_vectors(spark, sf_dir))
+    )
+
+
+@query
+def cosine_topk_ivf(spark, sf_dir):
+    index = views.vector_index(spark, sf_dir)
+    # the given vectors gather nowhere, so most cells have to be looked into
+    near = ivf.cosine_topk_ivf(spark, index, views.query_vectors(spark, sf_dir), probe_share=0.7)
+    return _compared(spark, sf_dir, near)
+
+
+@query
+def cosine_topk_ivf_exact(spark, sf_dir):
+    index = views.vector_index(spark, sf_dir)
+    return _rounded(ivf.cosine_topk_ivf(spark, index, views.query_vectors(spark, sf_dir), exact=True))
+
+
 @query
 def render_hits(spark, sf_dir):
     return _rendered(spark, sf_dir).select("query_id", "rank", "doc_id", "type", "doc_text")
@@ -807,6 +828,45 @@ def model_comparison(spark, sf_dir):
     return _rounded(comparison.model_comparison(views.scored_questions(spark, sf_dir)))
 
 
+# Reports from daily summaries
+
+
+@query
+def ingest_stats_incremental(spark, sf_dir):
+    _, store = views.summed_table(spark, sf_dir)
+    times = views.market(spark, sf_dir).agg(F.count_distinct("timestamp")).scalar()
+    off = F.abs(F.col("unique_timestamps") / times - 1)
+    return daily.ingest_stats(spark, store).withColumn("times_within_error", off <= daily.ESTIMATE_ERROR).drop("unique_timestamps")
+
+
+@query
+def type_counts_incremental(spark, sf_dir):
+    return daily.point_counts(spark, views.summed_table(spark, sf_dir)[1])
+
+
+@query
+def top_hub_incremental(spark, sf_dir):
+    return daily.top_point(spark, views.summed_table(spark, sf_dir)[1])
+
+
+@query
+def points_in_both_spans(spark, sf_dir):
+    store = views.summed_table(spark, sf_dir)[1]
+    found = daily.points_in_both(spark, store, ("2024-01-01", "2024-01-10"), ("2024-01-20", "2024-01-31"))
+    return found.select(F.col("points_in_both").cast("long").alias("points_in_both"))
+
+
+@query
+def median_incremental(spark, sf_dir):
+    """The exact median, and whether that of the sketches is within their error."""
+    table, store = views.summed_table(spark, sf_dir)
+    near = daily.price_quantile(spark, table, store, exact=False).scalar()
+    prices = spark.read.parquet(table)
+    share = prices.agg(F.avg((F.col("price") <= near).cast("int"))).scalar()
+    exact = daily.price_quantile(spark, table, store)
+    return _rounded(exact.select(F.col("quantile").alias("median_price"), (F.abs(share - 0.5) <= quantiles.RANK_ERROR).alias("sketch_within_error")))
+
+
 # Streaming
 
 

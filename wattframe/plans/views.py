@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wattframe.operators.features import feature_matrix
 from wattframe.operators.timeseries import prepare_hourly
-from wattframe.sources.tables import FORECAST_INPUTS
+from wattframe.operators.ivf import build_index
+from wattframe.sources import daily
+from wattframe.sources.tables import FORECAST_INPUTS, store_market
 from wattframe.workspace import shared_folder
 
 # Digits at which sums taken in different order agree.
@@ -234,6 +236,18 @@ def _envelope_payloads(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame
     return blocks.select("block", F.replace(shape, F.lit("%s"), F.col("records")).alias("value"))
 
 
+def summed_table(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A table stored in three steps with its summaries, refreshed after each; the last step adds rows to old days."""
+    table, store = shared_folder(spark, "market"), shared_folder(spark, "summaries")
+    rows = market(spark, sf_dir).withColumn("price", F.when(F.col("row_id") % 50 != 7, F.col("price")))
+    held_back = F.col("row_id") % 1000 == 17
+    half = F.to_timestamp(F.lit("2024-01-16"))
+    for step in (~held_back & (F.col("timestamp") < half), ~held_back & (F.col("timestamp") >= half), held_back):
+        store_market(rows.where(step), table)
+        daily.refresh(spark, table, store)
+    return table, store
+
+
 # Trees and depth of a forest made by rule.
 GIVEN_TREES, GIVEN_DEPTH = 7, 4
 
@@ -342,6 +356,19 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    """The inverted-file index of the vectors, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = shared_folder(spark, "ivf")
+        build_index(vectors(spark, sf_dir), path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def vector_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata for vectors, from the market row of the same number; some of it missing."""
     rows = market(spark, sf_dir)

@@ -56,6 +56,19 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath()) for s in files.listStatus(target)] if files.exists(target) else []
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, bytes and time of change of all files below a folder, nothing if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    below, found = files.listFiles(target, True), []
+    while below.hasNext():
+        status = below.next()
+        found.append((str(status.getPath()), status.getLen(), status.getModificationTime()))
+    return found
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
