@@ -32,7 +32,7 @@ from wattframe.operators import (
 from wattframe.operators import features as feature_ops
 from wattframe.plans import flows, views
 from wattframe.sources import evaluation as evaluation_source
-from wattframe.sources import daily, feeds, normalize, tables, vectors
+from wattframe.sources import daily, feeds, normalize, tables, vectors, versions
 from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.streaming import market as market_stream
 from wattframe.workspace import cut_lineage, shared_folder
@@ -173,25 +173,28 @@ def read_eval_report(spark, sf_dir):
 
 @query
 def sink_replace(spark, sf_dir):
+    """A table replaced by nothing, by half of the market, and by that half with the rest added."""
     path = shared_folder(spark, "replace")
     market = views.market(spark, sf_dir)
-    tables.sink_replace(market.where(F.lit(False)), path)
-    return tables.sink_replace(market, path)
+    half = F.col("row_id") % 2 == 0
+    versions.replace(market.where(F.col("row_id") < 0), path)
+    versions.replace(market.where(half), path)
+    versions.replace(versions.read_version(spark, path).unionByName(market.where(~half)), path)
+    return versions.read_version(spark, path)
 
 
 @query
 def sink_append(spark, sf_dir):
     path = shared_folder(spark, "append")
-    market = views.market(spark, sf_dir)
-    tables.sink_append(market, path)
-    return tables.sink_append(views.market_dirty(spark, sf_dir), path)
+    versions.append(views.market(spark, sf_dir), path)
+    return versions.append(views.market_dirty(spark, sf_dir), path).select("rows_before", "total_rows", "rows_added")
 
 
 @query
 def sink_audit(spark, sf_dir):
-    market = views.market(spark, sf_dir)
-    stored = tables.sink_replace(market, shared_folder(spark, "audit"))
-    return tables.sink_audit(market, stored)
+    path = shared_folder(spark, "audit")
+    versions.replace(views.market(spark, sf_dir), path)
+    return versions.audit(spark, path)
 
 
 @query
