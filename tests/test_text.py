@@ -228,6 +228,33 @@ def test_embedding_skips_a_failing_batch(spark):
     assert embedded.where("not failed").first().embedding == [6.0, 1.0]
 
 
+def test_a_failing_text_takes_its_neighbours_along(spark):
+    docs = spark.createDataFrame(
+        [(i, "bad" if i in (40, 75) else f"text {i}") for i in range(100)] + [(None, "lost")], "doc_id bigint, text string"
+    )
+
+    def make_encoder():
+        def encode(batch):
+            assert len(batch) <= 10
+            if "bad" in batch:
+                raise RuntimeError("no")
+            return [[float(len(t))] for t in batch]
+
+        return encode
+
+    for parts in (1, 7):
+        embedded = embedding.embed_documents(
+            docs.repartition(parts), make_encoder, batch_size=10, batch_by=F.floor(F.col("doc_id") / 25)
+        )
+        rows = embedded.collect()
+        # batches of ten and five of each twenty-five
+        assert {r.doc_id for r in rows if r.failed} == {*range(35, 45), *range(75, 85)}
+        assert all((r.embedding is None) == r.failed for r in rows) and len(rows) == 101
+    assert embedding.embed_documents(docs.limit(0), make_encoder).count() == 0
+    short = embedding.embed_documents(docs.limit(2), lambda: lambda batch: [[1.0]]).collect()
+    assert [r.failed for r in short] == [True, True]
+
+
 def test_vector_audit(spark):
     vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "doc_id string, embedding array<double>")
     docs = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.workspace import cut_lineage
@@ -17,37 +18,74 @@ DIMENSION = 384
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
+def _vectors(encoder: Encoder, texts: list[str]) -> pa.Array | None:
+    """Vectors of one batch of texts, None if it fails."""
+    try:
+        vectors = encoder(texts)
+        if len(vectors) != len(texts):
+            raise ValueError("encoder returned another number of vectors")
+        return pa.array([np.asarray(v, np.float64) for v in vectors], pa.list_(pa.float64()))
+    except Exception:
+        return None
+
+
+def _encoded(make_encoder: Callable[[], Encoder], batch_size: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make_encoder()
+
+        def encode(rows: pa.RecordBatch) -> pa.RecordBatch:
+            found = _vectors(encoder, rows.column("_text").to_pylist())
+            failed = pa.array([found is None] * len(rows))
+            vectors = pa.nulls(len(rows), pa.list_(pa.float64())) if found is None else found
+            return pa.RecordBatch.from_arrays([rows.column("_id"), vectors, failed], names)
+
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not len(rows):
+                continue
+            keys = rows.column("_key").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            # the last key may go on in the next batch
+            for start, end in zip(starts, starts[1:]):
+                for at in range(start, end, batch_size):
+                    yield encode(rows.slice(at, min(batch_size, end - at)))
+            last = starts[-1]
+            while len(rows) - last > batch_size:
+                yield encode(rows.slice(last, batch_size))
+                last += batch_size
+            held = rows.slice(last)
+        if held is not None:
+            yield encode(held)
+
+    return run
+
+
 def embed_documents(
     documents: DataFrame,
     make_encoder: Callable[[], Encoder],
     batch_size: int = BATCH,
     doc_id: str = "doc_id",
     text: str = "text",
+    batch_by: Column | None = None,
 ) -> DataFrame:
     """Encode texts with a given model, in batches; a failing batch is marked, not fatal.
 
     ``make_encoder`` is called once per task, so a model is loaded where it runs.
+    Texts go to it ``batch_size`` at a time. With ``batch_by``, a number, only texts of
+    the same number go together, in the order of their ids: which texts a failing one
+    takes along is then the same in every run. Without it batches follow the reading.
     """
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make_encoder()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                try:
-                    vectors = [[float(x) for x in v] for v in encoder(part[text].tolist())]
-                    if len(vectors) != len(part):
-                        raise ValueError("encoder returned another number of vectors")
-                    failed = False
-                except Exception:
-                    vectors, failed = [None] * len(part), True
-                yield pd.DataFrame(
-                    {doc_id: part[doc_id].to_numpy(), "embedding": vectors, "failed": failed}
-                )
-
+    key = F.lit(0) if batch_by is None else batch_by
+    rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.coalesce(key.cast("long"), F.lit(-1)).alias("_key"))
+    if batch_by is not None:
+        # a number of partitions that is not joined up again: encoding is work, however short the texts
+        n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "_key").sortWithinPartitions("_key", "_id", "_text")
     id_type = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(doc_id, text).mapInPandas(
-        encode, f"{doc_id} {id_type}, embedding array<double>, failed boolean"
+    return rows.mapInArrow(
+        _encoded(make_encoder, batch_size, [doc_id, "embedding", "failed"]),
+        f"`{doc_id}` {id_type}, embedding array<double>, failed boolean",
     )
 
 

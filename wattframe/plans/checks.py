@@ -346,7 +346,7 @@ _CTES: dict[str, str] = {
                AS x
     FROM term_slots JOIN slot_weights USING (slot)""",
     "encoded": """
-    SELECT doc_id, length(text) > 3000 AS failed,
+    SELECT doc_id, max(length(text)) OVER (PARTITION BY doc_id // 32) > 15000 AS failed,
            printf('%d.0,%d.0,%d.0', length(text), len(string_split(text, ' ')),
                   length(text) - length(replace(text, chr(10), '')) + 1) AS vector
     FROM documents""",

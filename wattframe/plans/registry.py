@@ -640,7 +640,7 @@ def encode_text(spark, sf_dir):
 
 def _embedded(spark, sf_dir):
     texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embedding.embed_documents(texts, views.counting_encoder, batch_size=1)
+    return embedding.embed_documents(texts, views.counting_encoder, batch_by=F.floor(F.col("doc_id") / embedding.BATCH))
 
 
 @query
