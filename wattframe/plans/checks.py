@@ -610,6 +610,19 @@ CHECKS: dict[str, str] = {
     "ingest_bad_payloads": """
         SELECT DISTINCT event_id // 100 + 1000000 AS block FROM events
         WHERE (event_id // 100) % 7 = 3""",
+    "ingest_variants": """
+        SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, event_type AS point, value AS price,
+               CASE WHEN event_id // 7 % 3 < 2 THEN 'ZONE' END AS kind, NULL::VARCHAR AS zone
+        FROM events""",
+    "payload_members": """
+        SELECT member, count(n) AS n_records, bool_or(known) AS known
+        FROM (
+            SELECT unnest([['datetime_beginning_ept', 'pnode_id', 'total_lmp', 'type'], ['datetime_beginning_ept', 'node', 'lmp'],
+                           ['DateTime', 'pnode_id', 'LMP', 'rev']][event_id // 7 % 3 + 1]) AS member, 1 AS n, false AS known
+            FROM events
+            UNION ALL
+            SELECT unnest(['datetime_beginning_ept', 'DateTime', 'pnode_id', 'node', 'total_lmp', 'lmp', 'LMP', 'type', 'zone']), NULL, true
+        ) GROUP BY 1""",
     "ingest_json": _with(
         """SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS datetime_beginning_ept,
                   settlement_point AS pnode_id, price AS total_lmp, 'ZONE' AS type FROM market"""

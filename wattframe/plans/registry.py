@@ -32,7 +32,7 @@ from wattframe.operators import (
 from wattframe.operators import features as feature_ops
 from wattframe.plans import flows, views
 from wattframe.sources import evaluation as evaluation_source
-from wattframe.sources import daily, feeds, normalize, tables, vectors, versions
+from wattframe.sources import daily, feeds, normalize, tables, variants, vectors, versions
 from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.streaming import market as market_stream
 from wattframe.workspace import cut_lineage, shared_folder
@@ -80,6 +80,26 @@ def ingest_bad_payloads(spark, sf_dir):
     return feeds.bad_payloads(payloads).select("block")
 
 
+_DRIFTING = {
+    "time": ("string", ("$.datetime_beginning_ept", "$.DateTime")),
+    "point": ("string", ("$.pnode_id", "$.node.id")),
+    "price": ("double", ("$.total_lmp", "$.lmp.total", "$.LMP")),
+    "kind": ("string", ("$.type", "$.node.kind")),
+    "zone": ("string", ("$.zone",)),
+}
+
+
+@query
+def ingest_variants(spark, sf_dir):
+    records = variants.read_records(views.drifting_payloads(spark, sf_dir).select("value"))
+    return variants.typed(records, _DRIFTING)
+
+
+@query
+def payload_members(spark, sf_dir):
+    return variants.member_report(variants.read_records(views.drifting_payloads(spark, sf_dir)), _DRIFTING)
+
+
 @query
 def ingest_json(spark, sf_dir):
     path = shared_folder(spark, "feed-json")

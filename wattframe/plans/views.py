@@ -273,6 +273,29 @@ def given_forest(spark: SparkSession) -> DataFrame:
     )
 
 
+def drifting_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enveloped responses whose records change: as they were, with members moved into others, with members renamed."""
+    ts = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    point, price = F.col("settlement_point"), F.col("price")
+    kinds = F.array(
+        F.to_json(F.struct(ts.alias("datetime_beginning_ept"), point.alias("pnode_id"), price.alias("total_lmp"), F.lit("ZONE").alias("type"))),
+        F.to_json(
+            F.struct(
+                ts.alias("datetime_beginning_ept"),
+                F.struct(point.alias("id"), F.lit("ZONE").alias("kind")).alias("node"),
+                F.struct(price.alias("total")).alias("lmp"),
+            )
+        ),
+        F.to_json(F.struct(ts.alias("DateTime"), point.alias("pnode_id"), price.cast("string").alias("LMP"), F.lit(1).alias("rev"))),
+    )
+    block = F.floor(F.col("row_id") / _PAYLOAD_ROWS)
+    records = market(spark, sf_dir).select(block.alias("block"), F.get(kinds, (F.floor(F.col("row_id") / 7) % 3).cast("int")).alias("r"))
+    blocks = records.groupBy("block").agg(F.array_join(F.collect_list("r"), ",").alias("records"))
+    shapes = F.array(F.lit('{"items":[%s]}'), F.lit('{"items":[],"data":[%s]}'), F.lit("[%s]"), F.lit('{"Items":[%s],"page":{"n":1}}'))
+    shape = F.get(shapes, (F.col("block") % 4).cast("int"))
+    return with_damaged(blocks.select("block", F.replace(shape, F.lit("%s"), F.col("records")).alias("value")))
+
+
 _kept: dict[tuple, DataFrame] = {}
 
 
