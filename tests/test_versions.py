@@ -104,3 +104,46 @@ def test_old_versions_go_and_shared_data_stays(spark, tmp_path):
         versions.read_version(spark, str(tmp_path / "none"))
     versions.replace(spark.range(0), str(tmp_path / "empty"))
     assert versions.read_version(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_a_numbered_addition_is_made_once(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for turn in (0, 1, 1, 0, 2):
+        versions.append(spark.range(turn * 10, turn * 10 + 3), table, turn=("stream", turn))
+    versions.append(spark.range(100, 101), table, turn=("other", 0))
+    assert numbers(versions.read_version(spark, table)) == [0, 1, 2, 10, 11, 12, 20, 21, 22, 100]
+    assert versions.compact(spark, table) and not versions.compact(spark, table)
+    versions.append(spark.range(3), table, turn=("stream", 2))
+    assert versions.read_version(spark, table).count() == 10
+
+
+def test_compaction_keeps_rows_and_readers(spark, tmp_path):
+    table = tmp_path / "t"
+    for i in range(5):
+        versions.append(spark.range(i, i + 1), str(table))
+    reading = versions.read_version(spark, str(table))
+    assert not versions.compact(spark, str(table), least=6)
+    assert versions.compact(spark, str(table), least=5)
+    assert numbers(reading) == numbers(versions.read_version(spark, str(table))) == list(range(5))
+    assert len(versions.version(spark, str(table)).folders) == 1
+    assert versions.forget(spark, str(table), keep=1) == 5
+    assert len(list(table.glob("data-*"))) == 1
+
+
+def test_a_stream_to_versions_keeps_few_folders(spark, tmp_path):
+    from wattframe.sources import normalize
+    from wattframe.streaming import market
+
+    landing, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
+    schema = "LocalTime string, Pnode string, LMP string"
+    for day in range(1, 8):
+        rows = [(f"2025-07-0{day} {h:02d}:00:00", "A", str(h)) for h in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").csv(landing, header=True)
+    records = market.read_csv_stream(spark, landing, schema, 1)
+    conform = lambda batch: normalize.conform(batch, normalize.MISO)
+    market.ingest_versions(records, conform, table, state, compact_at=3).awaitTermination()
+    assert versions.read_version(spark, table).count() == 21
+    assert len(list((tmp_path / "t").glob("data-*"))) <= 5
+    assert len(versions.version(spark, table).folders) <= 3
+    market.ingest_versions(records, conform, table, state, compact_at=3).awaitTermination()
+    assert versions.read_version(spark, table).count() == 21

@@ -902,13 +902,14 @@ def stream_ingest(spark, sf_dir):
         spark, landing, ", ".join(f"{c} string" for c in raw.columns), files_per_batch=1
     )
     table = shared_folder(spark, "ingested")
-    market_stream.ingest(
+    market_stream.ingest_versions(
         records,
         lambda batch: normalize.conform(batch, normalize.PJM),
         table,
         shared_folder(spark, "ingest-state"),
+        compact_at=3,
     ).awaitTermination()
-    return _rounded(normalize.cleaned(spark.read.parquet(table).drop("batch_id")))
+    return _rounded(normalize.cleaned(versions.read_version(spark, table)))
 
 
 @query

@@ -33,6 +33,8 @@ class Version:
     number: int
     folders: tuple[tuple[str, int], ...]
     schema: str
+    #: For each writer that numbers its additions, the last one that is in the table.
+    writers: tuple[tuple[str, int], ...] = ()
 
     @property
     def rows(self) -> int:
@@ -60,7 +62,9 @@ def version(spark: SparkSession, table: str, number: int | None = None) -> Versi
     # a manifest is one small text
     text = spark.read.text(f"{table}/{_MANIFESTS}/{number}.json", wholetext=True).first()[0]
     held = json.loads(text)
-    return Version(held["number"], tuple((f, n) for f, n in held["folders"]), held["schema"])
+    return Version(
+        held["number"], tuple(map(tuple, held["folders"])), held["schema"], tuple(map(tuple, held["writers"]))
+    )
 
 
 def read_version(spark: SparkSession, table: str, number: int | None = None) -> DataFrame:
@@ -97,9 +101,19 @@ def _written(df: DataFrame, table: str) -> tuple[str, int]:
     return name, seen.get["n"]
 
 
-def _put(df: DataFrame, table: str, keep: bool) -> DataFrame:
+def _report(spark: SparkSession, number: int, before: int, total: int, written: int) -> DataFrame:
+    made = [(number, before, total, max(total - before, 0), written)]
+    return spark.createDataFrame(made, "version bigint, rows_before bigint, total_rows bigint, rows_added bigint, rows_written bigint")
+
+
+def _put(df: DataFrame, table: str, keep: bool, turn: tuple[str, int] | None = None) -> DataFrame:
     spark = df.sparkSession
     before = version(spark, table)
+    writers = {} if before is None else dict(before.writers)
+    if turn is not None:
+        if before is not None and writers.get(turn[0], -1) >= turn[1]:
+            return _report(spark, before.number, before.rows, before.rows, 0)
+        writers[turn[0]] = turn[1]
     if keep and before is not None:
         # checked before anything is written; an added table has to have the same columns
         held = T.StructType.fromJson(json.loads(before.schema))
@@ -110,14 +124,12 @@ def _put(df: DataFrame, table: str, keep: bool) -> DataFrame:
     schema = before.schema if keep and before is not None else json.dumps(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]).jsonValue())
     number = 0 if before is None else before.number + 1
     try:
-        _commit(spark, table, Version(number, (*old, folder), schema))
+        _commit(spark, table, Version(number, (*old, folder), schema, tuple(writers.items())))
     except Conflict:
         remove(spark, f"{table}/{folder[0]}")
         raise
-    rows_before = 0 if before is None else before.rows
     total = sum(n for _, n in (*old, folder))
-    made = [(number, rows_before, total, max(total - rows_before, 0), folder[1])]
-    return spark.createDataFrame(made, "version bigint, rows_before bigint, total_rows bigint, rows_added bigint, rows_written bigint")
+    return _report(spark, number, 0 if before is None else before.rows, total, folder[1])
 
 
 def replace(df: DataFrame, table: str) -> DataFrame:
@@ -128,9 +140,31 @@ def replace(df: DataFrame, table: str) -> DataFrame:
     return _put(df, table, keep=False)
 
 
-def append(df: DataFrame, table: str) -> DataFrame:
-    """Add rows to a table; one row as from ``replace``."""
-    return _put(df, table, keep=True)
+def append(df: DataFrame, table: str, turn: tuple[str, int] | None = None) -> DataFrame:
+    """Add rows to a table; one row as from ``replace``.
+
+    ``turn`` names the writer and numbers its additions. One that is in the table
+    already, such as a stream's batch that is run again, adds nothing.
+    """
+    return _put(df, table, keep=True, turn=turn)
+
+
+def compact(spark: SparkSession, table: str, least: int = 2) -> bool:
+    """Write the rows of all folders to one, as a new version, if there are ``least`` folders.
+
+    Readers and their versions are not disturbed. A version that another writer
+    commits meanwhile goes first, and the result is given up: False.
+    """
+    found = version(spark, table)
+    if found is None or len(found.folders) < least:
+        return False
+    folder = _written(read_version(spark, table, found.number).hint("rebalance"), table)
+    try:
+        _commit(spark, table, Version(found.number + 1, (folder,), found.schema, found.writers))
+    except Conflict:
+        remove(spark, f"{table}/{folder[0]}")
+        return False
+    return True
 
 
 def audit(spark: SparkSession, table: str) -> DataFrame:

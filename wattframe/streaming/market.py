@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from wattframe.sources import versions
 from wattframe.sources.feeds import ENVELOPE_KEYS, unwrap_envelope
 from wattframe.sources.normalize import COMMON_COLUMNS
 from wattframe.streaming import state
@@ -105,6 +106,31 @@ def ingest(
     )
 
 
+def ingest_versions(
+    records: DataFrame,
+    conform: Callable[[DataFrame], DataFrame],
+    table: str,
+    checkpoint: str,
+    writer: str = "ingest",
+    compact_at: int = 16,
+    keep: int = 2,
+) -> StreamingQuery:
+    """As ``ingest``, to a table in versions (``sources.versions``), which keeps few folders.
+
+    A batch is one version and is added once, however often it is run. At
+    ``compact_at`` folders they are written to one, and of the versions the newest
+    ``keep`` stay.
+    """
+    spark = records.sparkSession
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        versions.append(conform(batch).select(*COMMON_COLUMNS), table, turn=(writer, batch_id))
+        if versions.compact(spark, table, least=compact_at):
+            versions.forget(spark, table, keep)
+
+    return _started(records.writeStream, store, checkpoint)
+
+
 def hourly(
     market: DataFrame,
     table: str,
