@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -308,3 +309,16 @@ def test_pages_as_given(spark, small):
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>" + "x" * 500_000)], "page_id long, url string, html string")
     assert sorted(r.n_chars for r in extract_main_text(odd).collect()) == [0, 0, 0, 500_000]
     assert extract_main_text(odd.where("page_id > 5")).count() == 0
+
+
+def test_pages_of_unclosed_and_of_nested_elements_take_time_in_proportion():
+    def seconds(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    unclosed = '<div class="ad">x <p>y</p>'
+    nested = lambda n: '<div class="content sidebar">x ' * n + "<main>m</main>" + "</div>" * n
+    assert seconds(unclosed * 40_000) < 20 * (seconds(unclosed * 4_000) + 0.05)
+    assert seconds(nested(20_000)) < 20 * (seconds(nested(2_000)) + 0.05)
+    assert main_text(nested(3)) == "x\nx\nx\nm"

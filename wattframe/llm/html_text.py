@@ -107,18 +107,50 @@ def _unlinked(page: str, tags: list[re.Match]) -> list[int]:
     return [*sums, total if linked else total + len("".join(page[at:].split()))]
 
 
-def _holds_main_text(tags: list[re.Match], sums: list[int], i: int, end: int, marks: set[str]) -> bool:
-    """Whether a closed element holds the main element, an article of the page, or most of its text."""
-    if end == len(tags) or not tags[end][1] or tags[end][2].lower() != tags[i][2].lower():
-        return False
-    if 2 * (sums[end] - sums[i]) > sums[-1]:
-        return True
-    for tag in tags[i + 1 : end]:
-        if not tag[1] and (tag[2].lower() == "main" or _MAIN & _marks(tag[3])):
-            return True
-        if not tag[1] and tag[2].lower() == "article" and not marks & _LISTS and not _boilerplate("article", tag[3], False):
+class _Elements:
+    """Where the elements of a page end and what they hold, found in one pass over its tags."""
+
+    def __init__(self, page: str, tags: list[re.Match]):
+        self._tags = tags
+        self._closed: dict[int, int] = {}
+        self._next_block = [len(tags)] * (len(tags) + 1)
+        open_: dict[str, list[int]] = {}
+        for i, tag in enumerate(tags):
+            same = open_.setdefault(tag[2].lower(), [])
+            if not tag[1]:
+                same.append(i)
+            elif same:
+                self._closed[same.pop()] = i
+        for i in range(len(tags) - 1, -1, -1):
+            block = not tags[i][1] and tags[i][2].lower() not in _INLINE
+            self._next_block[i] = i if block else self._next_block[i + 1]
+        self._page = page
+        self._held: tuple[list[int], list[int], list[int]] | None = None
+
+    def end(self, i: int) -> int:
+        """The tag that ends an element; the next block if it is never closed."""
+        return self._closed.get(i, self._next_block[i + 1])
+
+    def _counted(self) -> tuple[list[int], list[int], list[int]]:
+        """Unlinked text, main elements and articles before each tag."""
+        if self._held is None:
+            mains, articles = [0], [0]
+            for tag in self._tags:
+                opened = not tag[1]
+                mains.append(mains[-1] + (opened and (tag[2].lower() == "main" or bool(_MAIN & _marks(tag[3])))))
+                articles.append(articles[-1] + (opened and tag[2].lower() == "article" and not _boilerplate("article", tag[3], False)))
+            self._held = _unlinked(self._page, self._tags), mains, articles
+        return self._held
+
+    def holds_main_text(self, i: int, marks: set[str]) -> bool:
+        """Whether a closed element holds the main element, an article of the page, or most of its text."""
+        end = self._closed.get(i)
+        if end is None:
+            return False
+        sums, mains, articles = self._counted()
+        if 2 * (sums[end] - sums[i]) > sums[-1] or mains[end] > mains[i + 1]:
             return True
-    return False
+        return articles[end] > articles[i + 1] and not marks & _LISTS
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -129,7 +161,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """
     page = _RAW.sub(" ", page.replace("\x00", ""))
     tags = list(_TAG.finditer(page))
-    sums: list[int] = []
+    elements: _Elements | None = None
     skip_until = -1  # index of the tag that ends the boilerplate at hand
     links = articles = mains = 0
     lines = [_Line(False, False)]
@@ -160,11 +192,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 add(" ")
             continue
         if not closing and name not in _VOID and not tag[3].rstrip().endswith("/") and _boilerplate(name, tag[3], articles > 0):
-            end = _end_of(tags, i, name)
+            elements = elements or _Elements(page, tags)
             by_name = name not in _SKIPPED and name != "header" and name != "article" and not _HIDDEN.search(tag[3])
-            sums = sums or (_unlinked(page, tags) if by_name else sums)
-            if not (by_name and _holds_main_text(tags, sums, i, end, _marks(tag[3]))):
-                skip_until = end
+            if not (by_name and elements.holds_main_text(i, _marks(tag[3]))):
+                skip_until = elements.end(i)
                 links = 0
                 lines.append(_Line(False, False))
                 continue
@@ -182,19 +213,6 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def _end_of(tags: list[re.Match], i: int, name: str) -> int:
-    depth = 1
-    for j in range(i + 1, len(tags)):
-        if tags[j][2].lower() == name:
-            depth += -1 if tags[j][1] else 1
-            if not depth:
-                return j
-    for j in range(i + 1, len(tags)):
-        if tags[j][2].lower() not in _INLINE and not tags[j][1]:
-            return j
-    return len(tags)
-
-
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
     """Blocks of the main text in page order, one to a line."""
     lines = page_lines(page)
