@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -287,6 +289,29 @@ def test_words_of_any_script_are_encoded(spark):
     assert sum(x * x for x in vecs[1]) == pytest.approx(1.0) and not any(vecs[3])
 
 
+def test_vectors_are_laid_out_slot_by_slot(spark):
+    rows = [(1, "north south north"), (2, "gas peaker at noon"), (2, "gas"), (None, "south wind"), (None, "wind"), (3, "!")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weights = spark.createDataFrame([(i, 1.0 + i) for i in range(8)], "slot int, weight double")
+    encoded = embedding.encode_text(docs, weights, dimension=8)
+    expected = {}
+    for doc_id, text in rows:
+        x = expected.setdefault(doc_id, np.zeros(8))
+        for word in re.findall("[a-z]+", text):
+            x[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 8] += 1
+    for row in encoded.collect():
+        x = expected[row.doc_id] * np.arange(1.0, 9.0)
+        assert row.embedding == pytest.approx(x / (np.linalg.norm(x) or 1.0))
+    # the gathered words of a document are not put together again for each slot
+    text = encoded._jdf.queryExecution().optimizedPlan().toString()
+    looped = re.findall(r"lambdafunction\(.*", text)
+    assert looped and not any("collect_list" in part for part in looped)
+    # copies of an id and missing ids are one row each, as they came
+    assert sorted(str(r.doc_id) for r in encoded.collect()) == sorted(str(r[0]) for r in rows)
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        embedding.encode_text(docs, weights.union(weights), dimension=8).collect()
+
+
 def test_answers_without_a_mark(spark):
     rows = [("Why? Because demand was high.", "Why?"), ("Why? no", "Why?"), ("Q: x\nA: Prices rose a lot today. ", None)]
     got = retrieval.clean_answers(spark.createDataFrame(rows, "text string, prompt string"), prompt="prompt")

@@ -123,6 +123,27 @@ def fit_text_encoder(
     return cut_lineage(slot_weights(term_counts(documents, doc_id, text, dimension), documents.count()))
 
 
+def _dense(entries: str, dimension: int, value: Callable[[Column], Column]) -> Column:
+    """Values of a map by slot as an array, 0 where a slot is missing.
+
+    Each slot is laid next to the one before it, and the gap between them filled, in one
+    pass. A lookup by slot would go through the map, or even build it anew, for each slot.
+    """
+    found = F.sort_array(F.map_entries(entries))
+
+    def end(slot: int) -> Column:
+        return F.array(F.struct(F.lit(slot).alias("key"), F.lit(0.0).alias("value")))
+
+    runs = F.zip_with(
+        F.concat(end(-1), found),
+        F.concat(found, end(dimension)),
+        lambda before, entry: F.concat(
+            F.array_repeat(F.lit(0.0), entry["key"] - before["key"] - 1), F.array(value(entry["value"]))
+        ),
+    )
+    return F.slice(F.flatten(runs), 1, dimension)
+
+
 def encode_text(
     documents: DataFrame,
     weights: DataFrame | None = None,
@@ -143,15 +164,13 @@ def encode_text(
     # one row per slot, so the dimension bounds what is broadcast
     weighted = counts.join(F.broadcast(weights), "slot").withColumn("x", F.col("n") * F.col("weight"))
     entries = F.map_from_entries(F.collect_list(F.struct("slot", "x")))
-    vectors = weighted.groupBy("doc_id").agg(entries.alias("_x"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
-    at = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("_x", i), F.col("_norm")), F.lit(0.0)),
-    )
-    embedded = vectors.select(F.col("doc_id").alias("_doc"), at.alias("embedding"))
+    # as a struct a missing id equals another, so that grouping and join go by the same key, and vectors move once
+    vectors = weighted.groupBy(F.struct(F.col("doc_id").alias("id")).alias("_doc")).agg(entries.alias("_x"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    at = _dense("_x", dimension, lambda x: F.coalesce(F.try_divide(x, F.col("_norm")), F.lit(0.0)))
+    embedded = vectors.select("_doc", at.alias("embedding"))
     zero = F.array_repeat(F.lit(0.0), dimension)
     return (
-        documents.join(embedded, documents[doc_id].eqNullSafe(embedded["_doc"]), "left")
+        documents.join(embedded, F.struct(documents[doc_id].alias("id")) == embedded["_doc"], "left")
         .drop("_doc")
         .withColumn("embedding", F.coalesce("embedding", zero))
     )
