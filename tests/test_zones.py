@@ -76,3 +76,11 @@ def test_intervals_of_a_year_have_no_gap(spark):
 def test_years_beyond_the_table_are_left_to_the_engine(spark):
     row = spark.range(1).select(local_to_utc(F.to_timestamp(F.lit("2150-01-01 00:00:00")), "America/New_York", F.lit(True)).alias("t")).first()
     assert row.t == datetime(2150, 1, 1, 5)
+
+
+def test_a_time_that_is_parsed_is_parsed_once(spark):
+    texts = spark.createDataFrame([("01-15 12:00:00", False), ("11-03 01:30:00", True), ("11-03 01:30:00", False), (None, True), ("x", False)], "t string, again boolean")
+    local = F.try_to_timestamp(F.concat(F.lit("2024-"), F.col("t")))
+    moved = texts.select(local_to_utc(local, "America/New_York", F.col("again")).cast("string").alias("utc"))
+    assert [r.utc for r in moved.collect()] == ["2024-01-15 17:00:00", "2024-11-03 06:30:00", "2024-11-03 05:30:00", None, None]
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("concat(2024-") == 1

@@ -85,7 +85,7 @@ def _offset(ts: Column, zone: str, second_pass: bool) -> Column:
     years = F.array(*(F.array(*rows) for _, rows in sorted(by_year.items())))
     own = F.get(years, F.year(ts) - YEARS[0])
     reached = F.filter(own, lambda i: i["begins"] <= F.unix_seconds(ts))
-    return F.get(reached, F.size(reached) - 1)["offset"]
+    return F.try_element_at(reached, F.lit(-1))["offset"]
 
 
 def local_to_utc(ts: Column, zone: str, second_pass: Column | None = None) -> Column:
@@ -94,11 +94,15 @@ def local_to_utc(ts: Column, zone: str, second_pass: Column | None = None) -> Co
     ``second_pass`` marks times in the second pass of a repeated hour; null and no
     mark are the first. Elsewhere the mark makes no difference.
     """
-    offset = _offset(ts, zone, False)
-    if second_pass is not None:
-        offset = F.when(second_pass, _offset(ts, zone, True)).otherwise(offset)
-    moved = F.timestamp_micros(F.unix_micros(ts) - offset * 1_000_000)
-    return F.coalesce(moved, F.to_utc_timestamp(ts, zone))
+
+    def moved(t: Column) -> Column:
+        offset = _offset(t, zone, False)
+        if second_pass is not None:
+            offset = F.when(second_pass, _offset(t, zone, True)).otherwise(offset)
+        return F.coalesce(F.timestamp_micros(F.unix_micros(t) - offset * 1_000_000), F.to_utc_timestamp(t, zone))
+
+    # bound to a variable, a time that has to be parsed is parsed once and not at each mention
+    return F.get(F.transform(F.array(ts), moved), F.lit(0))
 
 
 def with_utc(rows: DataFrame, time: str, zone: str, zones: tuple[str, ...], second_pass: str | None = None, into: str = "utc") -> DataFrame:

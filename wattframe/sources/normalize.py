@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.numbers import coerce_double
 from wattframe.functions.times import MARKET_ZONES, feed_time_to_utc
 from wattframe.operators.cleaning import clean_prices
+from wattframe.workspace import cut_lineage
 
 COMMON_COLUMNS = (
     "timestamp",
@@ -135,12 +136,14 @@ def cleaned(rows: DataFrame) -> DataFrame:
 def normalize(raw: DataFrame, names: FeedNames, landed: str | None = None) -> DataFrame:
     """Raw feed rows in the common schema with prices filled and bounded.
 
-    Cleaning reads its rows several times, and feed text is slow to parse. With
-    ``landed`` the parsed rows are written there once, as the feed's landed
-    table, and cleaned from it. Else they are parsed at each reading.
+    Cleaning reads its rows several times, and feed text is slow to parse, so it is
+    parsed once. With ``landed`` the parsed rows are written there, as the feed's
+    landed table, and cleaned from it. Else they are checkpointed. Runs jobs.
     """
     rows = conform(raw, names)
-    if landed is not None:
+    if landed is None:
+        rows = cut_lineage(rows)
+    else:
         rows.write.mode("overwrite").parquet(landed)
         rows = raw.sparkSession.read.schema(rows.schema).parquet(landed)
     return cleaned(rows)
