@@ -1,13 +1,14 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wattframe.operators.timeseries import hourly_mean
 from wattframe.plans import views
 from wattframe.sources import normalize
-from wattframe.streaming import market
+from wattframe.streaming import market, state
 
 
 def test_json_payloads_are_ingested_once_per_file(spark, tmp_path):
@@ -134,6 +135,20 @@ def test_state_holds_open_days_only_and_survives_restarts(spark, tmp_path):
     assert spark.read.parquet(table).count() == before
 
 
+def test_the_state_is_searched_without_going_through_it():
+    rng = np.random.default_rng(0)
+    # first hashes that are equal while second ones differ, in any order
+    held = [tuple(x) for x in rng.integers(-4, 4, (60, 2))] + [(2**63 - 1, 5), (-(2**63), 5)]
+    runs = []
+    for i, (a, b) in enumerate(dict.fromkeys(held)):
+        runs = state._with_run(runs, np.array([a]), np.array([b]), np.array([i], np.int32))
+    lengths = [len(r[0]) for r in runs]
+    assert sum(lengths) == len(set(held)) and all(a >= 2 * b for a, b in zip(lengths, lengths[1:]))
+    asked = [(a, b) for a in (*range(-5, 5), 2**63 - 1, -(2**63)) for b in range(-5, 6)]
+    found = state._held(*(np.array(x) for x in zip(*asked)), runs)
+    assert [x for x, yes in zip(asked, found) if yes] == [x for x in asked if x in set(held)]
+
+
 def test_hours_are_stored_once_and_the_open_ones_as_one_snapshot(spark, tmp_path):
     source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
     for first in range(0, 12, 4):

@@ -63,6 +63,38 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.sort(np.unique(found, return_index=True)[1])))
 
 
+#: First and second hash and day of rows, in the order of the first hash.
+_Run = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _with_run(runs: list[_Run], *rows: np.ndarray) -> list[_Run]:
+    """Runs with further rows, each at least twice as long as the next, so that a row is moved a few times only."""
+    if not len(rows[0]):
+        return runs
+    runs = [*runs, rows]
+    while len(runs) > 1 and len(runs[-2][0]) < 2 * len(runs[-1][0]):
+        runs[-2:] = [tuple(np.concatenate(x) for x in zip(*runs[-2:]))]
+    order = np.argsort(runs[-1][0], kind="stable")
+    return [*runs[:-1], tuple(x[order] for x in runs[-1])]
+
+
+def _held(h1: np.ndarray, h2: np.ndarray, runs: list[_Run]) -> np.ndarray:
+    """Which pairs of hashes are in one of the runs."""
+    found = np.zeros(len(h1), bool)
+    for first, second, _ in runs:
+        at = np.searchsorted(first, h1)
+        left = np.flatnonzero(at < len(first))
+        # more than once only where first hashes are equal and second ones are not
+        while len(left):
+            left = left[first[at[left]] == h1[left]]
+            same = second[at[left]] == h2[left]
+            found[left[same]] = True
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(first)]
+    return found
+
+
 def fresh_rows(
     rows: DataFrame, columns: list[str], time: str = "timestamp", horizon: str = HORIZON, spread: int = SPREAD
 ) -> DataFrame:
@@ -80,18 +112,21 @@ def fresh_rows(
     )
 
     def unseen(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, days = (np.frombuffer(x, k) for x, k in zip(state.get if state.exists else (b"", b""), ("V16", "<i4")))
+        seen, days = (np.frombuffer(x, k) for x, k in zip(state.get if state.exists else (b"", b""), ("<i8", "<i4")))
         open_ = ~_ended(days, state)
-        held, days = held[open_], days[open_]
+        runs = _with_run([], seen[::2][open_], seen[1::2][open_], days[open_])
+        del seen, days
         for frame in frames:
-            own, own_days = _pairs(frame["h1"].to_numpy(), frame["h2"].to_numpy()), _days(frame[time])
+            own1, own2, own_days = frame["h1"].to_numpy(), frame["h2"].to_numpy(), _days(frame[time])
             late = _ended(own_days, state)
-            first = np.zeros(len(own), bool)
-            first[np.unique(own, return_index=True)[1]] = True
-            new = first & (late | ~np.isin(own, held))
-            held, days = np.concatenate((held, own[new & ~late])), np.concatenate((days, own_days[new & ~late]))
+            # the state has no late rows, as their days are not in it
+            new = ~frame.duplicated(["h1", "h2"]).to_numpy()
+            new[~late] &= ~_held(own1[~late], own2[~late], runs)
+            kept = new & ~late
+            runs = _with_run(runs, own1[kept], own2[kept], own_days[kept])
             yield frame.loc[new, columns].assign(late=late[new])
-        state.update((held.tobytes(), days.tobytes()))
+        h1, h2, days = (np.concatenate(x) for x in zip(*runs)) if runs else (np.empty(0, k) for k in ("<i8", "<i8", "<i4"))
+        state.update((np.stack((h1, h2), axis=1).astype("<i8").tobytes(), days.astype("<i4").tobytes()))
 
     found = T.StructType([*(rows.schema[c] for c in columns), T.StructField("late", T.BooleanType())])
     return grouped.applyInPandasWithState(unseen, found, "seen binary, days binary", "update", GroupStateTimeout.NoTimeout)
