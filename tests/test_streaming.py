@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,66 @@ def test_the_state_is_searched_without_going_through_it():
     assert [x for x, yes in zip(asked, found) if yes] == [x for x in asked if x in set(held)]
 
 
+def test_a_groups_state_is_handed_over_once_a_batch_however_many_rows_come(spark, tmp_path, monkeypatch):
+    source, table, checkpoint, calls = (str(tmp_path / n) for n in ("in", "t", "s", "calls"))
+    (tmp_path / "calls").mkdir()
+    held = state._held
+
+    def counted(*asked):
+        # in a task: one file a call
+        import tempfile
+
+        tempfile.mkstemp(dir=calls)
+        return held(*asked)
+
+    monkeypatch.setattr(state, "_held", counted)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(most, "20")
+    try:
+        for _ in range(2):
+            stream = _land(spark, source, [(i, float(i % 5)) for i in range(1500)])
+            market.drop_replays(stream, table, checkpoint).awaitTermination()
+    finally:
+        spark.conf.unset(most)
+    assert spark.read.parquet(table).count() == 1500
+    # two batches of eight groups; with 20 rows at a time there were over 150
+    assert 0 < len(list((tmp_path / "calls").iterdir())) <= 2 * 8
+
+
+def test_packs_hold_all_rows_once_with_their_newest_time():
+    at = [None, *range(-(10**12), 10**15, 10**12), None, 5]
+    n, zone = len(at), "America/New_York"
+    columns = {
+        "point": pa.array([None, *("x" * (i % 90) for i in range(n - 1))]),
+        "time": pa.array(at, pa.timestamp("us", zone)),
+        "h1": pa.array([(-1) ** i * i for i in range(n - 1)] + [0]),
+        "h2": pa.array([0] * n),
+        "days": pa.array(range(n), pa.int32()),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    rows = batch.select(["point", "time"])
+    packs = pa.Table.from_batches(state._packed(iter([batch.slice(0, 7), batch.slice(7)]), ["point", "time"], "time", 3))
+    # the last row has the hashes of the first
+    days = np.frombuffer(b"".join(packs["days"].to_pylist()), "<i4")
+    hashes = np.frombuffer(b"".join(packs["hashes"].to_pylist()), "<i8")[::2]
+    want = {h: i for i, h in enumerate(columns["h1"].to_pylist()[:-1])}
+    assert len(days) == n - 1 and dict(zip(hashes.tolist(), days.tolist())) == want
+    ends = np.cumsum([len(x) // 4 for x in packs["days"].to_pylist()])
+    assert all(set(np.mod(hashes[a:b], 3)) == {share} for a, b, share in zip([0, *ends], ends, packs["share"].to_pylist()))
+    opened = [pa.ipc.read_record_batch(x.as_buffer(), rows.schema) for x in packs["rows"]]
+    assert packs["newest"].to_pylist() == [max((t for t in x["time"].to_pylist() if t is not None), default=None) for x in opened]
+    # what comes back is what was kept
+    kept = [np.arange(len(x)) % 2 == 0 for x in opened]
+    said = {"rows": packs["rows"], "kept": [x.tobytes() for x in kept], "late": [(~x).tobytes() for x in kept]}
+    back = pa.Table.from_batches(state._unpacked(pa.table(said).to_batches(), rows.schema))
+    assert back.schema == rows.schema.append(pa.field("late", pa.bool_())) and not any(back["late"].to_pylist())
+    assert back.drop(["late"]).to_pylist() == [r for x, keep in zip(opened, kept) for r, k in zip(x.to_pylist(), keep) if k]
+
+
+def test_groups_follow_the_rows():
+    assert [state.spread_for(n) for n in (0, 10**6, 10**8)] == [8, 8, 477]
+
+
 def test_hours_are_stored_once_and_the_open_ones_as_one_snapshot(spark, tmp_path):
     source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
     for first in range(0, 12, 4):

@@ -35,6 +35,7 @@ from wattframe.sources import evaluation as evaluation_source
 from wattframe.sources import daily, feeds, normalize, tables, variants, vectors, versions
 from wattframe.sources.tables import FORECAST_INPUTS
 from wattframe.streaming import market as market_stream
+from wattframe.streaming import state as stream_state
 from wattframe.workspace import cut_lineage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -924,5 +925,6 @@ def stream_hourly(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     table = shared_folder(spark, "dedupe")
     stream = views.replayed_stream(spark, sf_dir)
-    market_stream.drop_replays(stream, table, shared_folder(spark, "dedupe-state")).awaitTermination()
+    spread = stream_state.spread_for(views.market(spark, sf_dir).count())
+    market_stream.drop_replays(stream, table, shared_folder(spark, "dedupe-state"), spread=spread).awaitTermination()
     return spark.read.parquet(table).select("iso", "settlement_point", "timestamp", "price")

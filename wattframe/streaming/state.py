@@ -28,7 +28,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HORIZON = "3 days"
 #: Groups of the state. A group's state is read and written whole, so it should stay within some megabytes.
 SPREAD = 8
+#: State of a group that ``spread_for`` allows.
+GROUP_BYTES = 1 << 22
 
+#: Rows of a group come to the state in packs of about so many bytes, so that 10,000 of them are some 40 MB.
+PACK_BYTES = 1 << 12
+#: Rows, or bytes, of a task in which copies are looked for and from which packs are made.
+GATHERED_ROWS, GATHERED_BYTES = 1 << 16, 1 << 25
+#: Packs that are opened together.
+PACKS_AT_ONCE = 1 << 10
+
+_PACK = ["share", "newest", "hashes", "days", "rows"]
 _DAY_MS = 24 * 3600 * 1000
 _NO_DAY = np.iinfo(np.int32).min
 
@@ -45,22 +55,75 @@ def _ended(days: np.ndarray, state: GroupState) -> np.ndarray:
     return (days.astype(np.int64) + 1) * _DAY_MS <= state.getCurrentWatermarkMs()
 
 
+def spread_for(rows: int) -> int:
+    """Groups for a stream with about so many rows in its open days, at 20 bytes each."""
+    return max(SPREAD, -(-20 * rows // GROUP_BYTES))
+
+
 def digest(columns: list[str]) -> list[Column]:
     """Two 64-bit hashes of a row; nulls are told apart from missing values next to them."""
     parts = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
     return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of numbers as one array of 16-byte values."""
-    return np.ascontiguousarray(np.stack((a, b), axis=1).astype("<i8")).view("V16").ravel()
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= GATHERED_ROWS or sum(x.nbytes for x in held) >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(map(len, held)):
+        yield pa.concat_batches(held)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], columns: list[str], time: str, spread: int) -> Iterator[pa.RecordBatch]:
+    """Rows without their copies nearby, some of a group as one: their hashes, their days and all columns as bytes.
+
+    The columns are followed by both hashes and the day.
+    """
+    for batch in _gathered(batches):
+        h1, h2, days = (x.to_numpy() for x in batch.columns[-3:])
+        once = np.flatnonzero(~pd.DataFrame({"h1": h1, "h2": h2}).duplicated().to_numpy())
+        share = np.mod(h1[once], spread)
+        order = np.argsort(share, kind="stable")
+        once, share = once[order], share[order]
+        rows = batch.select(list(range(len(columns)))).take(pa.array(once))
+        # packs begin where a group does, and after so many rows of it
+        most = max(1, PACK_BYTES * len(rows) // (rows.nbytes + 20 * len(rows)))
+        first = np.flatnonzero(np.diff(share, prepend=-1))
+        ends = np.append(first[1:], len(share))
+        starts = np.concatenate([np.arange(a, b, most) for a, b in zip(first, ends)])
+        ends = np.append(starts[1:], len(share))
+        at = rows.column(columns.index(time))
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        micros = at.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+        days = days[once].astype("<i4")
+        pairs = np.stack((h1[once], h2[once]), axis=1).astype("<i8")
+        some = np.logical_or.reduceat(known, starts)
+        newest = pa.array(np.maximum.reduceat(micros, starts), mask=~some).cast(at.type)
+        cut = [(int(a), int(b)) for a, b in zip(starts, ends)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(share[starts]),
+                newest,
+                pa.array([pairs[a:b].tobytes() for a, b in cut], pa.binary()),
+                pa.array([days[a:b].tobytes() for a, b in cut], pa.binary()),
+                pa.array([rows.slice(a, b - a).serialize().to_pybytes() for a, b in cut], pa.binary()),
+            ],
+            names=_PACK,
+        )
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without their copies in the same batch, before anything is shuffled."""
+def _unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The kept rows of packs, each with what is said of it."""
     for batch in batches:
-        found = _pairs(*(batch.column(c).to_numpy() for c in ("h1", "h2")))
-        yield batch.take(pa.array(np.sort(np.unique(found, return_index=True)[1])))
+        for i in range(0, len(batch), PACKS_AT_ONCE):
+            part = batch.slice(i, PACKS_AT_ONCE)
+            rows = pa.Table.from_batches([pa.ipc.read_record_batch(x.as_buffer(), schema) for x in part.column("rows")])
+            kept, late = (np.frombuffer(b"".join(part.column(c).to_pylist()), bool) for c in ("kept", "late"))
+            yield from rows.append_column("late", pa.array(late)).filter(pa.array(kept)).combine_chunks().to_batches()
 
 
 #: First and second hash and day of rows, in the order of the first hash.
@@ -100,36 +163,47 @@ def fresh_rows(
 ) -> DataFrame:
     """A stream's rows without the copies of what the state holds, ``late`` telling which it cannot vouch for.
 
-    The state holds 20 bytes for each different row of an open day.
+    The state holds 20 bytes for each different row of an open day. ``spread`` stays as it was when
+    a stream goes on from its checkpoint.
+
+    The engine hands a group's state to Python again with every 10,000 rows of the group (with every
+    batch of ``spark.sql.execution.arrow.maxRecordsPerBatch``) and keeps dozens of these batches. So
+    the rows come to the state in packs, of which a group rarely has that many.
     """
+    kept = rows.select(*columns)
     h1, h2 = digest(columns)
-    hashed = rows.select(*columns, h1.alias("h1"), h2.alias("h2"))
-    grouped = (
-        hashed.mapInArrow(_once, hashed.schema)
-        .withColumn("share", F.pmod("h1", F.lit(spread)))
-        .withWatermark(time, horizon)
-        .groupBy("share")
-    )
+    day = F.coalesce(F.unix_date(F.to_date(time)), F.lit(int(_NO_DAY)))
+    hashed = kept.select("*", h1.alias("h1"), h2.alias("h2"), day.alias("days"))
+    packs = T.StructType([T.StructField(c, t) for c, t in zip(_PACK, (T.LongType(), rows.schema[time].dataType, *[T.BinaryType()] * 3))])
+    grouped = hashed.mapInArrow(lambda x: _packed(x, columns, time, spread), packs).withWatermark("newest", horizon).groupBy("share")
 
     def unseen(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, days = (np.frombuffer(x, k) for x, k in zip(state.get if state.exists else (b"", b""), ("<i8", "<i4")))
         open_ = ~_ended(days, state)
         runs = _with_run([], seen[::2][open_], seen[1::2][open_], days[open_])
         del seen, days
-        for frame in frames:
-            own1, own2, own_days = frame["h1"].to_numpy(), frame["h2"].to_numpy(), _days(frame[time])
+        for frame in (f.iloc[i : i + PACKS_AT_ONCE] for f in frames for i in range(0, len(f), PACKS_AT_ONCE)):
+            own = np.frombuffer(b"".join(frame["hashes"]), "<i8")
+            own1, own2, own_days = own[::2], own[1::2], np.frombuffer(b"".join(frame["days"]), "<i4")
             late = _ended(own_days, state)
             # the state has no late rows, as their days are not in it
-            new = ~frame.duplicated(["h1", "h2"]).to_numpy()
+            new = ~pd.DataFrame({"h1": own1, "h2": own2}).duplicated().to_numpy()
             new[~late] &= ~_held(own1[~late], own2[~late], runs)
-            kept = new & ~late
-            runs = _with_run(runs, own1[kept], own2[kept], own_days[kept])
-            yield frame.loc[new, columns].assign(late=late[new])
+            fresh = new & ~late
+            runs = _with_run(runs, own1[fresh], own2[fresh], own_days[fresh])
+            ends = np.cumsum([len(x) // 4 for x in frame["days"]])
+            cut = list(zip([0, *ends[:-1]], ends))
+            said = frame[["rows"]].assign(kept=[new[a:b].tobytes() for a, b in cut], late=[late[a:b].tobytes() for a, b in cut])
+            yield said[[any(x) for x in said["kept"]]]
         h1, h2, days = (np.concatenate(x) for x in zip(*runs)) if runs else (np.empty(0, k) for k in ("<i8", "<i8", "<i4"))
         state.update((np.stack((h1, h2), axis=1).astype("<i8").tobytes(), days.astype("<i4").tobytes()))
 
-    found = T.StructType([*(rows.schema[c] for c in columns), T.StructField("late", T.BooleanType())])
-    return grouped.applyInPandasWithState(unseen, found, "seen binary, days binary", "update", GroupStateTimeout.NoTimeout)
+    fresh = grouped.applyInPandasWithState(
+        unseen, "rows binary, kept binary, late binary", "seen binary, days binary", "update", GroupStateTimeout.NoTimeout
+    )
+    schema = rows.sparkSession.createDataFrame([], kept.schema).toArrow().schema
+    found = T.StructType([*kept.schema.fields, T.StructField("late", T.BooleanType())])
+    return fresh.mapInArrow(lambda x: _unpacked(x, schema), found)
 
 
 _TOTALS = ("total", "n")
